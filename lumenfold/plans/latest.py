@@ -1,0 +1,45 @@
+"""Latest snapshot per key and its totals, over ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenfold.operators import metrics
+from lumenfold.registry import query
+from lumenfold.sources import table
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots(clip_id, platform, captured_at, seq, views, likes) from ``events``."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("clip_id"),
+        F.col("event_type").alias("platform"),
+        F.col("ts").alias("captured_at"),
+        F.col("event_id").alias("seq"),
+        F.round(F.col("value") * 100).cast("bigint").alias("views"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("likes"),
+    )
+
+
+SNAPSHOTS_SQL = """snapshots AS (
+  SELECT user_id AS clip_id, event_type AS platform, ts AS captured_at, event_id AS seq,
+         CAST(round(value * 100) AS BIGINT) AS views, CAST(json_extract_string(props, '$.k') AS BIGINT) AS likes
+  FROM events)"""
+
+LATEST_SQL = f"""WITH {SNAPSHOTS_SQL}
+SELECT clip_id, platform, captured_at, seq, views, likes FROM (
+  SELECT *, row_number() OVER (PARTITION BY clip_id, platform ORDER BY captured_at DESC, seq DESC) AS rn FROM snapshots)
+WHERE rn = 1"""
+
+
+@query("w1_latest_snapshot", LATEST_SQL)
+def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.latest_per_platform(snapshots(spark, sf_dir), ["views", "likes"])
+
+
+@query("a1_aggregate_latest", f"""
+SELECT clip_id, count(*) AS platforms, CAST(sum(views) AS BIGINT) AS views, CAST(sum(likes) AS BIGINT) AS likes
+FROM ({LATEST_SQL}) GROUP BY clip_id""")
+def aggregate_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.totals_per_clip(snapshots(spark, sf_dir), ["views", "likes"])
