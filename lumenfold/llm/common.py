@@ -26,6 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: About how many bytes of a batch a Python worker works on at once.
+PIECE_BYTES = 8 << 20
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage; every one outlives the executor that wrote it."""
 
@@ -59,8 +63,10 @@ def add_columns(
     schema = T.StructType([frame.schema[c] for c in kept] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            rows = max(1, whole.num_rows * PIECE_BYTES // max(whole.nbytes, 1))
+            for at in range(0, whole.num_rows, rows):  # in pieces, which bounds what a worker holds
+                batch = whole.slice(at, rows)
                 made = compute(*(batch.column(batch.schema.get_field_index(c)) for c in inputs))
                 arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(x) if not isinstance(x, pa.Array) else x for x in made]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())

@@ -45,7 +45,7 @@ def repeated_lines(documents: DataFrame, work: Workspace, n: int = LINES) -> Dat
     spots = work.save(rows.select("id", "row", F.inline(made)), "windows")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "k")
     firsts = spots.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.where(F.col("first") != F.col("last")).select("h1", "h2", "first")
+    firsts = work.save(firsts.where(F.col("first") != F.col("last")).select("h1", "h2", "first"), "firsts")
     again = spots.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
     covered = again.select("id", "row", F.explode(F.sequence(F.col("k"), F.col("k") + (n - 1))).alias("k"))
     return covered.groupBy("id", "row").agg(F.collect_set("k").alias("lost"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import line_dedup, mixing, quality_rules
+from lumenfold.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,36 @@ FROM documents d LEFT JOIN made USING (doc_id)"""
 @query("op10_line_windows", LINE_SQL)
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+JOIN_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM d WHERE len(ws) >= 4)
+  UNION SELECT doc_id, array_to_string(ws, ' ') || chr(10) || len(ws) FROM d WHERE len(ws) BETWEEN 1 AND 3),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach ON d.doc_id = reach.a GROUP BY d.doc_id"""
+
+
+@query("op4_parity_sketch_join", JOIN_SQL)
+def parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.link(documents(spark, sf_dir), ngram_join.Join(words=4, percent=85))
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_bpe_speculate_verify")
+def bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), word_vocabulary(), keep=["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
