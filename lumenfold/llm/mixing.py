@@ -5,7 +5,7 @@ words. Within a source the expected copies are summed up in order of (size, doc_
 added, and a document is emitted once for each integer that its part of the sum crosses. In that order every
 stretch of sizes gets its share, so that the words taken come near the target.
 
-The running count is found in three levels - sizes of a source, blocks of 65,536 ids of a size, rows of a
+The running count is found in three levels - sizes of a source, blocks of 4,096 ids of a size, rows of a
 block - so that no task holds a whole source, and what is summed up first is counts.
 
 Defined cases: a null text has size 0 and is never taken for its words; sources sort by code point with null
@@ -23,7 +23,7 @@ from lumenfold.llm.common import WORD
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-BLOCK = 65_536
+BLOCK = 4_096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
