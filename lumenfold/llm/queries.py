@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, compression, langid, line_dedup, mixing, ngram_join, pii, quality_rules
+from lumenfold.llm import avi, bpe, compression, langid, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,34 @@ def word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(_remainder(4) != 2))
     found = langid.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_avi_motion_jpeg")
+def avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    found = avi.content(avi.store(docs, keep=["doc_id", "n_bytes"]), keep=["doc_id", "n_bytes", "media"])
+    begins = F.array_join(F.transform(F.slice("clips", 2, F.size("clips")), lambda c: F.round(c["start_s"] * avi.FPS).cast("string")), ",")
+    feature = F.concat(
+        F.lit("frames="), "frames", F.lit(";shots="), F.size("clips"), F.lit(";motion="), "motion", F.lit(";cuts="), F.regexp_replace(begins, "[.]0", ""),
+        F.lit(";luma="), F.array_join(F.col("clips.luma").cast("array<string>"), ","),
+    )
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+@query("op7_trie_token_counts")
+def trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = token_counts.count(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_tokens", F.round("log_prob", 3).alias("log_prob"))
