@@ -56,17 +56,18 @@ def dedup_lines(documents: DataFrame, n: int = LINES) -> DataFrame:
     work = Workspace(documents.sparkSession, "line-dedup")
     lost = repeated_lines(documents, work, n).select(F.col("id").alias("_id"), F.col("row").alias("_row"), "lost")
     kept = [c for c in documents.columns if c not in ("text", "n_lines", "n_removed")]
-    rows = documents.select(F.struct(*kept).alias("own"), F.col("doc_id").alias("_doc"), "text", F.xxhash64("doc_id", "text").alias("_hash"))
-    joined = rows.join(lost, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+    # Lines and positions are columns below the join: inside a lambda, an expression would be made anew for each line.
     lines = F.split("text", "\n")
-    at = _filled(lines)
-    gone = F.transform(F.col("lost"), lambda k: F.element_at(at, k))
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    joined = joined.withColumn("gone", gone)
-    text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    rows = documents.select(
+        F.struct(*kept).alias("own"), F.col("doc_id").alias("_doc"), F.xxhash64("doc_id", "text").alias("_hash"), lines.alias("lines"), _filled(lines).alias("at")
+    )
+    joined = rows.join(lost, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+    gone = F.transform("lost", lambda k: F.element_at("at", k))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
+    text = F.when(F.col("lost").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n"))
     return joined.select(
         "own.*",
         text.alias("text"),
-        F.coalesce(F.size(at), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("at"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
