@@ -100,13 +100,21 @@ def _dictionary(texts: list[str], size: int) -> bytes:
         return b"".join(blocks)[-size:]
 
 
-def fit(labelled: DataFrame, sample: Sample | None = None) -> Scorer:
-    """A scorer from ``labelled(doc_id, text, label)``; half the sample makes dictionaries, half the curve."""
+def fit(documents: DataFrame, labels: DataFrame, sample: Sample | None = None) -> Scorer:
+    """A scorer from documents(doc_id, text) and labels(doc_id, label); half the sample makes dictionaries, half the curve.
+
+    The sample's ids are chosen before any text is touched; there are at most 2 x ``Sample.rows``, so they are
+    broadcast, and only their texts come to the driver.
+    """
     sample = sample or Sample()
-    usable = labelled.where("label in (0, 1) and doc_id is not null and length(text) > 0").where(F.length("text") <= sample.chars)
-    order = [F.xxhash64(F.lit(11), "doc_id"), "doc_id", "text"]
-    rows = [usable.where(F.col("label") == k).select("doc_id", "text").orderBy(*order).limit(sample.rows).collect() for k in (1, 0)]
-    texts = [[r.text for r in side] for side in rows]
+    usable = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", "label").distinct()
+    order = [F.xxhash64(F.lit(11), "doc_id"), "doc_id"]
+    chosen = [usable.where(F.col("label") == k).orderBy(*order).limit(sample.rows) for k in (1, 0)]
+    wanted = F.broadcast(chosen[0].union(chosen[1]))
+    short = documents.where((F.length("text") > 0) & (F.length("text") <= sample.chars)).select("doc_id", "text")
+    rows = short.join(wanted, "doc_id").select("label", *(c.alias(f"o{i}") if not isinstance(c, str) else F.col(c) for i, c in enumerate(order)), "text").limit(4 * sample.rows).collect()
+    rows.sort(key=lambda r: (r.o0, r.doc_id, r.text))
+    texts = [[r.text for r in rows if r.label == k] for k in (1, 0)]
     if not all(texts):
         return Scorer(b"", b"")
     scorer = Scorer(*(_dictionary(t[::2], sample.dictionary) for t in texts))

@@ -126,11 +126,14 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: Sample | None = None) -> Model:
-    """A model from ``labelled(doc_id, text, lang)``."""
+    """A model from ``labelled(doc_id, text, lang)``.
+
+    The sample's ids are chosen before any text is read; they are at most ``Sample.rows`` and broadcast.
+    """
     sample = sample or Sample()
-    usable = labelled.where("doc_id is not null and lang is not null and text is not null")
-    order = [F.xxhash64(F.lit(17), "doc_id"), "doc_id", "text"]
-    rows = usable.select("lang", "text", "doc_id").orderBy(*order).limit(sample.rows)
+    usable = labelled.where("doc_id is not null and lang is not null")
+    ids = usable.select("doc_id").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(sample.rows).distinct()
+    rows = usable.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = words.groupBy("word", "lang").count().orderBy(F.desc("count"), "word", "lang").limit(sample.words).collect()
     languages = sorted({r.lang for r in counts})

@@ -6,17 +6,20 @@ in at most as many bits as the sets have shingles apart. Similarity over the thr
 
 * Candidates. In each band of sizes (powers of two) the sketch is cut into more than ``d`` lanes of 2**20 bits,
   stored sparsely as one 64-bit word each: the XOR of the words of the bits set. A shingle apart spoils one
-  lane, so all but d lanes agree (pigeonhole), and then among the d + 1 least lane words of both documents one
-  is shared. Only these are joined. A document near its band's upper end joins in the next band as well. If it
-  has too few lanes with shingles for the argument, it also joins on every single shingle.
+  lane, so all but d lanes agree (pigeonhole), and then the d + l least lane words of both documents have l in
+  common. Only these are counted. A word that no other set has can't be shared; a document with fewer than l
+  others has no partner, and the l - 1 most frequent of its words may go, since a shared one is left. So a
+  passage that many documents quote, which fills a few lanes alike, makes no candidates. A document near its
+  band's upper end joins in the next band as well. If it has too few lanes with shingles for the argument, it
+  keeps all words and joins on every single shingle besides.
 * Filter. A folded sketch of 1,024 bits has a Hamming distance that is no more than the sets' difference; pairs
   above d go before any text is fetched.
 
 What is left is verified by exact intersection. Equal sets meet as one class. A lane word shared by many
-classes isn't expanded into pairs: all are compared with one pivot, linked classes merge, and only pairs
-between components that are still apart go on, by further pivots while these pairs outnumber the rows, and
-one by one after that. So no link between components is lost, and a group of n near copies costs about n
-comparisons a word instead of n squared.
+classes isn't expanded into pairs: all are compared with one pivot first, and linked classes merge. Where
+components are still apart, the word's classes are dealt into blocks of 256, and the folded sketches of each
+two blocks are compared in numpy, which passes on the pairs within d only. So no link between components is
+lost, no task holds more than two blocks of a word, and pairs that aren't close are never rows.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are their own component.
 A text with fewer words than a shingle is one shingle. Rows that share an id keep their own rows and are
@@ -25,11 +28,12 @@ judged by their own texts. Empty tables give empty tables. Further columns don't
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +45,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _U = np.uint64
 FOLDED = 1024
+#: How many classes of a lane word are compared with as many others in one go.
+BLOCK = 256
 #: The most rows of a list of documents that is broadcast (some 24 MB); longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SIGNATURE = T.StructType(
@@ -48,9 +54,10 @@ SIGNATURE = T.StructType(
         T.StructField("cls", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("folded", T.ArrayType(T.LongType())),
-        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("bands", T.ArrayType(T.StructType([T.StructField("band", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]))),
     ]
 )
+_BANDS = pa.list_(pa.struct([("band", pa.int32()), ("need", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
 
 @dataclass(frozen=True)
@@ -102,24 +109,23 @@ def lane_words(shingles: np.ndarray, band: int, lanes: int) -> np.ndarray:
     return mix(joined ^ mix(place[first] + _U(0x632BE59BD9B4E019)))
 
 
-def join_keys(shingles: np.ndarray, join: Join) -> np.ndarray:
-    """The lane words that this set is joined on."""
+def join_keys(shingles: np.ndarray, join: Join) -> list[dict]:
+    """For each band that this set joins in: how many words it must share, and its words."""
     n = len(shingles)
-    if not n:
-        return shingles
     most = 100 * n // join.percent
-    band = n.bit_length() - 1
-    keys = []
-    for at in range(band, most.bit_length()):
-        top = (2 << at) - 1
+    out = []
+    for band in range(n.bit_length() - 1, most.bit_length()):
+        low, top = 1 << band, (2 << band) - 1
         widest = join.apart(top, top)
-        lanes = lane_words(shingles, at, widest + widest // 4 + 3)
-        apart = join.apart(n, min(most, top))
-        if len(lanes) > apart:
-            keys.append(np.partition(lanes, apart)[: apart + 1] if len(lanes) > apart + 1 else lanes)
+        need = 1 + join.apart(low, 100 * low // join.percent) // 2
+        words = lane_words(shingles, band, widest + widest // 16 + need + 2)
+        size = join.apart(n, min(most, top)) + need
+        if len(words) >= size:
+            keys = np.partition(words, size - 1)[:size]
         else:
-            keys += [lanes, mix(shingles ^ _U(0xA0761D6478BD642F))]
-    return np.unique(np.concatenate(keys))
+            need, keys = 1, np.concatenate((words, mix(shingles ^ _U(0xA0761D6478BD642F))))
+        out.append({"band": band, "need": need, "keys": np.unique(keys).view(np.int64)})
+    return out
 
 
 def fold(shingles: np.ndarray) -> np.ndarray:
@@ -132,14 +138,14 @@ def sign(documents: DataFrame, join: Join, keep: list[str]) -> DataFrame:
 
     def compute(texts: pa.Array) -> list:
         data, offsets = text_bytes(texts)
-        cls, size, folded, keys = [], [], [], []
+        cls, size, folded, bands = [], [], [], []
         for i, j in pieces(offsets):
             for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], join.words):
                 size.append(len(s))
                 cls.append(int((mix(s + _U(77)).sum() ^ np.bitwise_xor.reduce(mix(s))).view(np.int64)) if len(s) else None)
                 folded.append(fold(s) if len(s) else None)
-                keys.append(join_keys(s, join).view(np.int64) if len(s) else None)
-        return [pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(folded, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+                bands.append(join_keys(s, join) if len(s) else None)
+        return [pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(folded, pa.list_(pa.int64())), pa.array(bands, _BANDS)]
 
     return add_columns(documents, ["text"], SIGNATURE, compute, keep)
 
@@ -169,17 +175,16 @@ class _Verifier:
         close = close.where(_hamming("f_a", "f_b") <= F.expr(join.apart_sql("n_a", "n_b"))).select("a", "b")
         close = work.save(close, f"{name}-close")
         wanted = work.save(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"{name}-wanted")
-        rows = self.signed.where("cls is not null").join(wanted, "cls")
-        rows = work.save(rows.groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("at")).select("cls", "at.*"), f"{name}-rows")
+        rows = self.signed.where("cls is not null").join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("at"))
+        rows = work.save(rows.select("cls", "at.*"), f"{name}-rows")
         texts = self.documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), "text")
         texts = texts.join(_bounded(rows), (F.col("_row") == F.col("row")) & F.col("_id").eqNullSafe(F.col("doc_id")))
-        texts = work.save(texts.select("cls", "text"), f"{name}-texts").dropDuplicates(["cls"])
-        texts = work.save(texts, f"{name}-unique")
+        texts = work.save(texts.groupBy("cls").agg(F.first("text").alias("text")), f"{name}-texts")
         ta, tb = (texts.select(F.col("cls").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
         both = close.join(ta, "a").join(tb, "b")
         linked = add_columns(both, ["t_a", "t_b"], T.StructType([T.StructField("linked", T.BooleanType())]), self._exact(), ["a", "b"])
         linked = work.save(linked.where("linked").select("a", "b"), f"{name}-links")
-        work.drop(f"{name}-close", f"{name}-wanted", f"{name}-rows", f"{name}-texts", f"{name}-unique")
+        work.drop(f"{name}-close", f"{name}-wanted", f"{name}-rows", f"{name}-texts")
         return linked
 
     def _exact(self):
@@ -199,42 +204,88 @@ class _Verifier:
         return compute
 
 
+def _live_words(signed: DataFrame, work: Workspace) -> DataFrame:
+    """(key, cls, pivot) of the lane words that can show a link; pivot is the least class of each word."""
+    rows = signed.where("cls is not null").select("cls", F.inline("bands")).select("cls", "band", "need", F.explode("keys").alias("key"))
+    counts = rows.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("times"))
+    counts = work.save(counts.where("least < most").select("key", "times"), "counts")
+    shared = work.save(rows.join(counts, "key").distinct(), "shared")
+    by_set = Window.partitionBy("cls", "band")
+    common_first = F.row_number().over(by_set.orderBy(F.desc("times"), "key"))
+    kept = shared.withColumn("place", common_first).withColumn("words", F.count("*").over(by_set))
+    kept = work.save(kept.where("words >= need and place >= need").select("key", "cls"), "kept")
+    pivots = kept.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("most"))
+    pivots = work.save(pivots.where("pivot < most").select("key", "pivot"), "pivots")
+    return kept.join(pivots, "key")
+
+
+def _close_pairs(members: DataFrame, side: DataFrame, join: Join) -> DataFrame:
+    """(a, b): classes of one word but different labels whose folded sketches are near enough.
+
+    ``members``: key, cls, label and m, the word's number of classes. Each two blocks of a word are sorted next
+    to each other, and rows are compared with the first, second, ... row after them while that is of the same
+    two blocks; all comparisons of a batch are one numpy step for each distance.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK)
+    own = F.pmod(F.xxhash64("cls"), blocks)
+    rows = members.join(side, "cls").withColumn("own", own).select("key", "cls", "label", "n", "folded", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    pairs = F.xxhash64("key", "i", "j").alias("both")
+    rows = rows.select(pairs, "key", "i", "j", (F.col("i") == F.col("j")).alias("same"), "own", "cls", "label", "n", "folded")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").drop("key", "i", "j")
+    part, whole = 100 - join.percent, 100 + join.percent
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(rows: pa.Table) -> pa.RecordBatch:
+            both, same, own, cls, label, n = (rows.column(c).to_numpy() for c in ("both", "same", "own", "cls", "label", "n"))
+            folded = rows.column("folded").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(cls), -1)
+            at, step, found = np.arange(len(cls)), 0, []
+            while len(at):
+                step += 1
+                at = at[at + step < len(cls)]
+                at = at[both[at] == both[at + step]]
+                x = at[(label[at] != label[at + step]) & (same[at] | (own[at] != own[at + step]))]
+                for k in range(0, len(x), 1 << 16):
+                    a, b = x[k : k + (1 << 16)], x[k : k + (1 << 16)] + step
+                    apart = np.bitwise_count(folded[a] ^ folded[b]).sum(1)
+                    near = whole * apart <= part * (n[a] + n[b])
+                    found.append((np.minimum(cls[a], cls[b])[near], np.maximum(cls[a], cls[b])[near]))
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            last = batch.column("both").to_numpy(zero_copy_only=False)
+            if not len(last):
+                continue
+            open_from = int(np.flatnonzero(np.append(True, last[1:] != last[:-1]))[-1])
+            if open_from or (waiting and waiting[-1].column("both")[-1].as_py() != last[0]):
+                yield close(pa.Table.from_batches([*waiting, batch.slice(0, open_from)]))
+                waiting = []
+            waiting.append(batch.slice(open_from))
+        if waiting:
+            yield close(pa.Table.from_batches(waiting))
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
 def classes(documents: DataFrame, join: Join, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, cls, n) of all rows, and (node, label) of the classes that link with others."""
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     signed = work.save(sign(rows, join, ["doc_id", "row"]), "signed")
-    keys = signed.where("cls is not null").select("cls", F.explode("keys").alias("key"))
-    pivots = keys.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot < other")
-    pivots = work.save(pivots.select("key", "pivot"), "pivots")
-    live = work.save(keys.join(pivots, "key").where("cls != pivot").distinct(), "live")
+    live = work.save(_live_words(signed, work), "live")
     verifier = _Verifier(documents, signed, join, work)
-    links = verifier.links(live.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), "first")
+    links = verifier.links(live.where("cls != pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), "first")
     labels = components(links, work, "comp-0")
-    members, size, step = live.select("key", "cls"), live.count(), 0
-    while True:
-        named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        named = work.save(named, f"named-{step}")
-        parts = named.groupBy("key", "label").count()
-        crossing = parts.groupBy("key").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("m2"), F.max("label").alias("largest"))
-        crossing = crossing.where("m * m > m2").withColumn("pairs", (F.col("m") * F.col("m") - F.col("m2")) / 2)
-        crossing = work.save(crossing, f"crossing-{step}")
-        total = crossing.agg(F.sum("pairs")).first()[0]
-        if not total:
-            break
-        left = work.save(named.join(crossing.select("key"), "key"), f"left-{step}")
-        if total <= max(size, 100_000):
-            other = left.select("key", F.col("cls").alias("b"), F.col("label").alias("label_b"))
-            pairs = left.join(other, "key").where("label < label_b").select(F.col("cls").alias("a"), "b")
-        else:
-            pivots = work.save(left.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(step), "cls").alias("h"), "cls", "label")).alias("p")), f"pivot-{step}")
-            pairs = left.join(pivots, "key").where("label != p.label").select(F.col("cls").alias("a"), F.col("p.cls").alias("b"))
-            members = left.join(pivots, "key").where("cls != p.cls").select("key", "cls")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(verifier.links(pairs, f"next-{step}"))
-        labels = components(links, work, f"comp-{step + 1}")
-        if total <= max(size, 100_000):
-            break
-        step += 1
+    named = live.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    named = work.save(named.withColumn("label", F.coalesce("label", "cls")), "named")
+    apart = named.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = work.save(apart.where("low < high").select("key", "m"), "apart")
+    close = work.save(_close_pairs(named.join(apart, "key"), verifier.side, join), "close")
+    links = links.union(verifier.links(close.distinct(), "second"))
+    labels = components(links, work, "comp-1")
+    work.drop("named", "apart", "close", "live")
     return signed.select("doc_id", "row", "cls", "n"), labels
 
 
@@ -249,7 +300,7 @@ def link(documents: DataFrame, join: Join | None = None) -> DataFrame:
     out = named.join(least, "label", "left")
     out = out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     out = work.save(out, "result")
-    work.drop("signed", "pivots", "live", "labelled", "least")
+    work.drop("signed", "counts", "shared", "kept", "pivots", "side", "labelled", "least")
     return out
 
 

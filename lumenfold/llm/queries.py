@@ -164,7 +164,7 @@ def _remainder(by: int) -> Column:
 def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    scorer = compression.fit(docs.where(_remainder(5) != 0).join(labels, "doc_id"))
+    scorer = compression.fit(docs.where(_remainder(5) != 0), labels.where(_remainder(5) != 0))
     scored = compression.score(docs, scorer, keep=["doc_id"])
     return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
