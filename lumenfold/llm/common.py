@@ -27,7 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: About how many bytes of a batch a Python worker works on at once.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
+#: Rows and bytes of an Arrow batch, where the session sets nothing: with Spark's 10,000 rows, texts of some KB
+#: make batches of tens of MB in the executor's memory beside its heap, for each task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets BATCH in a session that has Spark's own values."""
+    for name, value in BATCH.items():
+        if spark.conf.get(name, "10000") == "10000":
+            spark.conf.set(name, value)
 
 
 class Workspace:
@@ -57,6 +67,7 @@ def add_columns(
     ``compute`` gets one Arrow array per input and returns one array per added column. A column of ``frame``
     that has the name of an added one is replaced.
     """
+    bound_batches(frame.sparkSession)
     names = set(added.fieldNames())
     kept = [c for c in (frame.columns if keep is None else keep) if c not in names]
     carried = [c for c in inputs if c not in kept]
@@ -83,7 +94,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows that hold about ``most`` bytes; a longer row is a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import add_columns
+from lumenfold.llm.common import add_columns, bound_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -231,6 +231,7 @@ def learn(documents: DataFrame, text: str = "text") -> Field:
                     seen.update((f"after {a}", b) for a, b in zip(labels, labels[1:]))
         yield pa.RecordBatch.from_pydict({"what": [k[0] for k in seen], "label": [k[1] for k in seen], "n": list(seen.values())}, schema=pa.schema([("what", pa.string()), ("label", pa.string()), ("n", pa.int64())]))
 
+    bound_batches(documents.sparkSession)
     counts = documents.select(text).mapInArrow(count, schema).groupBy("what", "label").agg(F.sum("n").alias("n"))
     return Field({(r.what, r.label): r.n for r in counts.collect()})
 
