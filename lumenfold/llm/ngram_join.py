@@ -16,8 +16,9 @@ in at most as many bits as the sets have shingles apart. Similarity over the thr
   above d go before any text is fetched.
 
 What is left is verified by exact intersection. Equal sets meet as one class. A lane word shared by many
-classes isn't expanded into pairs: all are compared with one pivot first, and linked classes merge. Where
-components are still apart, the word's classes are dealt into blocks of 256, and the folded sketches of each
+classes isn't expanded into pairs: all are compared with one pivot, and linked classes merge; where components
+are still apart, with another pivot, five in all, which joins a dense group at one row a class and pivot. Where
+components are apart even then, the word's classes are dealt into blocks of 256, and the folded sketches of each
 two blocks are compared in numpy, which passes on the pairs within d only. So no link between components is
 lost, no task holds more than two blocks of a word, and pairs that aren't close are never rows.
 
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import Workspace, add_columns, pieces, text_bytes
+from lumenfold.llm.common import Workspace, add_columns, bound_batches, pieces, text_bytes
 from lumenfold.llm.components import components
 from lumenfold.llm.words import find_words, mix, windows
 
@@ -47,6 +48,8 @@ _U = np.uint64
 FOLDED = 1024
 #: How many classes of a lane word are compared with as many others in one go.
 BLOCK = 256
+#: How often the classes of a lane word are compared with one of them before all are compared in blocks.
+PIVOTS = 5
 #: The most rows of a list of documents that is broadcast (some 24 MB); longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SIGNATURE = T.StructType(
@@ -205,7 +208,7 @@ class _Verifier:
 
 
 def _live_words(signed: DataFrame, work: Workspace) -> DataFrame:
-    """(key, cls, pivot) of the lane words that can show a link; pivot is the least class of each word."""
+    """(key, cls) of the lane words that can show a link."""
     rows = signed.where("cls is not null").select("cls", F.inline("bands")).select("cls", "band", "need", F.explode("keys").alias("key"))
     counts = rows.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("times"))
     counts = work.save(counts.where("least < most").select("key", "times"), "counts")
@@ -213,10 +216,7 @@ def _live_words(signed: DataFrame, work: Workspace) -> DataFrame:
     by_set = Window.partitionBy("cls", "band")
     common_first = F.row_number().over(by_set.orderBy(F.desc("times"), "key"))
     kept = shared.withColumn("place", common_first).withColumn("words", F.count("*").over(by_set))
-    kept = work.save(kept.where("words >= need and place >= need").select("key", "cls"), "kept")
-    pivots = kept.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("most"))
-    pivots = work.save(pivots.where("pivot < most").select("key", "pivot"), "pivots")
-    return kept.join(pivots, "key")
+    return kept.where("words >= need and place >= need").select("key", "cls")
 
 
 def _close_pairs(members: DataFrame, side: DataFrame, join: Join) -> DataFrame:
@@ -226,6 +226,7 @@ def _close_pairs(members: DataFrame, side: DataFrame, join: Join) -> DataFrame:
     to each other, and rows are compared with the first, second, ... row after them while that is of the same
     two blocks; all comparisons of a batch are one numpy step for each distance.
     """
+    bound_batches(members.sparkSession)
     blocks = F.ceil(F.col("m") / BLOCK)
     own = F.pmod(F.xxhash64("cls"), blocks)
     rows = members.join(side, "cls").withColumn("own", own).select("key", "cls", "label", "n", "folded", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
@@ -274,18 +275,27 @@ def classes(documents: DataFrame, join: Join, work: Workspace) -> tuple[DataFram
     """(doc_id, row, cls, n) of all rows, and (node, label) of the classes that link with others."""
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     signed = work.save(sign(rows, join, ["doc_id", "row"]), "signed")
-    live = work.save(_live_words(signed, work), "live")
-    verifier = _Verifier(documents, signed, join, work)
-    links = verifier.links(live.where("cls != pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), "first")
-    labels = components(links, work, "comp-0")
-    named = live.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    named = work.save(named.withColumn("label", F.coalesce("label", "cls")), "named")
-    apart = named.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-    apart = work.save(apart.where("low < high").select("key", "m"), "apart")
-    close = work.save(_close_pairs(named.join(apart, "key"), verifier.side, join), "close")
-    links = links.union(verifier.links(close.distinct(), "second"))
-    labels = components(links, work, "comp-1")
-    work.drop("named", "apart", "close", "live")
+    named = work.save(_live_words(signed, work).withColumn("label", F.col("cls")), "named-0")
+    verifier, links = _Verifier(documents, signed, join, work), None
+    for step in range(PIVOTS + 1):
+        first = F.xxhash64(F.lit(step), "cls")
+        apart = named.groupBy("key").agg(
+            F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("cls", first).alias("pivot"), F.min_by("label", first).alias("by")
+        )
+        apart = work.save(apart.where("low < high").select("key", "m", "pivot", "by"), f"apart-{step}")
+        open_words = named.join(apart, "key")
+        if step < PIVOTS:
+            pairs = open_words.where("label != by").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+        else:
+            pairs = work.save(_close_pairs(open_words.drop("pivot", "by"), verifier.side, join), "close")
+        found = verifier.links(pairs.distinct(), f"step-{step}")
+        links = found if links is None else links.union(found)
+        labels = components(links, work, f"components-{step}")
+        if step < PIVOTS:
+            renamed = open_words.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+            named = work.save(renamed.withColumn("label", F.coalesce("label", "cls")), f"named-{step + 1}")
+            work.drop(f"named-{step}", f"apart-{step}")
+    work.drop(f"named-{PIVOTS}", f"apart-{PIVOTS}", "close")
     return signed.select("doc_id", "row", "cls", "n"), labels
 
 
@@ -300,7 +310,7 @@ def link(documents: DataFrame, join: Join | None = None) -> DataFrame:
     out = named.join(least, "label", "left")
     out = out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     out = work.save(out, "result")
-    work.drop("signed", "counts", "shared", "kept", "pivots", "side", "labelled", "least")
+    work.drop("signed", "counts", "shared", "side", "labelled", "least")
     return out
 
 
