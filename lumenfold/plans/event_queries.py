@@ -64,7 +64,7 @@ _STEPS = {"folder": 1, "download": 2, "chapters": 3}
 def _stage_sql(i: int, name: str, types: tuple[str, ...], field: str | None) -> str:
     any_type = " OR ".join(f"coalesce(list_contains(types, '{t}'), false)" for t in types)
     past = f"coalesce(list_position(['folder', 'download', 'chapters', 'completed'], current_step) > {_STEPS.get(name, 9)}, false)"
-    art = {"extract": "(n_chapters + 1) // 2", "finalise_chapters": "n_chapters // 3 + CASE WHEN n_chapters > 0 THEN 1 ELSE 0 END"}.get(name, "0")
+    art = {"extract": "(n_chapters + 1) // 2", "finalise_chapters": "(n_chapters + 2) // 3"}.get(name, "0")
     if name in C.CHAPTER_STAGES:
         count = f"greatest({art}, coalesce(n_{name}, 0))"
         done, total = f"n_chapters > 0 AND {count} >= n_chapters", "CASE WHEN n_chapters > 0 THEN n_chapters END"
@@ -103,7 +103,7 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.announcements(events.stage_states(job_states(spark, sf_dir), V.job_events(spark, sf_dir)))
 
 
-@query("a13_artifact_counts", f"WITH {_JOBS} SELECT job_id, CAST((n_chapters + 1) // 2 AS INTEGER) AS extracted, CAST(n_chapters // 3 + CASE WHEN n_chapters > 0 THEN 1 ELSE 0 END AS INTEGER) AS finalised FROM states".replace("n_chapters // 3 + CASE WHEN n_chapters > 0 THEN 1 ELSE 0 END", "CASE WHEN n_chapters > 3 THEN 2 WHEN n_chapters > 0 THEN 1 ELSE 0 END"))
+@query("a13_artifact_counts", f"WITH {_JOBS} SELECT job_id, CAST((n_chapters + 1) // 2 AS INTEGER) AS extracted, CAST((n_chapters + 2) // 3 AS INTEGER) AS finalised FROM states")
 def artifact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events.artifact_counts("chapters")
     return job_states(spark, sf_dir).select("job_id", found["extract"].alias("extracted"), found["finalise_chapters"].alias("finalised"))

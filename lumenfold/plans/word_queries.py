@@ -186,11 +186,11 @@ def ranked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a6_emotional_flow", f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 3) AS ss FROM documents),
 v AS (SELECT doc_id, list_transform(ss, lambda x: (length(x) % 16) / 16.0::DOUBLE) AS c FROM s),
 u AS (SELECT doc_id, c, coalesce(list_var_pop(c), 0.0) AS v FROM v)
-SELECT doc_id, round(CASE WHEN len(c) = 0 THEN 0.0 ELSE least(1.0, (v + CASE WHEN len(c) > 1 THEN abs(c[len(c)] - c[1]) ELSE 0.0 END) / 2) END, 6) AS flow FROM u""")
+SELECT doc_id, round(CASE WHEN len(c) = 0 THEN 0.0 ELSE least(1.0, (v + CASE WHEN len(c) > 1 THEN abs(c[len(c)] - c[1]) ELSE 0.0 END) / 2) END, 9) AS flow FROM u""")
 def emotional_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", segments.sentences("text").alias("ss"))
     docs = docs.select("doc_id", F.transform("ss", lambda s: (F.length(s) % 16) / 16.0).alias("c"))
-    return docs.select("doc_id", F.round(segments.emotional_flow(F.col("c")), 6).alias("flow"))
+    return docs.select("doc_id", F.round(segments.emotional_flow(F.col("c")), 9).alias("flow"))
 
 
 @query("p17_p18_clamped_chapters", f"""WITH {V.CHAPTERS}
