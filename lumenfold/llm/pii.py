@@ -4,10 +4,12 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers. A field ov
 adds mentions that the patterns miss because they are written differently. Its nodes are the patterns' matches
 (labels known) and further runs that look like numbers or addresses. Potentials are:
 
-* at a node, how often a run of its shape is a match of each kind, counted over all documents;
+* at a node, how often a run of its shape is a match of each kind, counted over all documents. A loose run with
+  a skip link to a match has no known label and isn't counted; other loose runs count as no match;
 * between neighbours, how often one label follows another, counted likewise;
 * on skip links, a bonus for equal labels between nodes whose normalised tokens are equal or almost so,
-  however far apart.
+  however far apart. The bonus is above what a node's and its two neighbours' potentials can hold against it, so
+  that it doesn't fade as counts grow with the table.
 
 Loopy sum-product passing along these links settles the labels, and a run whose best label is a kind, with a
 skip link to a mention of that kind, becomes a span. A document without candidates costs one scan.
@@ -52,8 +54,10 @@ LOOSE = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:@|\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\})\s?[A-Za-z0-9-]+)*"
     r"|[+(]?[0-9](?:[ ().,/_:-]{0,2}[0-9]){6,}"
 )
-#: Weight of a skip link: log odds that linked tokens share their label.
-COUPLING = 3.0
+#: The most that a node's own potential, and each neighbour's, says against a label (log odds), however large the counts.
+OWN_MOST, CHAIN_MOST = 4.0, 1.0
+#: Weight of a skip link: log odds that linked tokens share their label; above OWN_MOST + 2 * CHAIN_MOST.
+COUPLING = 8.0
 ROUNDS = 8
 Span = tuple[str, int, int]
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -171,13 +175,13 @@ class Field:
 
     def infer(self, found: list[tuple[int, int, int, str]], links: list[tuple[int, int]]) -> np.ndarray:
         """Beliefs (node by label) after some rounds of passing along neighbours and skip links."""
-        own = np.stack([self.shapes.get(shape(f[3]), self.unknown) for f in found]).clip(-4, 0)
+        own = np.stack([self.shapes.get(shape(f[3]), self.unknown) for f in found]).clip(-OWN_MOST, 0)
         known = np.array([f[2] for f in found])
         own[known >= 0] = -50.0
         own[np.flatnonzero(known >= 0), known[known >= 0]] = 0.0
         chain = [(i, i + 1) for i in range(len(found) - 1)]
         ends = np.array(chain + links, np.int64).reshape(-1, 2)
-        tables = np.concatenate([np.repeat((0.25 * self.follows)[None], len(chain), 0), np.repeat((COUPLING * np.eye(len(LABELS)))[None], len(links), 0)])
+        tables = np.concatenate([np.repeat((0.25 * self.follows).clip(-CHAIN_MOST, 0)[None], len(chain), 0), np.repeat((COUPLING * np.eye(len(LABELS)))[None], len(links), 0)])
         source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
@@ -226,9 +230,10 @@ def learn(documents: DataFrame, text: str = "text") -> Field:
                 value = value.as_py()
                 if value and may_hold(value):
                     found = nodes(value, base_spans(value))
-                    labels = [LABELS[max(f[2], 0)] for f in found]
-                    seen.update((shape(f[3]), label) for f, label in zip(found, labels))
-                    seen.update((f"after {a}", b) for a, b in zip(labels, labels[1:]))
+                    open_runs = {i for j, i in _links(found) if found[i][2] < 0 <= found[j][2]}
+                    labels = [None if i in open_runs else LABELS[max(f[2], 0)] for i, f in enumerate(found)]
+                    seen.update((shape(f[3]), label) for f, label in zip(found, labels) if label)
+                    seen.update((f"after {a}", b) for a, b in zip(labels, labels[1:]) if a and b)
         yield pa.RecordBatch.from_pydict({"what": [k[0] for k in seen], "label": [k[1] for k in seen], "n": list(seen.values())}, schema=pa.schema([("what", pa.string()), ("label", pa.string()), ("n", pa.int64())]))
 
     bound_batches(documents.sparkSession)

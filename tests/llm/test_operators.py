@@ -74,6 +74,15 @@ def test_skip_links_spread_a_label():
     assert len(base) == 1 and len(spans) == 2
 
 
+def test_skip_links_hold_on_large_tables(spark):
+    runs = ["see jo [at] site.org", "ref 4111.1111.1111.1111 and 1-555-010-9998 here", "1-555-010-9997 or 1-555-010-9996", "+1 555 010 9999 or a@b.org"]
+    linked = ["mail jo@site.org, jo [at] site.org", "card 4111 1111 1111 1111 and 4111.1111.1111.1111", "call +1 555 010 9999 now, 1-555-010-9999 or 1-555-010-9998"]
+    field = pii.learn(spark.createDataFrame([(r,) for r in runs * 3000 + linked], "text string").repartition(4))
+    for text, kinds in zip(linked, (["email"] * 2, ["card"] * 2, ["phone"] * 3)):
+        assert [s[0] for s in pii.find_spans(text, field)[1]] == kinds
+    assert [pii.find_spans(r, field)[1] for r in runs[:3]] == [[], [], []]
+
+
 def test_quality_counts(docs, rows):
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     wanted = sorted(((i, *(brute.quality(t)[c] for c in columns)) for i, t, *_ in rows), key=repr)
