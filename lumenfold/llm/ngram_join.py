@@ -299,13 +299,17 @@ def classes(documents: DataFrame, join: Join, work: Workspace) -> tuple[DataFram
     return signed.select("doc_id", "row", "cls", "n"), labels
 
 
+def _labelled(documents: DataFrame, join: Join, work: Workspace) -> DataFrame:
+    """(doc_id, row, n, label) a row: the component itself, whatever the ids; null without shingles."""
+    rows, labels = classes(documents.select("doc_id", "text"), join, work)
+    named = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return work.save(named.select("doc_id", "row", "n", "label"), "labelled")
+
+
 def link(documents: DataFrame, join: Join | None = None) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) a row: the least id reachable by links."""
-    join = join or Join()
     work = Workspace(documents.sparkSession, "ngram-join")
-    rows, labels = classes(documents.select("doc_id", "text"), join, work)
-    named = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = work.save(named.select("doc_id", "row", "n", "label"), "labelled")
+    named = _labelled(documents, join or Join(), work)
     least = work.save(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     out = named.join(least, "label", "left")
     out = out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
@@ -316,12 +320,14 @@ def link(documents: DataFrame, join: Join | None = None) -> DataFrame:
 
 def keep_one(documents: DataFrame, join: Join | None = None) -> DataFrame:
     """``documents`` with one row of each component: that of the least (doc_id, row hash)."""
-    linked = link(documents, join)
-    mates = linked.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("size"))
+    joined = Workspace(documents.sparkSession, "ngram-join")
+    linked = _labelled(documents, join or Join(), joined).where("label is not null")
+    joined.drop("signed", "counts", "shared", "side")
+    mates = linked.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("size"))
     mates = mates.where("size > 1")
     work = Workspace(documents.sparkSession, "keep-one")
     mates = work.save(mates, "mates")
-    grouped = linked.where("n_shingles > 0").join(mates, "component_id")
+    grouped = linked.join(mates, "label")
     losers = work.save(grouped.where(F.struct("doc_id", "row") != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), "losers")
     rows = documents.withColumn("_hash", F.xxhash64("doc_id", "text"))
     left = rows.join(_bounded(losers), (F.col("_hash") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
