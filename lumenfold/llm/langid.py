@@ -4,10 +4,12 @@ A known word adds its log frequency in each language. An unknown word falls back
 its end and beginning: for each place the longest known n-gram, from ``longest`` letters down to one. A
 text's score is the mean over its words, and the probability a softmax over the languages.
 
-The model is fitted on a bounded sample: ``Sample.rows`` documents with the least hash of those with a
-language. Their words are counted by Spark, and of these counts the ``Sample.words`` most frequent come to the
-driver, so its size is bounded whatever the input. It is broadcast with the task, at most some 20 MB. Predicting
-is one map without a shuffle.
+The model is fitted on a bounded sample of each language by itself, so that every language with a label is
+learned at every size and skew: about ``Sample.rows`` ids of each language, those whose hash is under the
+language's share (all, if it has no more). Their words are counted by Spark, and of each language the
+``Sample.words`` most frequent come to the driver; n-grams are limited by language likewise. With very many
+languages, both limits fall so that languages times rows stay within ``Sample.cells`` for each of the two. The
+model is broadcast. Predicting is one map without a shuffle.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Rows without id or language
 aren't learned from. With nothing to learn from, all is ``und``. Ties go to the first language by code point.
@@ -24,7 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,17 +36,24 @@ UNKNOWN = "und"
 _WORDS = regex.compile(r"\p{L}+").findall
 CACHED_WORDS = 200_000
 GROUP_CHARS = 1 << 20
+#: What is added to each count of a word or n-gram.
+SMOOTH = 0.05
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 @dataclass(frozen=True)
 class Sample:
-    """The bound of what is learned from, and of the model."""
+    """The bound of what is learned from, and of the model: rows, words and n-grams of each language."""
 
     rows: int = 6000
     words: int = 60_000
     ngrams: int = 40_000
     longest: int = 4
+    cells: int = 8_000_000
+
+    def each(self, limit: int, languages: int) -> int:
+        """``limit`` for each of so many languages, or what ``cells`` leave of it."""
+        return max(1, min(limit, self.cells // max(languages, 1) ** 2))
 
 
 class Model:
@@ -52,17 +61,20 @@ class Model:
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], sample: Sample) -> None:
         self.languages, self.longest = languages, sample.longest
-        totals = sum(words.values(), np.zeros(len(languages))) + 1.0
+        # Smoothing counts in the totals, or what a language with few words lacks would seem likely in it.
+        totals = sum(words.values(), np.zeros(len(languages))) + 1.0 + SMOOTH * len(words)
         known = [w for w, n in words.items() if n.sum() > 1]
         grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
         for word, n in words.items():
             for g in self._grams(word):
                 grams[g] += np.sqrt(n)
-        best = sorted(grams.items(), key=lambda x: (-x[1].sum(), x[0]))[: sample.ngrams]
+        most = sample.each(sample.ngrams, len(languages))
+        chosen = {g for k in range(len(languages)) for g in sorted((g for g in grams if grams[g][k]), key=lambda g: (-grams[g][k], g))[:most]}
+        best = sorted(((g, grams[g]) for g in chosen), key=lambda x: (-x[1].sum(), x[0]))
         by_size: dict[int, np.ndarray] = defaultdict(lambda: np.ones(len(languages)))
         for g, n in best:
-            by_size[len(g)] += n
-        rows = [np.log((words[w] + 0.05) / totals) for w in known] + [np.log((n + 0.05) / by_size[len(g)]) for g, n in best]
+            by_size[len(g)] += n + SMOOTH
+        rows = [np.log((words[w] + SMOOTH) / totals) for w in known] + [np.log((n + SMOOTH) / by_size[len(g)]) for g, n in best]
         self.words = {w: i for i, w in enumerate(known)}
         self.grams = {g: len(known) + i for i, (g, _) in enumerate(best)}
         self.table = np.array([*rows, np.zeros(len(languages))]).reshape(len(rows) + 1, len(languages))
@@ -125,18 +137,44 @@ class Model:
         return names, scores
 
 
+def _place(column: str) -> Column:
+    """An even value in [0, 1) by hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(17), column), 11) / F.lit(float(1 << 53))
+
+
+def _cut(times: dict[int, int], most: int) -> tuple[int, float]:
+    """(count, share): with all words above the count, and this share of those at it, there are about ``most``."""
+    taken = 0
+    for n in sorted(times, reverse=True):
+        if taken + times[n] > most:
+            return n, (most - taken) / times[n]
+        taken += times[n]
+    return 0, 0.0
+
+
 def fit(labelled: DataFrame, sample: Sample | None = None) -> Model:
     """A model from ``labelled(doc_id, text, lang)``.
 
-    The sample's ids are chosen before any text is read; they are at most ``Sample.rows`` and broadcast.
+    The sample's ids are about ``Sample.rows`` a language, of those with a text, and broadcast.
+    No step sorts or collects a language in one task: shares are taken by hash.
     """
     sample = sample or Sample()
     usable = labelled.where("doc_id is not null and lang is not null")
-    ids = usable.select("doc_id").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(sample.rows).distinct()
-    rows = usable.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
+    sizes = usable.where("text is not null").groupBy("lang").agg(F.countDistinct("doc_id").alias("ids"))
+    ids = usable.where("text is not null").select("lang", "doc_id").join(F.broadcast(sizes), "lang")
+    ids = ids.where(_place("doc_id") * F.col("ids") < sample.rows).select("lang", "doc_id").distinct()
+    rows = usable.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["lang", "doc_id"])
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word", "lang").count().orderBy(F.desc("count"), "word", "lang").limit(sample.words).collect()
-    languages = sorted({r.lang for r in counts})
+    counted = words.groupBy("word", "lang").count().persist()
+    times = defaultdict(dict)
+    for r in counted.groupBy("lang", "count").agg(F.count("*").alias("words")).collect():
+        times[r.lang][r["count"]] = r.words
+    languages = sorted(times)
+    most = sample.each(sample.words, len(languages))
+    cuts = labelled.sparkSession.createDataFrame([(lang, *_cut(times[lang], most)) for lang in languages], "lang string, least long, share double")
+    wanted = (F.col("count") > F.col("least")) | ((F.col("count") == F.col("least")) & (_place("word") < F.col("share")))
+    counts = counted.join(F.broadcast(cuts), "lang").where(wanted).collect()
+    counted.unpersist()
     table: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
     for r in counts:
         table[r.word][languages.index(r.lang)] += r["count"]
