@@ -4,15 +4,15 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers. A field ov
 adds mentions that the patterns miss because they are written differently. Its nodes are the patterns' matches
 (labels known) and further runs that look like numbers or addresses. Potentials are:
 
-* at a node, how often a run of its shape is a match of each kind, counted over all documents. A loose run with
-  a skip link to a match has no known label and isn't counted; other loose runs count as no match;
+* at a node, how often a run of its shape is a match of each kind, counted over all documents. A loose run that
+  skip links join to a match has no known label and isn't counted; other loose runs count as no match;
 * between neighbours, how often one label follows another, counted likewise;
 * on skip links, a bonus for equal labels between nodes whose normalised tokens are equal or almost so,
   however far apart. The bonus is above what a node's and its two neighbours' potentials can hold against it, so
   that it doesn't fade as counts grow with the table.
 
-Loopy sum-product passing along these links settles the labels, and a run whose best label is a kind, with a
-skip link to a mention of that kind, becomes a span. A document without candidates costs one scan.
+Loopy sum-product passing along these links settles the labels, and a run whose best label is a kind, and which
+skip links join to a mention of that kind, becomes a span. A document without candidates costs one scan.
 
 Nodes that share a token are linked in a star around the first, and tokens that are almost equal through
 buckets of deletion variants, so that n mentions have about n links.
@@ -52,13 +52,14 @@ _IP = re.compile("(?<![0-9])" + PATTERNS["ip"].pattern)
 #: Runs that may be a mention: addresses in another notation, and numbers with other separators.
 LOOSE = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:@|\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\})\s?[A-Za-z0-9-]+)*"
+    r"|(?<![0-9])[0-9]{1,3}(?:\s?(?:[.,:_-]|\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\{dot\})\s?[0-9]{1,3}){3}(?![ ().,/_:-]{0,2}[0-9])"
     r"|[+(]?[0-9](?:[ ().,/_:-]{0,2}[0-9]){6,}"
 )
 #: The most that a node's own potential, and each neighbour's, says against a label (log odds), however large the counts.
 OWN_MOST, CHAIN_MOST = 4.0, 1.0
 #: Weight of a skip link: log odds that linked tokens share their label; above OWN_MOST + 2 * CHAIN_MOST.
 COUPLING = 8.0
-ROUNDS = 8
+ROUNDS, MOST_ROUNDS = 8, 60
 Span = tuple[str, int, int]
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -109,6 +110,14 @@ def token(kind_or_text: str) -> str:
     return re.sub("[^0-9]", "", text)
 
 
+def tokens(text: str) -> list[str]:
+    """The normal forms by which a mention is linked: its token, if long enough, and that of an IP address."""
+    key = token(text)
+    parts = re.split("[^0-9]+", text)
+    ip = len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
+    return [k for k in (key, ".".join(str(int(p)) for p in parts) if ip else "") if len(k) >= 7]
+
+
 def shape(text: str) -> str:
     """What a node's own potential depends on; few values, whatever the text."""
     if re.search(r"[A-Za-z@]", text):
@@ -132,30 +141,56 @@ def nodes(text: str, base: list[Span]) -> list[tuple[int, int, int, str]]:
 
 
 def may_hold(text: str) -> bool:
-    return re.search(r"@|[0-9][^A-Za-z]{0,3}[0-9]|[\[({]at[\])}]", text) is not None
+    return re.search(r"@|\+[0-9]|[0-9][^A-Za-z]{0,3}[0-9]|[\[({]at[\])}]", text) is not None
 
 
 def _links(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
-    """Skip links: to the first mention with the same token, and to the first known one that differs in a letter."""
-    keys = [token(f[3]) for f in found]
+    """Skip links: to the first mention with the same token, and of unknown ones to the first with an almost equal one.
+
+    Known mentions come first, and repeated unknown ones keep their own links to those that are almost equal.
+    """
     first: dict[str, int] = {}
-    links = []
+    links: set[tuple[int, int]] = set()
     for i in sorted(range(len(found)), key=lambda i: (found[i][2] < 0, i)):
-        if len(keys[i]) >= 7:
-            j = first.setdefault(keys[i], i)
+        for key in tokens(found[i][3]):
+            j = first.setdefault(key, i)
             if j != i:
-                links.append((j, i))
-            elif len(keys[i]) <= 40:
-                near = {first[v] for v in _variants(keys[i]) if v in first}
-                links += [(j, i) for j in near if j != i and found[i][2] < 0]
-                for v in _variants(keys[i]):
+                links.add((j, i))
+            if len(key) <= 40 and not (j != i and found[j][2] >= 0):
+                if found[i][2] < 0:
+                    links.update((first[v], i) for v in _near(key) if first.get(v, i) != i)
+                for v in _variants(key):
                     first.setdefault(v, i)
-    return links
+    return sorted(links)
 
 
 def _variants(key: str) -> list[str]:
-    """What is left when one letter goes, marked with its place: tokens share one if a letter differs."""
-    return [f"{k}|{key[:k]}|{key[k + 1:]}" for k in range(len(key))]
+    """What is left when one letter goes, marked with its place and without, and a number without its country code."""
+    out = [f"{k}|{key[:k]}|{key[k + 1:]}" for k in range(len(key))] + [f"-|{key[:k]}{key[k + 1:]}" for k in range(len(key))]
+    return out + [f"-|{key[k:]}" for k in (2, 3) if key.isdigit() and len(key) >= 9 + k]
+
+
+def _near(key: str) -> list[str]:
+    """Where tokens are found that differ from this one in a letter, or have one more or less, or a country code."""
+    bare = key.lstrip("0") if key.isdigit() else key
+    out = _variants(key)[: len(key)] + [f"-|{key}", f"-|{bare}"] + [key[:k] + key[k + 1 :] for k in range(len(key))]
+    return out + [key[k:] for k in (2, 3) if key.isdigit() and len(key) >= 9 + k]
+
+
+def _groups(n: int, links: list[tuple[int, int]]) -> list[int]:
+    """The skip-linked component of each node."""
+    group = list(range(n))
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        group[max(a, b)] = min(a, b)
+    return [top(i) for i in range(n)]
 
 
 class Field:
@@ -179,20 +214,27 @@ class Field:
         known = np.array([f[2] for f in found])
         own[known >= 0] = -50.0
         own[np.flatnonzero(known >= 0), known[known >= 0]] = 0.0
+        # A component's loose runs weigh as one, or repeated ones would outvote the mention they are linked to.
+        group = np.array(_groups(len(found), links))
+        share = np.where(known >= 0, 1.0, 1.0 / np.maximum(np.bincount(group[known < 0], minlength=len(found)), 1)[group])
+        own *= share[:, None]
+        weight = np.minimum(share[:-1], share[1:])[:, None, None]
         chain = [(i, i + 1) for i in range(len(found) - 1)]
         ends = np.array(chain + links, np.int64).reshape(-1, 2)
-        tables = np.concatenate([np.repeat((0.25 * self.follows).clip(-CHAIN_MOST, 0)[None], len(chain), 0), np.repeat((COUPLING * np.eye(len(LABELS)))[None], len(links), 0)])
+        tables = np.concatenate([weight * (0.25 * self.follows).clip(-CHAIN_MOST, 0)[None], np.repeat((COUPLING * np.eye(len(LABELS)))[None], len(links), 0)])
         source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
         sent = np.zeros((len(source), len(LABELS)))
-        for _ in range(ROUNDS):
+        for _ in range(min(max(ROUNDS, 4 * len(links)), MOST_ROUNDS)):
             belief = own.copy()
             np.add.at(belief, target, sent)
             out = (belief[source] - sent[back])[:, :, None] + tables
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None]).sum(1))
-            sent = 0.5 * sent + 0.5 * (new - new.max(1, keepdims=True))
+            was, sent = sent, 0.5 * sent + 0.5 * (new - new.max(1, keepdims=True))
+            if np.abs(sent - was).max(initial=0) < 1e-3:
+                break
         belief = own.copy()
         np.add.at(belief, target, sent)
         return belief
@@ -209,8 +251,9 @@ def find_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
         links = _links(found)
         if any(found[i][2] < 0 for pair in links for i in pair):
             labels = field.infer(found, links).argmax(1)
-            linked = {i for j, i in links if found[j][2] == labels[i]}  # to a known mention, which comes first
-            spans |= {(LABELS[labels[i]], found[i][0], found[i][1]) for i in linked if found[i][2] < 0}
+            group = _groups(len(found), links)
+            known = {(g, f[2]) for g, f in zip(group, found) if f[2] > 0}  # the kinds of each component's known mentions
+            spans |= {(LABELS[k], f[0], f[1]) for g, k, f in zip(group, labels, found) if f[2] < 0 and (g, k) in known}
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     return sorted(base, key=order), sorted(spans, key=order)
 
@@ -230,7 +273,9 @@ def learn(documents: DataFrame, text: str = "text") -> Field:
                 value = value.as_py()
                 if value and may_hold(value):
                     found = nodes(value, base_spans(value))
-                    open_runs = {i for j, i in _links(found) if found[i][2] < 0 <= found[j][2]}
+                    group = _groups(len(found), _links(found))
+                    held = {g for g, f in zip(group, found) if f[2] >= 0}
+                    open_runs = {i for i, f in enumerate(found) if f[2] < 0 and group[i] in held}
                     labels = [None if i in open_runs else LABELS[max(f[2], 0)] for i, f in enumerate(found)]
                     seen.update((shape(f[3]), label) for f, label in zip(found, labels) if label)
                     seen.update((f"after {a}", b) for a, b in zip(labels, labels[1:]) if a and b)
