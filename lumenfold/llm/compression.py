@@ -6,7 +6,8 @@ sizes over the plain size is the evidence, and the plain size over the text's ow
 logistic curve fitted on labelled texts that no dictionary has seen turns them into a probability.
 
 The model is fitted on a bounded sample of labelled rows: at most ``Sample.rows`` of each label, those with
-the least hash, none longer than ``Sample.chars``; so what the driver holds doesn't grow with the input. The
+the least hash, and of each id its least text of at most ``Sample.chars``; so what the driver holds doesn't grow with
+the input, and two fits are equal. The
 dictionaries (2 x 64 KB) are broadcast. Scoring is one map without a shuffle, whole texts in blocks.
 
 Defined cases: null and empty texts have no evidence and get the score at zero evidence. Rows with a null id
@@ -112,8 +113,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: Sample | None = None) -
     chosen = [usable.where(F.col("label") == k).orderBy(*order).limit(sample.rows) for k in (1, 0)]
     wanted = F.broadcast(chosen[0].union(chosen[1]))
     short = documents.where((F.length("text") > 0) & (F.length("text") <= sample.chars)).select("doc_id", "text")
-    rows = short.join(wanted, "doc_id").select("label", *(c.alias(f"o{i}") if not isinstance(c, str) else F.col(c) for i, c in enumerate(order)), "text").limit(4 * sample.rows).collect()
-    rows.sort(key=lambda r: (r.o0, r.doc_id, r.text))
+    rows = short.join(wanted, "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text"), F.first(order[0]).alias("place")).collect()
+    rows.sort(key=lambda r: (r.place, r.doc_id))
     texts = [[r.text for r in rows if r.label == k] for k in (1, 0)]
     if not all(texts):
         return Scorer(b"", b"")
