@@ -2,7 +2,8 @@
 
 A known word adds its log frequency in each language. An unknown word falls back to the character n-grams at
 its end and beginning: for each place the longest known n-gram, from ``longest`` letters down to one. A
-text's score is the mean over its words, and the probability a softmax over the languages.
+text's evidence is the sum over its words divided by the square root of their number, and the probability a softmax
+over the languages.
 
 The model is fitted on a bounded sample of each language by itself, so that every language with a label is
 learned at every size and skew: about ``Sample.rows`` ids of each language, those whose hash is under the

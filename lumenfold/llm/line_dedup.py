@@ -5,7 +5,7 @@ again, and all lines covered by an occurrence after the first go. Overlapping an
 because what is collected is line positions. The first occurrence is the one with the least (doc_id, row hash,
 position).
 
-Only windows that repeat meet again, and their first place comes from a hash aggregate with map-side combine,
+Only windows that repeat meet again, and their first place comes from an aggregate with map-side combine,
 so that a passage in a third of all rows makes one row a task; the lookup is a join that adaptive execution can
 split. Text is shuffled once.
 
@@ -33,7 +33,7 @@ def _filled(lines: Column) -> Column:
 
 
 def repeated_lines(documents: DataFrame, work: Workspace, n: int = LINES) -> DataFrame:
-    """(id, row, lost): for each row that loses lines, their positions in its text."""
+    """(id, row, lost): for each row that loses lines, which of its filled lines; a written table."""
     rows = documents.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n").alias("lines"))
     rows = rows.withColumn("at", _filled(F.col("lines"))).where(F.size("at") >= n)
 
@@ -48,7 +48,9 @@ def repeated_lines(documents: DataFrame, work: Workspace, n: int = LINES) -> Dat
     firsts = work.save(firsts.where(F.col("first") != F.col("last")).select("h1", "h2", "first"), "firsts")
     again = spots.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
     covered = again.select("id", "row", F.explode(F.sequence(F.col("k"), F.col("k") + (n - 1))).alias("k"))
-    return covered.groupBy("id", "row").agg(F.collect_set("k").alias("lost"))
+    lost = work.save(covered.groupBy("id", "row").agg(F.collect_set("k").alias("lost")), "lost")
+    work.drop("windows", "firsts")
+    return lost
 
 
 def dedup_lines(documents: DataFrame, n: int = LINES) -> DataFrame:
