@@ -6,18 +6,21 @@ added, and a document is emitted once for each integer that its part of the sum
 stretch of sizes gets its share, so that the words taken come near the target.
 
 The running count is found in three levels - sizes of a source, blocks of 4,096 ids of a size, rows of a
-block - so that no task holds a whole source, and what is summed up first is counts.
+block - so that no task holds a whole source, and what is summed up first is counts. Ids that aren't whole numbers
+are ordered by block of their hash first, and rows without an id by that of their text's.
 
 Defined cases: a null text has size 0 and is never taken for its words; sources sort by code point with null
 last; rows that repeat an id are ordered by their text's hash, and equal rows are told apart by nothing: which
 of them is emitted more often doesn't show. An empty table gives an empty table. A source of size 0 has target
-0 and none of its documents is emitted. Further columns are carried along.
+0 and none of its documents is emitted. Further columns are carried along; ``plan_copies`` replaces those named as results,
+and ``mix`` replaces none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.llm.common import WORD
 
@@ -57,20 +60,33 @@ def _offset(seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**32))
 
 
+def _block(ids: T.DataType) -> Column:
+    """Blocks of whole-number ids in their order; of other ids, and of rows without one, by hash."""
+    by_id = F.floor(F.col("id") / BLOCK) if isinstance(ids, T.IntegralType) else F.shiftright(F.xxhash64("id"), 44)
+    none = F.when(F.col("id").isNull(), F.shiftright("tie", 44))
+    return F.struct(F.when(F.col("id").isNotNull(), by_id).alias("of"), none.alias("none"))
+
+
 def plan_copies(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """``documents`` with size, source_size, target and copies: how often the mix takes each."""
     made = ["size", "source_size", "target", "copies"]
     kept = [c for c in documents.columns if c not in made]
-    rows = documents.select(F.struct(*kept).alias("row"), "source", F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    return _planned(documents, seed, weights, most).select(*(F.col("row")[c].alias(c) for c in kept), *made)
+
+
+def _planned(documents: DataFrame, seed: str, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(row, size, source_size, target, copies), where ``row`` holds all of a document's own columns."""
+    rows = documents.select(F.struct("*").alias("row"), "source", F.col("doc_id").alias("id"), F.col("text").alias("text"))
     rows = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("block", F.floor(F.col("id") / BLOCK)).drop("text")
+    rows = rows.withColumn("tie", F.xxhash64("text")).drop("text")
+    rows = rows.withColumn("block", _block(documents.schema["doc_id"].dataType))
 
     blocks = rows.groupBy("source", "size", "block").agg(F.count("*").alias("n"))
     by_size = blocks.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     earlier = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     by_size = by_size.select("source", "size", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("smaller"))
-    earlier = Window.partitionBy("source", "size").orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source", "size").orderBy(F.col("block.of").asc_nulls_last(), "block.none").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("lower", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     targets = source_targets(sizes, weights, most).withColumn("offset", _offset(seed))
 
@@ -86,11 +102,10 @@ def plan_copies(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...
     count = F.col("smaller") + F.col("lower") + F.col("place")
     upto = F.floor(F.col("expected") * count + F.col("offset"))
     below = F.floor(F.col("expected") * (count - 1) + F.col("offset"))
-    return placed.select("row.*", "size", "source_size", "target", (upto - below).alias("copies"))
+    return placed.select("row", "size", "source_size", "target", (upto - below).alias("copies"))
 
 
 def mix(documents: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    planned = plan_copies(documents, seed, weights, most).where("copies > 0")
-    copies = planned.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return copies.drop("_copy")
+    planned = _planned(documents, seed, weights, most).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
