@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,11 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    A local session without it gets a temporary folder; on a cluster its executors would each write to their own
+    disk and rows would be missed, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
         folder = f"file://{tempfile.gettempdir()}/lumenfold-checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
