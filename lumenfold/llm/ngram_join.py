@@ -15,12 +15,16 @@ in at most as many bits as the sets have shingles apart. Similarity over the thr
 * Filter. A folded sketch of 1,024 bits has a Hamming distance that is no more than the sets' difference; pairs
   above d go before any text is fetched.
 
-What is left is verified by exact intersection. Equal sets meet as one class. A lane word shared by many
-classes isn't expanded into pairs: all are compared with one pivot, and linked classes merge; where components
-are still apart, with another pivot, five in all, which joins a dense group at one row a class and pivot. Where
-components are apart even then, the word's classes are dealt into blocks of 256, and the folded sketches of each
-two blocks are compared in numpy, which passes on the pairs within d only. So no link between components is
-lost, no task holds more than two blocks of a word, and pairs that aren't close are never rows.
+What is left is a graph of near sets. A word of two classes gives its pair; the classes of a longer list are dealt
+into blocks, and the folded sketches of each two blocks are compared in numpy, which passes on a spanning forest
+and not all pairs. The components of that graph are clusters. Every link lies inside one, and there each two
+classes are compared once, block by block, by exact intersection where their sketches are near and nothing has
+joined them yet; what leaves is again a spanning forest. So rows grow with the classes of a dense group, times its
+blocks, and not with its pairs. A block holds about 256 classes, or more where a list would be dealt into more than
+64 blocks, and, in clusters, about 4 MB of shingles at most beside its longest set.
+
+Equal sets meet as one class, known by two 64-bit hashes. Of classes that agree in the first alone, each gets a
+name of its own.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are their own component.
 A text with fewer words than a shingle is one shingle. Rows that share an id keep their own rows and are
@@ -46,15 +50,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _U = np.uint64
 FOLDED = 1024
-#: How many classes of a lane word are compared with as many others in one go.
-BLOCK = 256
-#: How often the classes of a lane word are compared with one of them before all are compared in blocks.
-PIVOTS = 5
+#: About how many classes make a block, and the most blocks; a group with more classes has larger blocks.
+BLOCK, MOST_BLOCKS = 256, 64
+#: About the most shingles of a cluster's block (4 MB).
+BLOCK_SHINGLES = 1 << 19
 #: The most rows of a list of documents that is broadcast (some 24 MB); longer lists are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SIGNATURE = T.StructType(
     [
         T.StructField("cls", T.LongType()),
+        T.StructField("other", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("folded", T.ArrayType(T.LongType())),
         T.StructField("bands", T.ArrayType(T.StructType([T.StructField("band", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]))),
@@ -137,18 +142,19 @@ def fold(shingles: np.ndarray) -> np.ndarray:
 
 
 def sign(documents: DataFrame, join: Join, keep: list[str]) -> DataFrame:
-    """Class hash, size, folded sketch and join keys of each text; nulls where there is no shingle."""
+    """Class hashes, size, folded sketch and join keys of each text; nulls where there is no shingle."""
 
     def compute(texts: pa.Array) -> list:
         data, offsets = text_bytes(texts)
-        cls, size, folded, bands = [], [], [], []
+        cls, other, size, folded, bands = [], [], [], [], []
         for i, j in pieces(offsets):
             for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], join.words):
                 size.append(len(s))
                 cls.append(int((mix(s + _U(77)).sum() ^ np.bitwise_xor.reduce(mix(s))).view(np.int64)) if len(s) else None)
+                other.append(int(mix(s + _U(0xB5297A4D3F84D5A7)).sum().view(np.int64)) if len(s) else None)
                 folded.append(fold(s) if len(s) else None)
                 bands.append(join_keys(s, join) if len(s) else None)
-        return [pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(folded, pa.list_(pa.int64())), pa.array(bands, _BANDS)]
+        return [pa.array(cls, pa.int64()), pa.array(other, pa.int64()), pa.array(size, pa.int64()), pa.array(folded, pa.list_(pa.int64())), pa.array(bands, _BANDS)]
 
     return add_columns(documents, ["text"], SIGNATURE, compute, keep)
 
@@ -162,49 +168,12 @@ def _bounded(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
 
 
-class _Verifier:
-    """Turns candidate pairs of classes into links."""
-
-    def __init__(self, documents: DataFrame, signed: DataFrame, join: Join, work: Workspace) -> None:
-        self.documents, self.signed, self.join, self.work = documents, signed, join, work
-        side = signed.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.first("folded").alias("folded"))
-        self.side = work.save(side, "side")
-
-    def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        work, join = self.work, self.join
-        a, b = (self.side.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("folded").alias(f"f_{x}")) for x in "ab")
-        close = pairs.join(a, "a").join(b, "b")
-        close = close.where(f"100 * least(n_a, n_b) >= {join.percent} * greatest(n_a, n_b)")
-        close = close.where(_hamming("f_a", "f_b") <= F.expr(join.apart_sql("n_a", "n_b"))).select("a", "b")
-        close = work.save(close, f"{name}-close")
-        wanted = work.save(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"{name}-wanted")
-        rows = self.signed.where("cls is not null").join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("doc_id", "row")).alias("at"))
-        rows = work.save(rows.select("cls", "at.*"), f"{name}-rows")
-        texts = self.documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), "text")
-        texts = texts.join(_bounded(rows), (F.col("_row") == F.col("row")) & F.col("_id").eqNullSafe(F.col("doc_id")))
-        texts = work.save(texts.groupBy("cls").agg(F.first("text").alias("text")), f"{name}-texts")
-        ta, tb = (texts.select(F.col("cls").alias(x), F.col("text").alias(f"t_{x}")) for x in "ab")
-        both = close.join(ta, "a").join(tb, "b")
-        linked = add_columns(both, ["t_a", "t_b"], T.StructType([T.StructField("linked", T.BooleanType())]), self._exact(), ["a", "b"])
-        linked = work.save(linked.where("linked").select("a", "b"), f"{name}-links")
-        work.drop(f"{name}-close", f"{name}-wanted", f"{name}-rows", f"{name}-texts")
-        return linked
-
-    def _exact(self):
-        words, percent = self.join.words, self.join.percent
-
-        def compute(left: pa.Array, right: pa.Array) -> list:
-            sides = []
-            for texts in (left, right):
-                data, offsets = text_bytes(texts)
-                sides.append([s for i, j in pieces(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)])
-            out = []
-            for x, y in zip(*sides):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            return [pa.array(out, pa.bool_())]
-
-        return compute
+def _sides(signed: DataFrame) -> DataFrame:
+    """Each class once: size, folded sketch, the least and greatest of its second hashes, and one of its rows."""
+    found = signed.where("cls is not null").groupBy("cls")
+    return found.agg(
+        F.first("n").alias("n"), F.first("folded").alias("folded"), F.min("other").alias("low"), F.max("other").alias("high"), F.min(F.struct("doc_id", "row")).alias("at")
+    )
 
 
 def _live_words(signed: DataFrame, work: Workspace) -> DataFrame:
@@ -219,83 +188,151 @@ def _live_words(signed: DataFrame, work: Workspace) -> DataFrame:
     return kept.where("words >= need and place >= need").select("key", "cls")
 
 
-def _close_pairs(members: DataFrame, side: DataFrame, join: Join) -> DataFrame:
-    """(a, b): classes of one word but different labels whose folded sketches are near enough.
+def _dealt(rows: DataFrame, group: str, blocks: Column, keep: list[str]) -> DataFrame:
+    """Rows of each group side by side for each two of its blocks (i, j); ``own`` is a row's own block.
 
-    ``members``: key, cls, label and m, the word's number of classes. Each two blocks of a word are sorted next
-    to each other, and rows are compared with the first, second, ... row after them while that is of the same
-    two blocks; all comparisons of a batch are one numpy step for each distance.
+    A class's block comes from its hash, and each row is sent to every block that it is compared with.
+    """
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    rows = rows.withColumn("blocks", blocks.cast("bigint")).withColumn("own", own)
+    rows = rows.select(group, "own", *keep, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("with"))
+    rows = rows.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
+    rows = rows.select(F.xxhash64(group, "i", "j").alias("both"), (F.col("i") == F.col("j")).alias("same"), "own", *keep, group, "i", "j")
+    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "own").drop(group, "i", "j")
+
+
+def _blocks() -> Column:
+    """So many blocks for a group of ``m`` classes."""
+    return F.least(F.ceil(F.col("m") / BLOCK), F.lit(MOST_BLOCKS))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, no group (of equal ``both``) cut."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        ids = batch.column("both").to_numpy(zero_copy_only=False)
+        if not len(ids):
+            continue
+        open_from = int(np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))[-1])
+        if open_from or (waiting and waiting[-1].column("both")[-1].as_py() != ids[0]):
+            yield pa.Table.from_batches([*waiting, batch.slice(0, open_from)])
+            waiting = []
+        waiting.append(batch.slice(open_from))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _forest(rows: pa.Table, join: Join, exact: bool) -> pa.RecordBatch:
+    """(a, b): edges that span the near classes of each group; with ``exact``, the linked ones by their ``set``.
+
+    Each row is compared with the first, second, ... row after it while that is of the same group, and near ones are
+    joined. In a group of two blocks, each block is joined by itself first, without a word, since (i, i) tells of
+    that; only what is then joined across the two is told. The edges of a joined part are a star.
     """
-    bound_batches(members.sparkSession)
-    blocks = F.ceil(F.col("m") / BLOCK)
-    own = F.pmod(F.xxhash64("cls"), blocks)
-    rows = members.join(side, "cls").withColumn("own", own).select("key", "cls", "label", "n", "folded", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    pairs = F.xxhash64("key", "i", "j").alias("both")
-    rows = rows.select(pairs, "key", "i", "j", (F.col("i") == F.col("j")).alias("same"), "own", "cls", "label", "n", "folded")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").drop("key", "i", "j")
-    part, whole = 100 - join.percent, 100 + join.percent
+    both, same, own, cls, n = (rows.column(c).to_numpy() for c in ("both", "same", "own", "cls", "n"))
+    folded = rows.column("folded").combine_chunks().values.to_numpy().view(_U).reshape(len(cls), -1)
+    sets = [np.frombuffer(s.as_buffer(), _U) for s in rows.column("set")] if exact else []
+    part, whole, root = 100 - join.percent, 100 + join.percent, np.arange(len(cls))
+
+    def joins(p: int, q: int) -> bool:
+        if not exact:
+            return True
+        shared = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        return 100 * shared >= join.percent * (len(sets[p]) + len(sets[q]) - shared)
+
+    def merge(across: bool) -> None:
+        at, step = np.flatnonzero(~same) if across else np.arange(len(cls)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(cls)]
+            at = at[both[at] == both[at + step]]
+            x = at[(root[at] != root[at + step]) & ((own[at] != own[at + step]) == across)]
+            for k in range(0, len(x), 1 << 16):
+                a, b = x[k : k + (1 << 16)], x[k : k + (1 << 16)] + step
+                near = whole * np.bitwise_count(folded[a] ^ folded[b]).sum(1) <= part * (n[a] + n[b])
+                near &= 100 * np.minimum(n[a], n[b]) >= join.percent * np.maximum(n[a], n[b])
+                for p, q in zip(a[near].tolist(), b[near].tolist()):
+                    if root[p] != root[q] and joins(p, q):
+                        root[root == root[q]] = root[p]
+
+    def least(names: np.ndarray) -> np.ndarray:
+        """The least of the names in each row's joined part."""
+        out = np.full(len(cls), np.iinfo(np.int64).max)
+        np.minimum.at(out, root, names)
+        return out[root]
+
+    merge(False)
+    inner = least(cls)
+    merge(True)
+    ends = np.where(same, cls, inner)
+    star = np.unique(np.stack([least(ends), ends]), axis=1)
+    star = star[:, star[0] != star[1]]
+    return pa.RecordBatch.from_arrays([pa.array(star[0]), pa.array(star[1])], names=["a", "b"])
+
+
+def _spanning(dealt: DataFrame, join: Join, exact: bool = False) -> DataFrame:
+    """The edges of ``_forest`` over rows from ``_dealt``."""
+    bound_batches(dealt.sparkSession)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows: pa.Table) -> pa.RecordBatch:
-            both, same, own, cls, label, n = (rows.column(c).to_numpy() for c in ("both", "same", "own", "cls", "label", "n"))
-            folded = rows.column("folded").combine_chunks().values.to_numpy().view(np.uint64).reshape(len(cls), -1)
-            at, step, found = np.arange(len(cls)), 0, []
-            while len(at):
-                step += 1
-                at = at[at + step < len(cls)]
-                at = at[both[at] == both[at + step]]
-                x = at[(label[at] != label[at + step]) & (same[at] | (own[at] != own[at + step]))]
-                for k in range(0, len(x), 1 << 16):
-                    a, b = x[k : k + (1 << 16)], x[k : k + (1 << 16)] + step
-                    apart = np.bitwise_count(folded[a] ^ folded[b]).sum(1)
-                    near = whole * apart <= part * (n[a] + n[b])
-                    found.append((np.minimum(cls[a], cls[b])[near], np.maximum(cls[a], cls[b])[near]))
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            a, b = np.unique(np.stack([a, b]), axis=1) if len(a) else (a, b)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            last = batch.column("both").to_numpy(zero_copy_only=False)
-            if not len(last):
-                continue
-            open_from = int(np.flatnonzero(np.append(True, last[1:] != last[:-1]))[-1])
-            if open_from or (waiting and waiting[-1].column("both")[-1].as_py() != last[0]):
-                yield close(pa.Table.from_batches([*waiting, batch.slice(0, open_from)]))
-                waiting = []
-            waiting.append(batch.slice(open_from))
-        if waiting:
-            yield close(pa.Table.from_batches(waiting))
-
-    return rows.mapInArrow(compare, "a long, b long")
+        for rows in _whole_groups(batches):
+            yield _forest(rows, join, exact)
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _near(words: DataFrame, side: DataFrame, join: Join, work: Workspace) -> DataFrame:
+    """(a, b): edges whose components hold all pairs that share a live word and have near sketches."""
+    lists = words.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("a"), F.max("cls").alias("b"))
+    lists = work.save(lists.where("m > 1"), "lists")
+    sketches = side.select("cls", "n", "folded")
+    a, b = (side.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("folded").alias(f"f_{x}")) for x in "ab")
+    two = lists.where("m = 2").select("a", "b").distinct().join(a, "a").join(b, "b")
+    two = two.where(f"100 * least(n_a, n_b) >= {join.percent} * greatest(n_a, n_b)")
+    two = two.where(_hamming("f_a", "f_b") <= F.expr(join.apart_sql("n_a", "n_b"))).select("a", "b")
+    more = words.join(lists.where("m > 2").select("key", "m"), "key").join(sketches, "cls")
+    return work.save(two.union(_spanning(_dealt(more, "key", _blocks(), ["cls", "n", "folded"]), join)).distinct(), "near")
+
+
+def _sets(documents: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """(cls, set): the sorted shingle hashes of the wanted (cls, doc_id, row)."""
+
+    def compute(texts: pa.Array) -> list:
+        data, offsets = text_bytes(texts)
+        found = (s for i, j in pieces(offsets) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], join.words))
+        return [pa.array([s.tobytes() for s in found], pa.binary())]
+
+    rows = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), "text")
+    rows = rows.join(_bounded(wanted), (F.col("_row") == F.col("row")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    made = add_columns(rows.select("cls", "text"), ["text"], T.StructType([T.StructField("set", T.BinaryType())]), compute, ["cls"])
+    return made.groupBy("cls").agg(F.first("set").alias("set"))
+
+
+def _links(documents: DataFrame, near: DataFrame, side: DataFrame, join: Join, work: Workspace) -> DataFrame:
+    """(a, b): links that span each component of linked classes."""
+    clusters = components(near, work, "clusters").withColumnRenamed("node", "cls")
+    members = work.save(side.join(clusters, "cls").select("cls", "label", "n", "folded", "at.*"), "members")
+    sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    sets = _sets(documents, members.select("cls", "doc_id", "row"), join)
+    rows = members.select("cls", "label", "n", "folded").join(sets, "cls").join(sizes, "label")
+    blocks = F.greatest(_blocks(), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    return work.save(_spanning(_dealt(rows, "label", blocks, ["cls", "n", "folded", "set"]), join, exact=True), "links")
 
 
 def classes(documents: DataFrame, join: Join, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, cls, n) of all rows, and (node, label) of the classes that link with others."""
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     signed = work.save(sign(rows, join, ["doc_id", "row"]), "signed")
-    named = work.save(_live_words(signed, work).withColumn("label", F.col("cls")), "named-0")
-    verifier, links = _Verifier(documents, signed, join, work), None
-    for step in range(PIVOTS + 1):
-        first = F.xxhash64(F.lit(step), "cls")
-        apart = named.groupBy("key").agg(
-            F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("cls", first).alias("pivot"), F.min_by("label", first).alias("by")
-        )
-        apart = work.save(apart.where("low < high").select("key", "m", "pivot", "by"), f"apart-{step}")
-        open_words = named.join(apart, "key")
-        if step < PIVOTS:
-            pairs = open_words.where("label != by").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-        else:
-            pairs = work.save(_close_pairs(open_words.drop("pivot", "by"), verifier.side, join), "close")
-        found = verifier.links(pairs.distinct(), f"step-{step}")
-        links = found if links is None else links.union(found)
-        labels = components(links, work, f"components-{step}")
-        if step < PIVOTS:
-            renamed = open_words.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-            named = work.save(renamed.withColumn("label", F.coalesce("label", "cls")), f"named-{step + 1}")
-            work.drop(f"named-{step}", f"apart-{step}")
-    work.drop(f"named-{PIVOTS}", f"apart-{PIVOTS}", "close")
+    side = work.save(_sides(signed), "side")
+    clash = side.where("low < high").select("cls", F.lit(True).alias("twice"))
+    if clash.limit(1).count():
+        told = signed.join(clash, "cls", "left").withColumn("cls", F.when(F.col("twice"), F.xxhash64("cls", "other")).otherwise(F.col("cls")))
+        signed = work.save(told.drop("twice"), "told-apart")
+        side = work.save(_sides(signed), "sides-apart")
+    words = work.save(_live_words(signed, work), "words")
+    links = _links(documents, _near(words, side, join, work), side, join, work)
+    labels = components(links, work, "components")
+    work.drop("counts", "shared", "words", "lists", "near", "members", "links")
     return signed.select("doc_id", "row", "cls", "n"), labels
 
 
@@ -314,28 +351,30 @@ def link(documents: DataFrame, join: Join | None = None) -> DataFrame:
     out = named.join(least, "label", "left")
     out = out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
     out = work.save(out, "result")
-    work.drop("signed", "counts", "shared", "side", "labelled", "least")
+    work.drop("signed", "side", "told-apart", "sides-apart", "labelled", "least")
     return out
 
 
 def keep_one(documents: DataFrame, join: Join | None = None) -> DataFrame:
-    """``documents`` with one row of each component: that of the least (doc_id, row hash)."""
+    """``documents``, all columns as they are, with one row of each component: that of the least (doc_id, row hash)."""
     joined = Workspace(documents.sparkSession, "ngram-join")
     linked = _labelled(documents, join or Join(), joined).where("label is not null")
-    joined.drop("signed", "counts", "shared", "side")
+    joined.drop("signed", "side", "told-apart", "sides-apart")
     mates = linked.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("size"))
     mates = mates.where("size > 1")
     work = Workspace(documents.sparkSession, "keep-one")
     mates = work.save(mates, "mates")
     grouped = linked.join(mates, "label")
     losers = work.save(grouped.where(F.struct("doc_id", "row") != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), "losers")
-    rows = documents.withColumn("_hash", F.xxhash64("doc_id", "text"))
-    left = rows.join(_bounded(losers), (F.col("_hash") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    rows = documents.select(F.struct("*").alias("own"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
+    on = (F.col("hash") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))
+    left = rows.join(_bounded(losers), on, "left_anti")
     # A winner may itself be repeated row for row; only then are rows told apart by a shuffle.
     again = grouped.where(F.struct("doc_id", "row") == F.col("best")).groupBy("doc_id", "row").count().where("count > 1")
     again = work.save(again.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), "again")
+    work.drop("mates")
+    joined.drop("labelled")
     if again.limit(1).count():
-        on = (F.col("_hash") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-        twice = left.join(again, on, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        twice = left.join(again, on, "left_semi").dropDuplicates(["id", "hash"])
         left = left.join(again, on, "left_anti").union(twice)
-    return left.drop("_hash")
+    return left.select("own.*")
