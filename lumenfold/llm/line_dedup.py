@@ -67,9 +67,10 @@ def dedup_lines(documents: DataFrame, n: int = LINES) -> DataFrame:
     gone = F.transform("lost", lambda k: F.element_at("at", k))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
     text = F.when(F.col("lost").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n"))
-    return joined.select(
-        "own.*",
+    made = joined.select(
+        "own",
         text.alias("text"),
         F.coalesce(F.size("at"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
+    return made.select(*(F.col("own")[c].alias(c) for c in kept), "text", "n_lines", "n_removed")
