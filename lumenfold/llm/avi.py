@@ -16,7 +16,8 @@ cuts, timed by the header's frame rate. One map without a shuffle.
 
 Defined cases: a null or empty payload is padded like any other, to one frame. Repeated rows are equal files.
 Further columns are carried along; those named as results are replaced. Memory is some 30 bytes a byte of a
-million-byte stretch, plus the file. An index that doesn't fit its file raises ValueError.
+million-byte stretch, plus the file. ``read`` raises ValueError for a file that it can't read: no AVI, no index or one
+that points beyond the file, colour frames, broken data. ``content`` says so in ``error`` and gives nulls.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def parse(data: bytes) -> tuple[float, list[bytes]]:
     """(frames a second, the frames by the index) of an AVI file."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    fps, movie, index = float(FPS), None, b""
+    fps, movie, index = float(FPS), None, None
     at, stop = 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
     while at + 8 <= stop:
         name, size = struct.unpack_from("<4sI", data, at)
@@ -121,11 +122,13 @@ def parse(data: bytes) -> tuple[float, list[bytes]]:
         elif name == b"idx1":
             index = data[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    if movie is None or len(index) % 16:
+    if movie is None or index is None or len(index) % 16:
         raise ValueError("no frames or no index")
     entries = np.frombuffer(index, np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
-    entries = entries[entries["id"] == b"00dc"]
-    starts = entries["at"].astype(np.int64) + movie + 8
+    entries = entries[np.isin(entries["id"], [b"00dc", b"00db"])]
+    # Offsets count from the list's name or, in some files, from the file's beginning.
+    base = movie if not len(entries) or data[movie + entries["at"][0] :][:4] == entries["id"][0] else 0
+    starts = entries["at"].astype(np.int64) + base + 8
     stops = starts + entries["size"]
     if len(entries) and stops.max() > len(data):
         raise ValueError("the index points beyond the file")
@@ -300,16 +303,26 @@ def store(documents: DataFrame, text: str = "text", keep: list[str] | None = Non
 
 
 CLIP = T.StructType([T.StructField("clip", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("frames", T.IntegerType()), T.StructField("luma", T.IntegerType())])
-CONTENT = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("frames", T.IntegerType()), T.StructField("motion", T.IntegerType()), T.StructField("clips", T.ArrayType(CLIP))])
+CONTENT = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("frames", T.IntegerType()), T.StructField("motion", T.IntegerType()), T.StructField("clips", T.ArrayType(CLIP)), T.StructField("error", T.StringType())])
 _CLIPS = pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("luma", pa.int32())]))
 
 
+def _read_or_error(data: bytes) -> dict:
+    try:
+        return read(data)
+    except (ValueError, KeyError, IndexError, struct.error) as fault:
+        return {"error": str(fault) or type(fault).__name__}
+
+
 def content(frame: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """``frame`` with payload, frames, motion and clips read from the files in ``media``; null files give nulls."""
+    """``frame`` with payload, frames, motion and clips read from the files in ``media``, or the ``error`` that prevents it.
+
+    Null files give nulls, without an error.
+    """
 
     def compute(files: pa.Array) -> list:
-        rows = [read(f.as_py()) if f.is_valid else {} for f in files]
-        kinds = {"payload": pa.binary(), "frames": pa.int32(), "motion": pa.int32(), "clips": _CLIPS}
+        rows = [_read_or_error(f.as_py()) if f.is_valid else {} for f in files]
+        kinds = {"payload": pa.binary(), "frames": pa.int32(), "motion": pa.int32(), "clips": _CLIPS, "error": pa.string()}
         return [pa.array([r.get(c) for r in rows], kind) for c, kind in kinds.items()]
 
     return add_columns(frame, [media], CONTENT, compute, keep)
