@@ -53,13 +53,16 @@ _IP = re.compile("(?<![0-9])" + PATTERNS["ip"].pattern)
 LOOSE = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:@|\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\})\s?[A-Za-z0-9-]+)*"
     r"|(?<![0-9])[0-9]{1,3}(?:\s?(?:[.,:_-]|\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\{dot\})\s?[0-9]{1,3}){3}(?![ ().,/_:-]{0,2}[0-9])"
-    r"|[+(]?[0-9](?:[ ().,/_:-]{0,2}[0-9]){6,}"
+    r"|(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().,/_:-]{0,2}[0-9]){6,}(?![A-Za-z])"
 )
 #: The most that a node's own potential, and each neighbour's, says against a label (log odds), however large the counts.
 OWN_MOST, CHAIN_MOST = 4.0, 1.0
 #: Weight of a skip link: log odds that linked tokens share their label; above OWN_MOST + 2 * CHAIN_MOST.
 COUPLING = 8.0
 ROUNDS, MOST_ROUNDS = 8, 60
+#: The shortest token that links with others that are almost equal; shorter addresses link with equal ones only.
+NEAR_LEAST = 7
+_PRIME, _BASE = (1 << 61) - 1, 0x1F35BD2A7C4E91
 Span = tuple[str, int, int]
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -111,11 +114,11 @@ def token(kind_or_text: str) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    """The normal forms by which a mention is linked: its token, if long enough, and that of an IP address."""
+    """The normal forms by which a mention is linked: its token, if it is an address or has 7 digits, and that of an IP address."""
     key = token(text)
     parts = re.split("[^0-9]+", text)
     ip = len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
-    return [k for k in (key, ".".join(str(int(p)) for p in parts) if ip else "") if len(k) >= 7]
+    return [k for k in (key if len(key) >= NEAR_LEAST or "@" in key else "", ".".join(str(int(p)) for p in parts) if ip else "") if k]
 
 
 def shape(text: str) -> str:
@@ -149,32 +152,45 @@ def _links(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
 
     Known mentions come first, and repeated unknown ones keep their own links to those that are almost equal.
     """
-    first: dict[str, int] = {}
+    first: dict[str | tuple, int] = {}
     links: set[tuple[int, int]] = set()
     for i in sorted(range(len(found)), key=lambda i: (found[i][2] < 0, i)):
         for key in tokens(found[i][3]):
             j = first.setdefault(key, i)
             if j != i:
                 links.add((j, i))
-            if len(key) <= 40 and not (j != i and found[j][2] >= 0):
+            if len(key) >= NEAR_LEAST and not (j != i and found[j][2] >= 0):
+                mine, near = _variants(key)
                 if found[i][2] < 0:
-                    links.update((first[v], i) for v in _near(key) if first.get(v, i) != i)
-                for v in _variants(key):
+                    links.update((first[v], i) for v in near if first.get(v, i) != i)
+                for v in mine:
                     first.setdefault(v, i)
     return sorted(links)
 
 
-def _variants(key: str) -> list[str]:
-    """What is left when one letter goes, marked with its place and without, and a number without its country code."""
-    out = [f"{k}|{key[:k]}|{key[k + 1:]}" for k in range(len(key))] + [f"-|{key[:k]}{key[k + 1:]}" for k in range(len(key))]
-    return out + [f"-|{key[k:]}" for k in (2, 3) if key.isdigit() and len(key) >= 9 + k]
+def _variants(key: str) -> tuple[list[tuple], list[tuple]]:
+    """(where this token waits, where it finds others that are almost equal), by hashes, so in time linear in its length.
 
-
-def _near(key: str) -> list[str]:
-    """Where tokens are found that differ from this one in a letter, or have one more or less, or a country code."""
-    bare = key.lstrip("0") if key.isdigit() else key
-    out = _variants(key)[: len(key)] + [f"-|{key}", f"-|{bare}"] + [key[:k] + key[k + 1 :] for k in range(len(key))]
-    return out + [key[k:] for k in (2, 3) if key.isdigit() and len(key) >= 9 + k]
+    It waits at what is left when one letter goes, with that letter's place (for tokens with another letter there)
+    and without (for tokens without it), at itself, and as a number without its country code. It looks there for
+    others, and at itself and without leading zeros for tokens with a letter or a country code more.
+    """
+    n, before, power = len(key), [0], [1]
+    for c in key:
+        before.append((before[-1] * _BASE + ord(c)) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+
+    def part(i: int, j: int) -> int:
+        return (before[j] - before[i] * power[j - i]) % _PRIME
+
+    placed = [("at", k, n, part(0, k), part(k + 1, n)) for k in range(n)]
+    less = [("less", n - 1, (part(0, k) * power[n - k - 1] + part(k + 1, n)) % _PRIME) for k in range(n)]
+    codes = [k for k in (2, 3) if key.isdigit() and n >= 9 + k]
+    short = [("less", n - k, part(k, n)) for k in codes]
+    zeros = n - len(key.lstrip("0")) if key.isdigit() else 0
+    mine = [*placed, *less, *short, ("whole", n, part(0, n))]
+    near = [*placed, ("less", n, part(0, n)), ("less", n - zeros, part(zeros, n)), *(("whole", *v[1:]) for v in [*less, *short])]
+    return mine, near
 
 
 def _groups(n: int, links: list[tuple[int, int]]) -> list[int]:
