@@ -24,10 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; n_chars follows the text. A text that lost all its lines goes."""
-    found = line_dedup.dedup_lines(docs)
+    others = F.struct(*(c for c in docs.columns if c != "text"))
+    found = line_dedup.dedup_lines(docs.select(others.alias("others"), "doc_id", "text"))
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.where(~emptied).withColumn("n_chars", chars).select(docs.columns)
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others.n_chars"))
+    made = {"text": F.col("text"), "n_chars": chars}
+    return found.where(~emptied).select(*(made.get(c, F.col("others")[c]).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again by the next, which then deletes it."""
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = work.save(stage(spark, docs, sf_dir), name)
+        if last:
+            work.drop(last)
+        last = name
     return docs
