@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 
@@ -42,54 +41,45 @@ def new_unknown_types(events: DataFrame) -> DataFrame:
     return events.where(~F.col("type").isin(*C.EVENT_TYPES)).select("type").dropDuplicates(["type"])
 
 
-def until_terminal(events: DataFrame, forget: str = "1 hour") -> DataFrame:
+def until_terminal(events: DataFrame) -> DataFrame:
     """Events up to and with their job's first terminal one, by job, in order of seq within a batch.
 
-    State is one flag a job and is dropped after ``forget`` without events.
+    State is one flag a job, kept for good: whatever a job sends after its end, however late, stays out.
     """
     columns = events.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         ended = state.exists and bool(state.get[0])
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         stops = rows["type"].isin(C.TERMINAL_TYPES).to_numpy().nonzero()[0]
         if not ended:
             yield (rows.iloc[: stops[0] + 1] if len(stops) else rows)[columns]
         state.update((ended or len(stops) > 0,))
-        state.setTimeoutDuration(forget)
 
-    return events.groupBy("job_id").applyInPandasWithState(step, events.schema, "ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, events.schema, "ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def stage_progress(events: DataFrame) -> DataFrame:
     """(job_id, stage, done): for every job with new events, how many chapters cleared each chapter stage so far.
 
-    State is, for each job, the event types seen of each chapter; counts never go back.
+    One running aggregate, for update mode: state is the set of (type, chapter) that a job has sent.
     """
-    needs = {name: set(types) for name, types, _ in C.STAGES if name in C.CHAPTER_STAGES}
-    wanted = set().union(*needs.values())
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = {int(k): set(v) for k, v in json.loads(state.get[0]).items()} if state.exists else {}
-        for rows in batches:
-            rows = rows[rows["type"].isin(wanted) & rows["chapter_index"].notna()]
-            for kind, chapter in zip(rows["type"], rows["chapter_index"]):
-                seen.setdefault(int(chapter), set()).add(kind)
-        state.update((json.dumps({k: sorted(v) for k, v in seen.items()}),))
-        done = [sum(need <= have for have in seen.values()) for need in needs.values()]
-        yield pd.DataFrame({"job_id": [key[0]] * len(needs), "stage": list(needs), "done": done})
-
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, stage string, done int", "seen string", "update", GroupStateTimeout.NoTimeout)
-
-
-def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by type and hour of event time; rows later than ``late`` are left out. Beyond the reference's own operators."""
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    counted = timed.groupBy(F.window("at", length), "type").agg(F.count("*").alias("n"))
-    return counted.select(F.col("window.start").alias("start"), "type", "n")
+    needs = {name: types for name, types, _ in C.STAGES if name in C.CHAPTER_STAGES}
+    wanted = sorted({t for types in needs.values() for t in types})
+    sent = F.when(F.col("type").isin(*wanted) & F.col("chapter_index").isNotNull(), F.struct("type", "chapter_index"))
+    jobs = events.groupBy("job_id").agg(F.collect_set(sent).alias("sent"))
+
+    def chapters(kind: str):
+        return F.transform(F.filter("sent", lambda s: s["type"] == kind), lambda s: s["chapter_index"])
+
+    def done(types: tuple[str, ...]):
+        cleared = chapters(types[0])
+        for kind in types[1:]:
+            cleared = F.array_intersect(cleared, chapters(kind))
+        return F.size(cleared)
+
+    listed = F.array(*(F.struct(F.lit(name).alias("stage"), done(types).alias("done")) for name, types in needs.items()))
+    return jobs.select("job_id", F.inline(listed))
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
