@@ -23,29 +23,50 @@ def largest_face(faces: DataFrame) -> DataFrame:
     return faces.groupBy("vid", "t").agg(best.alias("f")).select("vid", "t", "f.*")
 
 
-def ema(track: DataFrame, alpha: float = 0.3, hold: float = 2.0) -> DataFrame:
+def ema(track: DataFrame, alpha: float = 0.3, hold: float = 2.0, stretch: float = 60.0) -> DataFrame:
     """Exponential smoothing of found faces. Without a face the last value holds, for ``hold`` seconds at most.
 
-    Rows without a face have null cx and cy. Each value needs the last, so it is a fold over a video's samples.
+    Rows without a face have null cx and cy. Each value needs the last, which is a linear recurrence: over a stretch of
+    ``stretch`` seconds (``hold`` at least) a value is what it would be from 0 on, plus a power of 1 - alpha times the value before the
+    stretch. So each stretch is folded by itself, a video's stretches are folded in turn, and no task holds a video.
     """
-    row = F.struct("t", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
-    listed = track.groupBy("vid").agg(F.sort_array(F.collect_list(row)).alias("all"))
-    kind = "array<struct<t: double, cx: double, cy: double, seen: double>>"
+    stretch = max(stretch, hold)
+    rows = track.select("vid", F.col("t").cast("double").alias("t"), F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
+    rows = rows.withColumn("part", F.floor(F.col("t") / stretch))
+    found = rows.where("cx is not null").groupBy("vid", "part").agg(F.sort_array(F.collect_list(F.struct("t", "cx", "cy"))).alias("all"))
+    rest = F.lit(1.0 - alpha)
 
-    def step(done: Column, x: Column) -> Column:
+    def add(done: Column, x: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
-        t = x["t"].cast("double")
-        near = last.isNotNull() & (t - last["seen"] <= hold)
+        own = [F.coalesce(rest * last[c], F.lit(0.0)) + alpha * x[c] for c in ("cx", "cy")]
+        new = F.struct(x["t"].alias("t"), own[0].alias("cx"), own[1].alias("cy"), (rest * F.coalesce(last["f"], F.lit(1.0))).alias("f"))
+        return F.concat(done, F.array(new))
 
-        def blend(c: str) -> Column:
-            return F.when(last.isNotNull(), alpha * x[c] + (1 - alpha) * last[c]).otherwise(x[c])
+    kind = "array<struct<t: double, cx: double, cy: double, f: double>>"
+    alone = found.select("vid", "part", F.element_at("all", 1).alias("first"), F.aggregate("all", F.expr(f"cast(array() as {kind})"), add).alias("alone"))
+    ends = alone.select("vid", F.struct("part", "first", F.element_at("alone", -1).alias("end")).alias("p"))
 
-        new = F.struct(t.alias("t"), blend("cx").alias("cx"), blend("cy").alias("cy"), t.alias("seen"))
-        held = F.struct(t.alias("t"), last["cx"].alias("cx"), last["cy"].alias("cy"), last["seen"].alias("seen"))
-        return F.when(x["cx"].isNotNull(), F.concat(done, F.array(new))).when(near, F.concat(done, F.array(held))).otherwise(done)
-
-    folded = listed.select("vid", F.aggregate("all", F.expr(f"cast(array() as {kind})"), step).alias("out"))
-    return folded.select("vid", F.inline("out")).select("vid", "t", "cx", "cy")
+    def carry(done: Column, p: Column) -> Column:
+        # The first value of all counts as the one before it, so that it stays as it is.
+        last = F.try_element_at(done, F.lit(-1))
+        before = [F.coalesce(last["end"][c], p["first"][c]) for c in ("cx", "cy")]
+        end = F.struct(p["end"]["t"].alias("t"), *((p["end"]["f"] * b + p["end"][c]).alias(c) for b, c in zip(before, ("cx", "cy"))))
+        return F.concat(done, F.array(F.struct(p["part"].alias("part"), before[0].alias("x"), before[1].alias("y"), end.alias("end"))))
+
+    chained = "array<struct<part: bigint, x: double, y: double, end: struct<t: double, cx: double, cy: double>>>"
+    scan = ends.groupBy("vid").agg(F.sort_array(F.collect_list("p")).alias("parts"))
+    scan = scan.select("vid", F.inline(F.aggregate("parts", F.expr(f"cast(array() as {chained})"), carry)))
+    exact = alone.join(scan.select("vid", "part", "x", "y"), ["vid", "part"]).select("vid", "part", "x", "y", F.inline("alone"))
+    exact = exact.select("vid", "part", "t", (F.col("f") * F.col("x") + F.col("cx")).alias("cx"), (F.col("f") * F.col("y") + F.col("cy")).alias("cy"))
+    # Rows without a face take the last value of their stretch, or of the one before it, if it isn't too old.
+    missing = rows.where("cx is null").select("vid", "part", "t", *(F.lit(None).cast("double").alias(c) for c in ("cx", "cy")))
+    tails = scan.select("vid", (F.col("part") + 1).alias("part"), F.col("end").alias("tail"))
+    order = Window.partitionBy("vid", "part").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.last(F.when(F.col("cx").isNotNull(), F.struct("t", "cx", "cy")), ignorenulls=True).over(order)
+    both = exact.unionByName(missing).withColumn("here", here).join(tails, ["vid", "part"], "left")
+    value = F.coalesce("here", "tail")
+    held = both.withColumn("value", value).where(F.col("cx").isNotNull() | (F.col("t") - F.col("value.t") <= hold))
+    return held.select("vid", "t", F.coalesce("cx", "value.cx").alias("cx"), F.coalesce("cy", "value.cy").alias("cy"))
 
 
 def split_screen(faces: DataFrame, apart: float = 0.4, share: float = 0.5) -> DataFrame:

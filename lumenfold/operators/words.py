@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import constants as C
@@ -62,21 +62,16 @@ def keep_intervals(words: DataFrame, max_silence, fillers: Iterable[str] = C.FIL
 def pad_intervals(intervals: DataFrame, pad: float, digits: int = 4) -> DataFrame:
     """Intervals widened by ``pad`` without overlap, rounded; those left without length go.
 
-    The widened start depends on the last interval that was kept, so this is a fold over a video's intervals.
+    An interval ends where the next one begins at the latest, and begins where an earlier one ended at the earliest;
+    ends only grow, so that the greatest so far is the last that was kept. Intervals of a video must begin in order.
     """
-    row = F.struct("island", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
-    listed = intervals.groupBy("vid").agg(F.sort_array(F.collect_list(row)).alias("all"))
-    nexts = F.transform("all", lambda x, i: F.struct(x["start"].alias("s"), x["end"].alias("e"), F.try_element_at("all", i + 2)["start"].alias("n")))
-
-    def step(done: Column, x: Column) -> Column:
-        low = F.greatest(F.element_at(done, -1)["end"], x["s"] - pad)
-        high = F.least(F.coalesce(x["n"], x["e"] + pad), x["e"] + pad)
-        new = F.struct(F.round(low, digits).alias("start"), F.round(high, digits).alias("end"))
-        return F.when(high > low, F.concat(done, F.array(new))).otherwise(done)
-
-    # The fold starts with an interval that ends at 0 and is left out afterwards.
-    folded = listed.select("vid", F.aggregate(nexts, F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))), step).alias("kept"))
-    return folded.select("vid", F.posexplode(F.slice("kept", 2, F.size("kept"))).alias("index", "k")).select("vid", "index", "k.*")
+    order = Window.partitionBy("vid").orderBy("island")
+    start, end = F.col("start").cast("double"), F.col("end").cast("double")
+    high = F.least(F.coalesce(F.lead(start).over(order), end + pad), end + pad)
+    wide = intervals.select("vid", "island", start.alias("s"), high.alias("high")).withColumn("shown", F.round("high", digits))
+    last = F.coalesce(F.max("shown").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    kept = wide.withColumn("low", F.greatest(last, F.col("s") - pad)).where("high > low")
+    return kept.select("vid", (F.row_number().over(order) - 1).alias("index"), F.round("low", digits).alias("start"), F.col("shown").alias("end"))
 
 
 def total_kept(intervals: DataFrame) -> DataFrame:

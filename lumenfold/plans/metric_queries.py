@@ -50,12 +50,12 @@ def split_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.split_screen(V.faces(spark, sf_dir).withColumn("t", F.floor(F.col("t") / 5)), apart=0.1)
 
 
-@query("j4_nearest_point", f"""WITH {V.FACES}, track AS (SELECT vid, t, cx, cy FROM faces WHERE t % 7 = 0 AND conf >= 0.1),
+@query("j4_nearest_point", f"""WITH {V.FACES}, track AS (SELECT vid, t, cx, cy FROM faces WHERE conf >= 0.3),
 ranked AS (SELECT f.vid, f.t, k.t AS "at", k.cx, k.cy, row_number() OVER (PARTITION BY f.vid, f.t ORDER BY abs(k.t - f.t), k.t) AS rn FROM faces f JOIN track k ON k.vid = f.vid)
 SELECT vid, t, "at", cx, cy FROM ranked WHERE rn = 1""")
 def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = V.faces(spark, sf_dir)
-    return tracks.nearest(f.select("vid", "t"), f.where("t % 7 = 0 AND conf >= 0.1").select("vid", "t", "cx", "cy")).where("at is not null")
+    return tracks.nearest(f.select("vid", "t"), tracks.confident(f).select("vid", "t", "cx", "cy")).where("at is not null")
 
 
 @query("l7_largest_face", f"""WITH {V.FACES}, b AS (SELECT vid, t // 5 AS t, t AS seq, cx, cy, conf * 1.0 AS w FROM faces)
@@ -66,14 +66,14 @@ def largest_face(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w8_ema_track", f"""WITH RECURSIVE {V.FACES},
-s AS (SELECT vid, time AS t, CASE WHEN conf >= 0.1 THEN cx END AS cx, row_number() OVER (PARTITION BY vid ORDER BY t) AS n FROM faces),
-r AS (SELECT vid, t, n, cx AS v, cx IS NOT NULL AS keep, CASE WHEN cx IS NOT NULL THEN t END AS seen FROM s WHERE n = 1
-  UNION ALL SELECT s.vid, s.t, s.n, CASE WHEN s.cx IS NULL THEN r.v WHEN r.v IS NULL THEN s.cx ELSE 0.3::DOUBLE * s.cx + (1 - 0.3::DOUBLE) * r.v END,
+s AS (SELECT vid, time AS t, CASE WHEN conf >= 0.1 THEN cx END AS cx, CASE WHEN conf >= 0.1 THEN cy END AS cy, row_number() OVER (PARTITION BY vid ORDER BY t) AS n FROM faces),
+r AS (SELECT vid, t, n, cx AS v, cy AS u, cx IS NOT NULL AS keep, CASE WHEN cx IS NOT NULL THEN t END AS seen FROM s WHERE n = 1
+  UNION ALL SELECT s.vid, s.t, s.n, CASE WHEN s.cx IS NULL THEN r.v WHEN r.v IS NULL THEN s.cx ELSE 0.3::DOUBLE * s.cx + (1 - 0.3::DOUBLE) * r.v END, CASE WHEN s.cx IS NULL THEN r.u WHEN r.v IS NULL THEN s.cy ELSE 0.3::DOUBLE * s.cy + (1 - 0.3::DOUBLE) * r.u END,
     s.cx IS NOT NULL OR (r.v IS NOT NULL AND s.t - r.seen <= 2.0), CASE WHEN s.cx IS NULL THEN r.seen ELSE s.t END FROM r JOIN s ON s.vid = r.vid AND s.n = r.n + 1)
-SELECT vid, round(t, 4) AS t, round(v, 6) AS cx FROM r WHERE keep""")
+SELECT vid, round(t, 4) AS t, round(v, 6) AS cx, round(u, 6) AS cy FROM r WHERE keep""")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = V.faces(spark, sf_dir).selectExpr("vid", "time AS t", "CASE WHEN conf >= 0.1 THEN cx END AS cx", "CASE WHEN conf >= 0.1 THEN cy END AS cy")
-    return tracks.ema(f).select("vid", F.round("t", 4).alias("t"), F.round("cx", 6).alias("cx"))
+    return tracks.ema(f).select("vid", F.round("t", 4).alias("t"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 @query("f23_f24_crop_boxes", f"""WITH {V.FACES} SELECT vid, t, greatest(0, least(1920 - 608, CAST(trunc(cx * 1920) AS INTEGER) - 304)) AS x1, greatest(0, least(1080 - 1080, CAST(trunc(cy * 1080) AS INTEGER) - 540)) AS y1,
