@@ -89,3 +89,27 @@ TRANSITIONS = {"fade": "fade", "slide-left": "slideleft", "slide-right": "slider
 
 # Track kinds of a timeline.
 TRACK_KINDS = ("video", "caption", "text-overlay")
+
+# Patterns of text features, and the entries of a video page's URL.
+HOW_TO = r"(how|steps?|tips?|ways?|methods?)"
+NOUN_PHRASE = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+VIDEO_ID = r"(?:v=|youtu\.be/)([a-zA-Z0-9_-]{11})"
+SHORTS = r"(?i)^https?://(?:[^/]+\.)?(?:youtube\.com|youtu\.be)/shorts/"
+
+# Days that a cached search is good for.
+SEARCH_DAYS = 7
+
+# What a workspace may do, all of it, and its limits (none).
+CAPABILITIES = (
+    "animated_captions", "multi_aspect_reframe", "voiceover", "filler_removal", "transitions", "brand_templates", "brand_vocabulary",
+    "profanity_filter", "custom_clip_length", "reprompt", "publish_youtube", "publish_tiktok", "publish_instagram", "publish_linkedin",
+    "publish_x", "multi_profile", "scheduler", "bulk_schedule", "xml_export", "bulk_export", "share_links", "workspace", "folders",
+    "auto_save", "analytics", "webhooks", "api_tokens",
+)
+LIMITS = ("max_clips_per_export", "max_brand_fonts", "max_voiceover_seconds")
+TIER = "business"
+
+# Options of the modes, and of short videos.
+OPTIONS = ("transcription", "captions", "render", "segment_proposer", "reframe", "broll", "thumbnail")
+CHAPTER_MODE_OFF = ("segment_proposer",)
+SHORT_FORM_ON = ("render",)

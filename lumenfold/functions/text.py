@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lumenfold.functions import constants as C
 
 Text = Column | str
+#: A letter, digit or underscore of any script.
+WORD_SIGN = r"[\p{L}\p{N}_]"
 
 
 def _col(c: Text) -> Column:
@@ -43,7 +45,7 @@ def bleep(text: Text, mode: str = "default", custom: Iterable[str] = ()) -> Colu
     for word in sorted(set(words), key=lambda w: (-len(w), w)):
         if len(word) > 1:
             head, rest = re.escape(word[0]), re.escape(word[1:])
-            out = F.regexp_replace(out, rf"(?iu)\b({head}){rest}\b", "$1" + "*" * (len(word) - 1))
+            out = F.regexp_replace(out, rf"(?iu)(?<!{WORD_SIGN})({head}){rest}(?!{WORD_SIGN})", "$1" + "*" * (len(word) - 1))
     return out
 
 
@@ -76,13 +78,13 @@ def replace_vocabulary(text: Text, vocabulary: Mapping[str, str]) -> Column:
 
 def slug(text: Text, fallback: str = "video") -> Column:
     """Letters, digits, _ and - of any script; runs of others become _, ends trimmed, 80 at most."""
-    made = F.left(F.btrim(F.regexp_replace(_col(text), r"(?U)[^\w\-]", "_"), F.lit("_")), F.lit(80))
+    made = F.left(F.btrim(F.regexp_replace(_col(text), r"[^\p{L}\p{N}_\-]", "_"), F.lit("_")), F.lit(80))
     return F.coalesce(F.nullif(made, F.lit("")), F.lit(fallback))
 
 
 def file_title(text: Text, default: str = "chapter") -> Column:
     """A title as a file name part."""
-    made = F.btrim(F.regexp_replace(_col(text), r"(?U)[^\w\-_. ]", "_"))
+    made = F.btrim(F.regexp_replace(_col(text), r"[^\p{L}\p{N}_\-. ]", "_"))
     return F.coalesce(F.nullif(made, F.lit("")), F.lit(default))
 
 
@@ -119,7 +121,7 @@ def trend_score(text: Text, trends: Iterable[str] = C.TRENDS) -> Column:
 
 def noun_phrases(text: Text) -> Column:
     """The first three runs of capitalised words, lower-cased."""
-    found = F.regexp_extract_all(_col(text), F.lit(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"), F.lit(0))
+    found = F.regexp_extract_all(_col(text), F.lit(C.NOUN_PHRASE), F.lit(0))
     return F.slice(F.transform(found, F.lower), 1, 3)
 
 
@@ -154,7 +156,7 @@ def srt_time(seconds: Text) -> Column:
 
 
 def youtube_id(url: Text) -> Column:
-    return F.nullif(F.regexp_extract(_col(url), r"(?:v=|youtu\.be/)([a-zA-Z0-9_-]{11})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_col(url), C.VIDEO_ID, 1), F.lit(""))
 
 
 def host_matches(url: Text, *hosts: str) -> Column:
@@ -179,7 +181,7 @@ def source_kind(url: Text) -> Column:
 
 def is_short_form(url: Text) -> Column:
     kind = source_kind(url)
-    shorts = _col(url).rlike(r"(?i)^https?://(?:[^/]+\.)?(?:youtube\.com|youtu\.be)/shorts/")
+    shorts = _col(url).rlike(C.SHORTS)
     return F.coalesce(kind.isin("tiktok", "instagram") | ((kind == "youtube") & shorts), F.lit(False))
 
 
@@ -204,6 +206,47 @@ def split_list(text: Text) -> Column:
     return F.filter(F.transform(F.split(_col(text), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def score_weights(text: Text) -> Column:
+    """Weights of the score from a setting's JSON; null if it isn't an object of numbers."""
+    return F.from_json(_col(text), "map<string,double>")
+
+
+def vocabulary_add(vocabulary: Text, key: Text, value: Text) -> Column:
+    """The vocabulary with an entry more, or another value for its key; blank keys and values change nothing."""
+    k, v = F.trim(_col(key)), F.trim(_col(value))
+    kept = F.map_filter(_col(vocabulary), lambda x, _: x != k)
+    return F.when((k != "") & (v != ""), F.map_concat(kept, F.create_map(k, v))).otherwise(_col(vocabulary))
+
+
+def vocabulary_remove(vocabulary: Text, key: Text) -> Column:
+    return F.map_filter(_col(vocabulary), lambda x, _: x != _col(key))
+
+
+def capability(name: Text) -> Column:
+    """What a workspace's tier says of a capability, as text (limits: null, without bound); unknown names are an error."""
+    n = _col(name)
+    known = F.when(n.isin(*C.CAPABILITIES), "true").when(n == "tier", C.TIER).when(n.isin(*C.LIMITS), F.lit(None).cast("string"))
+    return known.otherwise(F.raise_error(F.concat(F.lit("unknown capability: "), F.coalesce(n, F.lit("null")))).cast("string"))
+
+
+def is_capability(name: Text) -> Column:
+    return F.coalesce(_col(name).isin(*C.CAPABILITIES, *C.LIMITS, "tier"), F.lit(False))
+
+
+def mode_options(mode: Text, short: Text, chosen: Mapping[str, Column]) -> Column:
+    """The options of a mode: all on, all but the proposer by chapters, else what was chosen.
+
+    What wasn't chosen is off, but for short videos, whose render option is on.
+    """
+
+    def value(option: str) -> Column:
+        default = F.coalesce(_col(short), F.lit(False)) if option in C.SHORT_FORM_ON else F.lit(False)
+        own = F.coalesce(chosen[option], default) if option in chosen else default
+        return F.when(_col(mode) == "auto", F.lit(True)).when(_col(mode) == "chapter", F.lit(option not in C.CHAPTER_MODE_OFF)).otherwise(own)
+
+    return F.struct(*(value(o).alias(o) for o in C.OPTIONS))
+
+
 def external_caps(title: Text, description: Text, tags: Text) -> Column:
     """What the publishing interface takes at most: 100 and 5,000 characters, 30 tags."""
     return F.struct(F.left(_col(title), F.lit(100)).alias("title"), F.left(_col(description), F.lit(5000)).alias("description"), F.slice(_col(tags), 1, 30).alias("tags"))
@@ -215,7 +258,8 @@ def backoff_ms(attempt: Text) -> Column:
 
 def cache_key(query: Text, count: Text) -> Column:
     """The key of a cached search."""
-    return F.left(F.sha1(F.concat_ws("|", F.lower(F.trim(_col(query))), _col(count).cast("string"))), F.lit(16))
+    asked = F.lower(F.btrim(_col(query), F.lit(" \t\n\r\x0b\x0c")))
+    return F.left(F.sha1(F.concat_ws("|", asked, _col(count).cast("string"))), F.lit(16))
 
 
 def transcript_text(transcript: Text, summary: Text, title: Text) -> Column:

@@ -129,8 +129,26 @@ def toggles(clicks: DataFrame) -> DataFrame:
     return last.select("clip_id", ((F.col("l.kind") == "like") & odd).alias("liked"), ((F.col("l.kind") == "dislike") & odd).alias("disliked"))
 
 
-def newest_first(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.orderBy(*(F.desc(c) for c in order))
+def newest_first(rows: DataFrame, *order: str, within: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows newest first, with their place from 1 on in ``place``; ``within``: in each parent, whose rows are a window.
+
+    A listing of the whole table is a top-k and needs its ``limit``.
+    """
+    latest = [F.desc(c) for c in order]
+    if within is not None:
+        placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(within).orderBy(*latest)))
+        return placed if limit is None else placed.where(F.col("place") <= limit)
+    if limit is None:
+        raise ValueError("a listing of the whole table needs a limit")
+    return rows.orderBy(*latest).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*latest)))
+
+
+def media_paths(requests: DataFrame, clips: DataFrame, field: str = "output_path") -> DataFrame:
+    """Requests(clip_id, ...) with the clip's path, or in ``missing`` what there isn't: the clip, or its file."""
+    c = clips.select("clip_id", F.nullif(field, F.lit("")).alias("path"), F.lit(True).alias("_known"))
+    found = requests.join(c, "clip_id", "left")
+    missing = F.when(F.col("_known").isNull(), "clip").when(F.col("path").isNull(), field)
+    return found.withColumn("missing", missing).drop("_known")
 
 
 def live_links(links: DataFrame, now: Column) -> DataFrame:

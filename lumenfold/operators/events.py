@@ -194,3 +194,11 @@ def running_terminal(events: DataFrame) -> DataFrame:
     """``events`` with whether their job had ended before them; for streams of one job's events in order."""
     before = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("after_end", F.coalesce(F.max(F.col("type").isin(*C.TERMINAL_TYPES)).over(before), F.lit(False)))
+
+
+def in_order(events: DataFrame, correlation: str = "correlation_id", at: str = "ts") -> DataFrame:
+    """Events with ``place`` in their job by publishing order (seq), occurred_at in UTC, and a correlation id, the job's by default."""
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("seq"))
+    stamp = F.date_format(F.col(at), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    own = F.coalesce(F.nullif(F.col(correlation), F.lit("")), F.col("job_id").cast("string"))
+    return events.withColumn("place", place).withColumn("occurred_at", stamp).withColumn(correlation, own)

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+COUNTERS = ["impressions", "views", "watch_time_seconds", "likes", "comments", "shares"]
+
+
+def append_snapshots(snapshots: DataFrame, new: DataFrame, now: datetime, counters: list[str] | None = None) -> DataFrame:
+    """All snapshots and the new ones: counters that a new one lacks are 0, a missing time is ``now``."""
+    rows = new
+    for c in counters or COUNTERS:
+        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(0)) if c in new.columns else F.lit(0))
+    time = F.lit(now).cast(snapshots.schema["captured_at"].dataType)
+    rows = rows.withColumn("captured_at", F.coalesce("captured_at", time) if "captured_at" in new.columns else time)
+    return snapshots.unionByName(rows.select(*(F.col(c).cast(snapshots.schema[c].dataType) for c in snapshots.columns)))
+
+
 def latest_per_platform(snapshots: DataFrame, counters: list[str]) -> DataFrame:
     """The newest snapshot of each (clip_id, platform); ``seq`` breaks ties of captured_at.
 

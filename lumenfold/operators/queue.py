@@ -20,15 +20,15 @@ def due(rows: DataFrame, now: datetime, limit: int, at: str = "schedule_at", key
 
 
 def promote(rows: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
-    """Chosen rows that are still pending become queued. ``chosen`` is a claim's batch, bounded by its limit."""
-    marked = rows.join(F.broadcast(chosen.select(key).withColumn("_hit", F.lit(True))), key, "left")
+    """Chosen rows that are still pending become queued."""
+    marked = rows.join(chosen.select(key).withColumn("_hit", F.lit(True)), key, "left")
     status = F.when(F.col("_hit") & (F.col("status") == "pending"), "queued").otherwise(F.col("status"))
     return marked.withColumn("status", status).drop("_hit")
 
 
 def claim(rows: DataFrame, chosen: DataFrame, worker: str, now: datetime, key: str = "id") -> DataFrame:
     """Chosen rows become posting, with the worker and the time."""
-    marked = rows.join(F.broadcast(chosen.select(key).withColumn("_hit", F.lit(True))), key, "left")
+    marked = rows.join(chosen.select(key).withColumn("_hit", F.lit(True)), key, "left")
     hit = F.coalesce("_hit", F.lit(False))
     out = marked.withColumn("status", F.when(hit, "posting").otherwise(F.col("status")))
     out = out.withColumn("worker_id", F.when(hit, worker).otherwise(F.col("worker_id")))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lumenfold.functions import constants as C
 from lumenfold.functions import text as T
 
+#: Milliseconds of the stretches by which windows meet words and frames.
+BUCKET = 60_000
+
 
 def chapter_candidates(chapters: DataFrame, least: float, most: float) -> DataFrame:
     """Chapters of at least ``least`` length, cut to ``most``; (vid, idx, start, end).
@@ -34,14 +37,24 @@ def candidates(chapters: DataFrame, videos: DataFrame, least: int, most: int) ->
     return own.unionByName(tumbling_candidates(rest, least, most).select("vid", "idx", "start", "end"))
 
 
+def _within(windows: DataFrame, rows: DataFrame, at: str, before_end: Column) -> DataFrame:
+    """Windows (vid, start, end) with the rows whose time lies in them; a window without any has nulls.
+
+    Both sides carry the stretch of BUCKET milliseconds they fall in, so that the join is by (vid, stretch) and the
+    range is checked within it: a window meets the rows of two or three stretches and not those of its whole video.
+    """
+    spans = windows.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
+    placed = rows.withColumnRenamed("vid", "_vid").withColumn("_at", F.floor(F.col(at) / BUCKET))
+    on = (F.col("vid") == F.col("_vid")) & (F.col("_stretch") == F.col("_at")) & (F.col(at) >= F.col("start")) & before_end
+    return spans.join(placed, on, "left").drop("_vid", "_at", "_stretch")
+
+
 def words_in(windows: DataFrame, words: DataFrame, start: str = "start") -> DataFrame:
-    """Each window with its words' text in order, and that of its first three seconds.
+    """Each window with its words' text in order, and that of its first three seconds; times in milliseconds.
 
-    The range condition rides on the video's equality, so the plan is a merge or hash join by video, never a
-    product. Windows without words keep an empty text. ``unit`` of times is milliseconds.
+    Windows without words keep an empty text.
     """
-    w = words.select(F.col("vid").alias("wvid"), "pos", "word", F.col(start).alias("ws"))
-    joined = windows.join(w, (F.col("vid") == F.col("wvid")) & (F.col("ws") >= F.col("start")) & (F.col("ws") < F.col("end")), "left")
+    joined = _within(windows, words.select("vid", "pos", "word", F.col(start).alias("ws")), "ws", F.col("ws") < F.col("end"))
     first = F.when(F.col("ws") - F.col("start") <= 3000, F.struct("pos", "word"))
     every = F.when(F.col("pos").isNotNull(), F.struct("pos", "word"))
 
@@ -54,8 +67,7 @@ def words_in(windows: DataFrame, words: DataFrame, start: str = "start") -> Data
 def audio_features(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """Engagement and opening loudness of each window from (vid, t, rms) frames; both ends belong to a window."""
     overall = frames.groupBy("vid").agg(F.avg("rms").alias("mean_all"), F.max("rms").alias("max_all"))
-    f = frames.select(F.col("vid").alias("fvid"), "t", "rms")
-    joined = windows.join(f, (F.col("vid") == F.col("fvid")) & F.col("t").between(F.col("start"), F.col("end")), "left")
+    joined = _within(windows, frames.select("vid", "t", "rms"), "t", F.col("t") <= F.col("end"))
     per = joined.groupBy("vid", "idx", "start", "end").agg(F.avg("rms").alias("mean"), F.avg(F.when(F.col("t") <= F.col("start") + 3000, F.col("rms"))).alias("opening"))
     out = per.join(overall, "vid", "left")
     audio = F.least(F.lit(1.0), F.coalesce(F.col("mean") / (F.col("mean_all") + 1e-9), F.lit(0.0)))
@@ -86,7 +98,34 @@ def perceived_value(entities: Column, numbers: Column, how_to: Column, tokens: C
 
 
 def how_to_count(text: str) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(r"\b(how|steps?|tips?|ways?|methods?)\b"))
+    return F.regexp_count(F.lower(text), F.lit(f"(?<!{T.WORD_SIGN}){C.HOW_TO}(?!{T.WORD_SIGN})"))
+
+
+def value_of(text: str, entities: str | None = None, numbers: str | None = None, tokens: str | None = None) -> Column:
+    """Perceived value of a text: how-to words of all of it, the rest of its first 500 characters.
+
+    Entities, numbers and tokens are columns where a language model has counted them; without, runs of capitalised
+    words, numerals and words between blanks stand for them.
+    """
+    head = F.left(text, F.lit(500))
+    words = F.filter(F.split(head, r"[ \t\n\r\f]+"), lambda w: w != "")
+    e = F.col(entities) if entities else F.regexp_count(head, F.lit(C.NOUN_PHRASE))
+    n = F.col(numbers) if numbers else F.size(F.filter(words, lambda w: w.rlike(r"^[0-9]+(?:[.,][0-9]+)*$")))
+    return perceived_value(e, n, how_to_count(text), F.col(tokens) if tokens else F.size(words))
+
+
+def emotional_flows(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, emotion): the emotional flow of each text by a lexicon(word, valence).
+
+    A sentence's words add up their valences to s, and s / sqrt(s^2 + 15) is its compound. Texts without a sentence
+    have no row; words that aren't listed count 0.
+    """
+    rows = texts.select(*keys, F.posexplode(sentences(text)).alias("at", "sentence"))
+    words = rows.select(*keys, "at", F.explode(F.split(F.lower("sentence"), r"[^\p{L}\p{N}']+")).alias("word"))
+    sums = words.join(lexicon.select("word", "valence"), "word", "left").groupBy(*keys, "at").agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("s"))
+    strength = sums.withColumn("c", F.abs(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)))
+    ends = F.abs(F.max_by("c", "at") - F.min_by("c", "at"))
+    return strength.groupBy(*keys).agg(F.least(F.lit(1.0), (F.var_pop("c") + ends) / 2).alias("emotion"))
 
 
 def weighted_score(features: Mapping[str, Column], weights: Mapping[str, float] = C.WEIGHTS) -> Column:
@@ -103,7 +142,7 @@ def breakdown(features: Mapping[str, Column]) -> Column:
 def score_windows(windows: DataFrame, weights: Mapping[str, float] = C.WEIGHTS, trends: Iterable[str] = C.TRENDS) -> DataFrame:
     """Scores of windows(vid, idx, start, end, text, first_text) with audio and opening where known.
 
-    Sentiment and entity scorers aren't shipped; without the columns ``emotion`` and ``value`` both are 0.
+    ``emotion`` and ``value`` are columns too (``emotional_flows``, ``value_of``); without them both are 0.
     """
 
     def given(name: str) -> Column:

@@ -57,6 +57,20 @@ def plan_durations(typed: DataFrame) -> DataFrame:
     return typed.groupBy("clip_id").agg(F.coalesce(F.max("end"), F.lit(0.0)).alias("duration"), F.count("*").alias("items"), F.count("error").alias("errors"))
 
 
+def replace_track(tracks: str, kind: str, items: Column) -> Column:
+    """All three kinds of tracks in order, as array<struct<kind, items>>: ``kind`` with the new items, others as they were.
+
+    Of several tracks of a kind the first counts; a kind that was lacking gets no items.
+    """
+    none = F.filter(items, lambda _: F.lit(False))
+
+    def track(k: str) -> Column:
+        old = F.try_element_at(F.filter(tracks, lambda t: t["kind"] == k), F.lit(1))["items"]
+        return F.struct(F.lit(k).alias("kind"), F.when(F.col(kind) == k, items).otherwise(F.coalesce(old, none)).alias("items"))
+
+    return F.array(*map(track, C.TRACK_KINDS))
+
+
 def fill_kinds(typed: DataFrame) -> DataFrame:
     """Item counts of all three kinds for each timeline, also of those it lacks."""
     every = typed.select("clip_id").distinct().select("clip_id", F.explode(F.array(*map(F.lit, C.TRACK_KINDS))).alias("kind"))

@@ -14,9 +14,16 @@ from lumenfold.registry import query
 from lumenfold.sources import table
 
 
-@query("f1_bleep", r"SELECT doc_id, regexp_replace(regexp_replace(text, '\b([iI])[dD][iI][oO][tT]\b', '\1****', 'g'), '\b([tT])[hH][eE]\b', '\1**', 'g') AS text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')")
+def _masked(text: str, word: str) -> str:
+    """SQL for whole words masked; a match takes its neighbours along, so that a second pass finds every other one."""
+    letters = "".join(f"[{c}{c.upper()}]" for c in word[1:])
+    once = rf"regexp_replace({{}}, '(^|[^\p{{{{L}}}}\p{{{{N}}}}_])([{word[0]}{word[0].upper()}]){letters}($|[^\p{{{{L}}}}\p{{{{N}}}}_])', '\1\2{'*' * (len(word) - 1)}\3', 'g')"
+    return once.format(once.format(text).replace("{", "{{").replace("}", "}}")).replace("{{", "{").replace("}}", "}")
+
+
+@query("f1_bleep", f"SELECT doc_id, {_masked(_masked('text', 'idiot'), 'the')} AS text FROM documents")
 def bleep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.bleep("text", "custom", ["the", "idiot"]).alias("text"))
 
 
@@ -30,11 +37,11 @@ def filler_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.words(spark, sf_dir).select("vid", "pos", T.is_filler("word").alias("filler"))
 
 
-@query("f4_f5_slugs", r"""SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(left(text, 100), '[^\p{L}\p{N}_\-]', '_', 'g'), '_'), 80), ''), 'video') AS slug,
-  lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || '_' || coalesce(nullif(trim(regexp_replace(left(text, 40), '[^\p{L}\p{N}_\-. ]', '_', 'g')), ''), 'chapter') AS name FROM documents""")
+@query("f4_f5_slugs", r"""SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(text, '[^\p{L}\p{N}_\-]', '_', 'g'), '_'), 80), ''), 'video') AS slug,
+  lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || '_' || coalesce(nullif(trim(regexp_replace(text, '[^\p{L}\p{N}_\-. ]', '_', 'g')), ''), 'chapter') AS name FROM documents""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.slug(F.left("text", F.lit(100))).alias("slug"), T.output_name(F.col("doc_id") % 100, F.left("text", F.lit(40))).alias("name"))
+    return d.select("doc_id", T.slug("text").alias("slug"), T.output_name(F.col("doc_id") % 100, "text").alias("name"))
 
 
 @query("f8_hook_patterns", """SELECT doc_id, CASE WHEN contains(text, '?') THEN 0.33::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(text), '^(how|why|what|when|who|never|always|stop|start|you need)') THEN 0.33::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.33::DOUBLE ELSE 0 END AS score FROM documents""")
@@ -47,9 +54,15 @@ def trend_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.trend_hits("text").alias("hits"), F.round(T.trend_score("text"), 12).alias("score"))
 
 
-@query("f9_perceived_value", r"""SELECT doc_id, CAST(length(text) - length(replace(text, 'how', 'ho')) AS INTEGER) * 0 + CAST(len(regexp_extract_all(lower(text), '\b(how|steps?|tips?|ways?|methods?)\b')) AS INTEGER) AS how_to FROM documents WHERE lang = 'en'""")
-def how_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", segments.how_to_count("text").alias("how_to"))
+HOW_TO = r"len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w IN ('how', 'step', 'steps', 'tip', 'tips', 'way', 'ways', 'method', 'methods')))"
+_HEAD = r"list_filter(regexp_split_to_array(left(text, 500), '[ \t\n\f\r]+'), lambda w: w <> '')"
+VALUE = rf"""least(1.0, (len(regexp_extract_all(left(text, 500), '[A-Z][a-z]+(?:[ \t\n\f\r]+[A-Z][a-z]+)*')) + 2 * len(list_filter({_HEAD}, lambda w: regexp_full_match(w, '[0-9]+(?:[.,][0-9]+)*')))
+  + 3 * {HOW_TO}) / (greatest(len({_HEAD}), 1) * 0.3::DOUBLE))"""
+
+
+@query("f9_perceived_value", f"SELECT doc_id, CAST({HOW_TO} AS INTEGER) AS how_to, round({VALUE}, 9) AS value FROM documents")
+def perceived_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", segments.how_to_count("text").alias("how_to"), F.round(segments.value_of("text"), 9).alias("value"))
 
 
 @query("f11_noun_phrases", r"SELECT doc_id, array_to_string(list_transform(list_slice(regexp_extract_all(text, '[A-Z][a-z]+(?:[ \t\n\f\r]+[A-Z][a-z]+)*'), 1, 3), lambda x: lower(x)), '|') AS phrases FROM documents")
@@ -66,22 +79,31 @@ def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("job_id", T.platform("url").alias("platform"), T.source_kind("url").alias("kind"), T.is_short_form("url").alias("short"), T.is_supported("url").alias("supported"), T.youtube_id("url").alias("video_id"))
 
 
-@query("s12_cache_keys", "SELECT item_id, left(sha1(lower(trim(left(text, 30))) || '|' || (item_id % 9)), 16) AS key FROM benchmark")
+@query("s12_cache_keys", "SELECT item_id, left(sha1(lower(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) || '|' || (item_id % 9)), 16) AS key FROM benchmark")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", T.cache_key(F.left("text", F.lit(30)), F.col("item_id") % 9).alias("key"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.cache_key("text", F.col("item_id") % 9).alias("key"))
 
 
-@query("f15_hmac")
+_IPAD, _OPAD = ("".join(f"\\x{b ^ pad:02X}" for b in b"key".ljust(64, b"\0")) for pad in (0x36, 0x5C))
+
+
+@query("f15_hmac", f"SELECT doc_id, sha256('{_OPAD}'::BLOB || unhex(sha256('{_IPAD}'::BLOB || encode(text)))) AS signature FROM documents")
 def hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", security.hmac_sha256(b"key", "text").alias("signature"))
 
 
-@query("f16_share_tokens", """SELECT c_custkey AS clip_id, '{"c":"' || c_custkey || '","e":1700000000}' AS payload, true AS verified, false AS forged FROM customer""")
+_SECRET = ["".join(f"\\x{b ^ pad:02X}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+_URL64 = "translate(rtrim(base64({}), '='), '+/', '-_')"
+_SIGNED = f"unhex(sha256('{_SECRET[1]}'::BLOB || unhex(sha256('{_SECRET[0]}'::BLOB || encode(payload)))))"
+
+
+@query("f16_share_tokens", f"""SELECT *, 'rs.' || {_URL64.format('encode(payload)')} || '.' || {_URL64.format(_SIGNED)} AS token, true AS verified, false AS forged
+FROM (SELECT c_custkey AS clip_id, '{{"c":"' || c_custkey || '","e":1700000000}}' AS payload FROM customer)""")
 def share_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip_id"), F.concat(F.lit('{"c":"'), F.col("c_custkey").cast("string"), F.lit('","e":1700000000}')).alias("payload"))
     c = c.withColumn("token", security.share_token(b"secret", "payload"))
     read = security.token_payload(b"secret", "token")
-    return c.select("clip_id", read.alias("payload"), (read == F.col("payload")).alias("verified"), security.token_payload(b"other", "token").isNotNull().alias("forged"))
+    return c.select("clip_id", "token", read.alias("payload"), (read == F.col("payload")).alias("verified"), security.token_payload(b"other", "token").isNotNull().alias("forged"))
 
 
 @query("f18_transcript_shapes", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN coalesce(nullif(text, ''), role) WHEN 1 THEN 'a b' ELSE 'sum' END AS text FROM conversations""")
@@ -91,10 +113,10 @@ def transcript_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", T.transcript_text(shaped, F.when(F.col("turn") % 3 == 2, "sum"), "role").alias("text"))
 
 
-@query("f19_f28_caps", "SELECT doc_id, left(text, 100) AS title, left(text, 5000) AS description FROM documents")
+@query("f19_f28_caps", "SELECT doc_id, left(text, 100) AS title, left(text, 5000) AS description, CAST(least(30, greatest(doc_id % 50, 1)) AS INTEGER) AS tags FROM documents")
 def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = T.external_caps("text", "text", F.array(F.lit("a")))
-    return table(spark, sf_dir, "documents").select("doc_id", made["title"].alias("title"), made["description"].alias("description"))
+    made = T.external_caps("text", "text", F.array_repeat(F.lit("a"), F.greatest(F.col("doc_id") % 50, F.lit(1)).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", made["title"].alias("title"), made["description"].alias("description"), F.size(made["tags"]).alias("tags"))
 
 
 @query("f27_backoff", "SELECT n_nationkey AS attempt, CAST(least(1000 * pow(2, n_nationkey), 30000) AS BIGINT) AS ms FROM nation")
@@ -102,9 +124,9 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("attempt"), T.backoff_ms("n_nationkey").alias("ms"))
 
 
-@query("c1_hashtags", r"SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(left(text, 60), '[,\s]+'), lambda x: trim(regexp_replace(x, '^#', ''))), lambda x: x <> ''), '|') AS tags FROM benchmark")
+@query("c1_hashtags", r"SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[,\s]+'), lambda x: trim(regexp_replace(x, '^#', ''))), lambda x: x <> ''), '|') AS tags FROM benchmark")
 def hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.parse_hashtags(F.left("text", F.lit(60))), "|").alias("tags"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.parse_hashtags("text"), "|").alias("tags"))
 
 
 @query("p21_range_checks", """WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity - 10 AS s, l_quantity * 0.5 AS e FROM lineitem) SELECT l_orderkey, l_linenumber, s >= 0 AND s < e AS valid FROM c""")

@@ -36,13 +36,24 @@ videos AS (SELECT vid, max("end") AS duration FROM words GROUP BY vid)"""
 def chapters(w: DataFrame) -> DataFrame:
     """A chapter for every 150 words, with its video's duration."""
     c = w.groupBy("vid", F.floor(F.col("pos") / 150).alias("idx")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return c.join(videos(w), "vid")
+    return c.join(videos(c), "vid")
 
 
 def videos(w: DataFrame) -> DataFrame:
+    """Each video's duration from its words, or from its chapters."""
     return w.groupBy("vid").agg(F.max("end").alias("duration"))
 
 
+LEXICON = r"""lexicon AS (SELECT word, CAST(length(word) % 7 - 3 AS DOUBLE) AS valence FROM (
+  SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}'']+')) AS word FROM benchmark) WHERE word <> '')"""
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valences of the words of ``benchmark``, by their lengths."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}']+")).alias("word")).distinct().where("word != ''")
+    return words.select("word", (F.length("word") % 7 - 3).cast("double").alias("valence"))
+
+
 SNAPSHOTS = """snapshots AS (
   SELECT user_id AS clip_id, event_type AS platform, ts AS captured_at, event_id AS seq,
          CAST(round(value * 100) AS BIGINT) AS views, CAST(json_extract_string(props, '$.k') AS BIGINT) AS likes FROM events)"""

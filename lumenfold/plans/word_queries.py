@@ -9,6 +9,7 @@ from lumenfold.functions import constants as C
 from lumenfold.functions import text as T
 from lumenfold.operators import exports, segments, words
 from lumenfold.plans import views as V
+from lumenfold.plans.text_queries import VALUE
 from lumenfold.registry import query
 from lumenfold.sources import table
 
@@ -69,11 +70,11 @@ def seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w3_caption_frames", f"""WITH {V.WORDS},
 w AS (SELECT vid, pos, "start" / 1000.0 AS s, "end" / 1000.0 AS e, array_to_string(list(word) OVER (PARTITION BY vid ORDER BY pos ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), ' ') AS text FROM words),
 spans AS (SELECT vid, max(e) AS t1 FROM w GROUP BY vid),
-frames AS (SELECT vid, t1, unnest(range(CAST(ceil(t1) AS BIGINT) + 2)) AS frame FROM spans)
-SELECT f.vid, CAST(f.frame AS INTEGER) AS frame, CAST(f.frame AS DOUBLE) AS t, w.text, CASE WHEN w.e > f.frame THEN CAST(w.pos AS INTEGER) END AS highlighted, 'karaoke' AS style
-FROM frames f ASOF JOIN w ON f.vid = w.vid AND f.frame >= w.s WHERE f.frame < f.t1""")
+frames AS (SELECT vid, t1, frame, CAST(frame AS DOUBLE) / 8 AS t FROM (SELECT vid, t1, unnest(range(CAST(ceil(t1 * 8) AS BIGINT) + 2)) AS frame FROM spans))
+SELECT f.vid, CAST(f.frame AS INTEGER) AS frame, round(f.t, 4) AS t, w.text, CASE WHEN w.e > f.t THEN CAST(w.pos AS INTEGER) END AS highlighted, 'karaoke' AS style
+FROM frames f ASOF JOIN w ON f.vid = w.vid AND f.t >= w.s WHERE f.t < f.t1""")
 def caption_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.caption_frames(seconds(spark, sf_dir), fps=1)
+    return words.caption_frames(seconds(spark, sf_dir), fps=8)
 
 
 @query("w9_uniform_captions", r"""WITH d AS (SELECT doc_id AS vid, n_chars / 10.0::DOUBLE AS duration, list_filter(regexp_split_to_array(text, '[ \n\t\r\f\v]+'), lambda x: x <> '') AS ws FROM documents),
@@ -107,7 +108,8 @@ candidates AS (SELECT * FROM own UNION ALL SELECT * FROM tumbling)"""
 
 
 def candidates(w: DataFrame) -> DataFrame:
-    return segments.candidates(V.chapters(w), V.videos(w), 30000, 60000)
+    chapters = V.chapters(w)
+    return segments.candidates(chapters, V.videos(chapters), 30000, 60000)
 
 
 @query("w11_w12_candidate_windows", f"WITH {CANDIDATES} SELECT * FROM candidates")
@@ -134,11 +136,11 @@ def window_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.words_in(candidates(w), w)
 
 
-FRAMES = f"""frames AS (SELECT vid, "start" AS t, CAST(length(word) AS DOUBLE) AS rms FROM words WHERE pos % 4 = 0)"""
+FRAMES = f"""frames AS (SELECT vid, "start" AS t, CAST(length(word) AS DOUBLE) AS rms FROM words)"""
 
 
 def frames(w: DataFrame) -> DataFrame:
-    return w.where("pos % 4 = 0").select("vid", F.col("start").alias("t"), F.length("word").cast("double").alias("rms"))
+    return w.select("vid", F.col("start").alias("t"), F.length("word").cast("double").alias("rms"))
 
 
 AUDIO = f"""{FRAMES}, audio AS (
@@ -155,26 +157,31 @@ def audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TREND = ", ".join(f"'{t}'" for t in (*C.TRENDS, "th", "en"))
-_WEIGHTS = {"hook": 0.30, "trend": 0.15, "audio": 0.15}
-SCORED = f"""{WINDOWED}, {AUDIO},
-parts AS (SELECT w.*, least(1.0, CASE WHEN opening IS NOT NULL THEN (h + opening) / 2 ELSE h END) AS hook, audio, least(1.0, len(list_filter([{_TREND}], lambda t: contains(lower(text), t))) / {max(len(C.TRENDS) + 2, 1) * 0.1}) AS trend
+SCORED = f"""{WINDOWED}, {AUDIO}, {V.LEXICON},
+sentences AS (SELECT vid, idx, unnest(ss) AS s, generate_subscripts(ss, 1) AS nth FROM (SELECT vid, idx, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 3) AS ss FROM windowed)),
+tokens AS (SELECT vid, idx, nth, unnest(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}'']+')) AS word FROM sentences),
+strength AS (SELECT vid, idx, nth, abs(s / sqrt(s * s + 15)) AS c FROM (SELECT vid, idx, nth, coalesce(sum(valence), 0.0) AS s FROM tokens LEFT JOIN lexicon USING (word) GROUP BY ALL)),
+emotions AS (SELECT vid, idx, least(1.0, (var_pop(c) + abs(max_by(c, nth) - min_by(c, nth))) / 2) AS emotion FROM strength GROUP BY ALL),
+parts AS (SELECT w.* EXCLUDE (emotion), coalesce(emotion, 0.0) AS emotion, {VALUE} AS value, least(1.0, CASE WHEN opening IS NOT NULL THEN (h + opening) / 2 ELSE h END) AS hook, audio, least(1.0, len(list_filter([{_TREND}], lambda t: contains(lower(text), t))) / {max(len(C.TRENDS) + 2, 1) * 0.1}) AS trend
   FROM (SELECT *, CASE WHEN contains(first_text, '?') THEN 0.33::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(first_text), '^(how|why|what|when|who|never|always|stop|start|you need)') THEN 0.33::DOUBLE ELSE 0 END
-    + CASE WHEN regexp_matches(first_text, '[0-9]') THEN 0.33::DOUBLE ELSE 0 END AS h FROM windowed) w JOIN audio USING (vid, idx)),
+    + CASE WHEN regexp_matches(first_text, '[0-9]') THEN 0.33::DOUBLE ELSE 0 END AS h FROM windowed LEFT JOIN emotions USING (vid, idx)) w JOIN audio USING (vid, idx)),
 scored AS (SELECT vid, idx, "start", "end", left(coalesce(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda s: trim(s)), lambda s: s <> '')[1], text), 80) AS title, left(text, 200) AS summary,
-  greatest(0, least(99, CAST(round_even((0.30::DOUBLE * hook + 0.25::DOUBLE * 0.0 + 0.15::DOUBLE * 0.0 + 0.15::DOUBLE * audio + 0.15::DOUBLE * trend) * 99, 0) AS INTEGER))) AS score,
-  round(hook, 3) AS hook, round(audio, 3) AS audio, round(trend, 3) AS trend FROM parts)"""
+  greatest(0, least(99, CAST(round_even((0.30::DOUBLE * hook + 0.25::DOUBLE * value + 0.15::DOUBLE * emotion + 0.15::DOUBLE * audio + 0.15::DOUBLE * trend) * 99, 0) AS INTEGER))) AS score,
+  round(hook, 3) AS hook, round(value, 3) AS value, round(emotion, 3) AS emotion, round(audio, 3) AS audio, round(trend, 3) AS trend FROM parts)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = V.words(spark, sf_dir)
     windows = candidates(w)
-    texts = segments.words_in(windows, w).join(segments.audio_features(windows, frames(w)), ["vid", "idx"])
+    texts = segments.words_in(windows, w)
+    emotions = segments.emotional_flows(texts, V.lexicon(spark, sf_dir), ["vid", "idx"])
+    texts = texts.withColumn("value", segments.value_of("text")).join(emotions, ["vid", "idx"], "left").join(segments.audio_features(windows, frames(w)), ["vid", "idx"])
     return segments.score_windows(texts, trends=(*C.TRENDS, "th", "en"))
 
 
 @query("a4_segment_score", f"WITH {SCORED} SELECT * FROM scored")
 def segment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [F.col("score_breakdown")[k].alias(k) for k in ("hook", "audio", "trend")]
+    parts = [F.col("score_breakdown")[k].alias(k) for k in ("hook", "value", "emotion", "audio", "trend")]
     return scored(spark, sf_dir).select("vid", "idx", "start", "end", "title", "summary", "score", *parts)
 
 

@@ -1,10 +1,23 @@
-"""Readers for the tables the queries run over."""
+"""Readers for the tables the queries run over, and for lists that come as files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The most phrases of a list; they become part of the plan.
+MOST_PHRASES = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def phrases(spark: SparkSession, path: str) -> list[str]:
+    """A JSON list of phrases, in order, such as trends; an error beyond MOST_PHRASES."""
+    listed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("phrase"))
+    found = [r.phrase for r in listed.limit(MOST_PHRASES + 1).collect()]
+    if len(found) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases")
+    return found
