@@ -57,6 +57,15 @@ class Sample:
         return max(1, min(limit, self.cells // max(languages, 1) ** 2))
 
 
+def _largest(values: dict[str, float], most: int) -> list[str]:
+    """The ``most`` names of the largest values, equal ones in order of name."""
+    if len(values) <= most:
+        return list(values)
+    least = np.partition(np.fromiter(values.values(), float, len(values)), len(values) - most)[len(values) - most]
+    above = [name for name, value in values.items() if value > least]
+    return above + sorted(name for name, value in values.items() if value == least)[: most - len(above)]
+
+
 class Model:
     """Log frequencies by language of words and of n-grams (with ^ and $ for a word's ends)."""
 
@@ -65,20 +74,22 @@ class Model:
         # Smoothing counts in the totals, or what a language with few words lacks would seem likely in it.
         totals = sum(words.values(), np.zeros(len(languages))) + 1.0 + SMOOTH * len(words)
         known = [w for w, n in words.items() if n.sum() > 1]
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
+        grams: list[dict[str, float]] = [defaultdict(float) for _ in languages]
         for word, n in words.items():
-            for g in self._grams(word):
-                grams[g] += np.sqrt(n)
+            parts = self._grams(word)
+            for k in np.flatnonzero(n):
+                weight, of = float(np.sqrt(n[k])), grams[k]
+                for g in parts:
+                    of[g] += weight
         most = sample.each(sample.ngrams, len(languages))
-        chosen = {g for k in range(len(languages)) for g in sorted((g for g in grams if grams[g][k]), key=lambda g: (-grams[g][k], g))[:most]}
-        best = sorted(((g, grams[g]) for g in chosen), key=lambda x: (-x[1].sum(), x[0]))
-        by_size: dict[int, np.ndarray] = defaultdict(lambda: np.ones(len(languages)))
-        for g, n in best:
-            by_size[len(g)] += n + SMOOTH
-        rows = [np.log((words[w] + SMOOTH) / totals) for w in known] + [np.log((n + SMOOTH) / by_size[len(g)]) for g, n in best]
+        best = sorted({g for of in grams for g in _largest(of, most)})
+        weights = np.array([[of.get(g, 0.0) for of in grams] for g in best]).reshape(len(best), len(languages))
+        sizes = np.array([len(g) for g in best], np.int64)
+        by_size = np.stack([np.bincount(sizes, weights[:, k] + SMOOTH, sample.longest + 1) + 1.0 for k in range(len(languages))], 1) if languages else np.ones((sample.longest + 1, 0))
+        counts = np.array([words[w] for w in known]).reshape(len(known), len(languages))
         self.words = {w: i for i, w in enumerate(known)}
-        self.grams = {g: len(known) + i for i, (g, _) in enumerate(best)}
-        self.table = np.array([*rows, np.zeros(len(languages))]).reshape(len(rows) + 1, len(languages))
+        self.grams = {g: len(known) + i for i, g in enumerate(best)}
+        self.table = np.concatenate([np.log((counts + SMOOTH) / totals), np.log((weights + SMOOTH) / by_size[sizes]), np.zeros((1, len(languages)))])
         self.table -= self.table.mean(1, keepdims=True) if languages else 0.0
         self._forget()
 
@@ -174,11 +185,11 @@ def fit(labelled: DataFrame, sample: Sample | None = None) -> Model:
     most = sample.each(sample.words, len(languages))
     cuts = labelled.sparkSession.createDataFrame([(lang, *_cut(times[lang], most)) for lang in languages], "lang string, least long, share double")
     wanted = (F.col("count") > F.col("least")) | ((F.col("count") == F.col("least")) & (_place("word") < F.col("share")))
-    counts = counted.join(F.broadcast(cuts), "lang").where(wanted).collect()
+    counts = counted.join(F.broadcast(cuts), "lang").where(wanted).select("word", "lang", "count").toArrow()
     counted.unpersist()
     table: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for r in counts:
-        table[r.word][languages.index(r.lang)] += r["count"]
+    for word, lang, n in sorted(zip(*(counts.column(k).to_pylist() for k in range(3)))):
+        table[word][languages.index(lang)] += n
     return Model(languages, dict(table), sample)
 
 
