@@ -63,7 +63,8 @@ def dedup_lines(documents: DataFrame, n: int = LINES) -> DataFrame:
     rows = documents.select(
         F.struct(*kept).alias("own"), F.col("doc_id").alias("_doc"), F.xxhash64("doc_id", "text").alias("_hash"), lines.alias("lines"), _filled(lines).alias("at")
     )
-    joined = rows.join(lost, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+    # By shuffle at every size: the lost lines grow with the table.
+    joined = rows.join(lost.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
     gone = F.transform("lost", lambda k: F.element_at("at", k))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
     text = F.when(F.col("lost").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("lines", i + 1)), "\n"))
