@@ -64,6 +64,21 @@ def words_in(windows: DataFrame, words: DataFrame, start: str = "start") -> Data
     return joined.groupBy("vid", "idx", "start", "end").agg(text(every).alias("text"), text(first).alias("first_text"), F.count("pos").alias("n_words"))
 
 
+def rms_frames(samples: DataFrame, rate: int, hop: int = 512, length: int = 2048) -> DataFrame:
+    """(vid, frame, t, rms): the loudness of samples(vid, pos, sample) every ``hop`` samples, t in seconds.
+
+    A frame's ``length`` samples lie around its time; beyond both ends there is silence. A sample belongs to few frames,
+    so it is a sum by (vid, frame) with map-side combine, however long a recording is.
+    """
+    half = length // 2
+    last = F.floor((F.col("pos") + half) / hop)
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - half) / hop) + 1)
+    spread = samples.select("vid", (F.col("sample") * F.col("sample")).alias("power"), F.explode(F.sequence(first, last)).alias("frame"))
+    count = samples.groupBy("vid").agg((F.floor((F.max("pos") + 1) / hop) + 1).alias("frames"))
+    sums = spread.groupBy("vid", "frame").agg(F.sum("power").alias("power")).join(count, "vid").where("frame < frames")
+    return sums.select("vid", "frame", (F.col("frame") * hop / F.lit(float(rate))).alias("t"), F.sqrt(F.col("power") / length).alias("rms"))
+
+
 def audio_features(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """Engagement and opening loudness of each window from (vid, t, rms) frames; both ends belong to a window."""
     overall = frames.groupBy("vid").agg(F.avg("rms").alias("mean_all"), F.max("rms").alias("max_all"))

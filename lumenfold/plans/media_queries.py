@@ -85,6 +85,15 @@ def snapshot_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.append_snapshots(V.snapshots(spark, sf_dir), new, NOW, ["views", "likes"])
 
 
+@query("s9_rms_frames", """WITH s AS (SELECT vec_id AS vid, unnest(embedding)::DOUBLE AS sample, unnest(range(len(embedding))) AS pos FROM embeddings),
+f AS (SELECT vid, unnest(range(max(pos + 1) // 4 + 1)) AS frame FROM s GROUP BY vid)
+SELECT vid, frame, frame * 4 / 16.0::DOUBLE AS t, round(sqrt(sum(sample * sample) / 16), 6) AS rms FROM f JOIN s USING (vid) WHERE pos >= frame * 4 - 8 AND pos < frame * 4 + 8 GROUP BY vid, frame""")
+def rms_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), F.posexplode("embedding").alias("pos", "sample"))
+    found = segments.rms_frames(samples.withColumn("sample", F.col("sample").cast("double")), 16, hop=4, length=16)
+    return found.select("vid", "frame", "t", F.round("rms", 6).alias("rms"))
+
+
 _ASKED = "lower(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
 
 
