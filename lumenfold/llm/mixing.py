@@ -6,7 +6,7 @@ added, and a document is emitted once for each integer that its part of the sum
 stretch of sizes gets its share, so that the words taken come near the target.
 
 The running count is found in three levels - sizes of a source, blocks of 4,096 ids of a size, rows of a
-block - so that no task holds a whole source, and what is summed up first is counts. Ids that aren't whole numbers
+block - so that no task holds a whole source, nor all sources, and what is summed up first is counts. Ids that aren't whole numbers
 are ordered by block of their hash first, and rows without an id by that of their text's.
 
 Defined cases: a null text has size 0 and is never taken for its words; sources sort by code point with null
@@ -22,36 +22,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import WORD
+from lumenfold.llm.common import WORD, Workspace
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BLOCK = 4_096
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+def _ranked(sizes: DataFrame, work: Workspace) -> DataFrame:
+    """``sizes`` with each source's place in order of code point, null last: the place in its part of a sorted, written table after the parts before."""
+    order = F.col("source").asc_nulls_last()
+    parts = work.save(sizes.orderBy(order).withColumn("part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part, and parts are few
+    earlier = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return parts.withColumn("place", place).join(earlier, "part").select("source", "source_size", (F.col("earlier") + F.col("place")).alias("rank"))
+
+
+def source_targets(sizes: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """(source, source_size) with its target and its expected copies a document.
 
     Targets share the total by weight; none is above ``most`` times its source's size, and the excess goes to
-    the others by weight. That is min(most * size, level * weight), where the level follows from one pass over
-    the sources in order of most * size / weight. The windows see one row a source, not its documents.
+    the others by weight. That is min(most * size, level * weight); the level rises with each source that it leaves
+    above its cap until there are no new ones, and each round is one sum over the sources.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1).cast("bigint")
-    capped = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("rank"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(rest)
-    levels = capped.withColumn("level", level).withColumn("own", F.col("level") * F.col("weight") <= F.col("cap"))
-    # The level holds from the first source that it leaves below its cap.
-    final = F.min(F.when(F.col("own"), F.struct("rank_by_cap", "level"))).over(Window.partitionBy())["level"]
-    levels = levels.withColumn("rank_by_cap", F.row_number().over(order)).withColumn("level", final)
-    target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
-    target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.coalesce(target, F.col("cap").cast("double")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("bigint")
+    weighed = _ranked(sizes, work).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap"))
+    weighed = work.save(weighed, "weighed")
+    level, full = 0.0, -1
+    while True:
+        capped = F.lit(False) if full < 0 else F.col("cap") < F.lit(level) * F.col("weight")
+        sums = weighed.agg(
+            F.sum("source_size").alias("total"), F.sum(F.when(capped, F.col("cap"))).alias("cap"), F.sum(F.when(~capped, F.col("weight"))).alias("weight"), F.count_if(capped).alias("full")
+        ).first()
+        if sums.full == full or not sums.weight:
+            break
+        level, full = ((sums.total or 0) - (sums.cap or 0)) / sums.weight, sums.full
+    target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")))
     copies = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
-    return levels.select("source", "source_size", target.alias("target"), copies.alias("expected"))
+    return weighed.select("source", "source_size", target.alias("target"), copies.alias("expected"))
 
 
 def _offset(seed: str) -> Column:
@@ -81,14 +90,15 @@ def _planned(documents: DataFrame, seed: str, weights: tuple[int, ...], most: in
     rows = rows.withColumn("tie", F.xxhash64("text")).drop("text")
     rows = rows.withColumn("block", _block(documents.schema["doc_id"].dataType))
 
-    blocks = rows.groupBy("source", "size", "block").agg(F.count("*").alias("n"))
+    work = Workspace(documents.sparkSession, "mix")
+    blocks = work.save(rows.groupBy("source", "size", "block").agg(F.count("*").alias("n")), "blocks")
     by_size = blocks.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     earlier = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     by_size = by_size.select("source", "size", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("smaller"))
     earlier = Window.partitionBy("source", "size").orderBy(F.col("block.of").asc_nulls_last(), "block.none").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("lower", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    targets = source_targets(sizes, weights, most).withColumn("offset", _offset(seed))
+    targets = source_targets(sizes, work, weights, most).withColumn("offset", _offset(seed))
 
     def same(left: DataFrame, right: DataFrame, *names: str) -> DataFrame:
         other = right.select(*(F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in right.columns))

@@ -72,3 +72,14 @@ def test_pipeline_takes_clashing_columns_and_repeats(spark, docs, tmp_path):
 def test_pipeline_of_nothing(spark, docs, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_targets_of_many_sources(spark, parts):
+    """Weights follow the order of names over all parts of the table; the level is that of handing out the excess by hand."""
+    from lumenfold.llm.common import Workspace
+
+    for sizes in ({f"s{i * 37 % 101:03}": (i * i) % 17 * (50 if i % 9 == 0 else 1) for i in range(101)} | {None: 40}, {"a": 5}, {"a": 0, None: 0}, {"a": 1, "b": 1000, "c": 3}):
+        frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(parts)
+        found = {r.source: r.target for r in mixing.source_targets(frame, Workspace(spark, "targets")).collect()}
+        assert found == pytest.approx(brute.targets(sizes))
