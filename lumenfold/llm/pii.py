@@ -2,14 +2,19 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. A field over each document's candidates
 adds mentions that the patterns miss because they are written differently. Its nodes are the patterns' matches
-(labels known) and further runs that look like numbers or addresses. Potentials are:
+(labels known) and further runs that look like numbers or addresses. Its weights are
 
-* at a node, how often a run of its shape is a match of each kind, counted over all documents. A loose run that
-  skip links join to a match has no known label and isn't counted; other loose runs count as no match;
-* between neighbours, how often one label follows another, counted likewise;
-* on skip links, a bonus for equal labels between nodes whose normalised tokens are equal or almost so,
-  however far apart. The bonus is above what a node's and its two neighbours' potentials can hold against it, so
-  that it doesn't fade as counts grow with the table.
+* at a node, for each label, and for each label given the run's shape;
+* between neighbours, for each pair of labels;
+* on skip links, for equal labels of nodes whose normalised tokens are equal or almost so, however far apart.
+
+They are trained by pseudo-likelihood on all documents: each node's label given its shape, its neighbours' labels and
+those of the matches it is linked to. Matches teach twice, once with their shape masked, so that the other weights learn
+what a label owes to its neighbours and links alone. Loose runs that skip links join to a match have no known label and
+don't teach; others teach that they are none. Spark counts the cases, and the driver fits the weights to their shares
+of all cases, with a normal prior around 0, and around COUPLING for skip links. So weights depend on shares and not on
+the table's size. In a field they are bounded: what a node and its two neighbours can hold against a label is less than
+a skip link's weight.
 
 Loopy sum-product passing along these links settles the labels, and a run whose best label is a kind, and which
 skip links join to a mention of that kind, becomes a span. A document without candidates costs one scan.
@@ -57,8 +62,11 @@ LOOSE = re.compile(
 )
 #: The most that a node's own potential, and each neighbour's, says against a label (log odds), however large the counts.
 OWN_MOST, CHAIN_MOST = 4.0, 1.0
-#: Weight of a skip link: log odds that linked tokens share their label; above OWN_MOST + 2 * CHAIN_MOST.
-COUPLING = 8.0
+#: Weight of a skip link before training, and the least after it: log odds that linked tokens share their label.
+COUPLING, COUPLING_LEAST = 8.0, OWN_MOST + 2 * CHAIN_MOST + 0.5
+#: Of the fit: strength of the prior against one case's share, steps, and their length.
+PRIOR, STEPS, RATE = 1e-3, 400, 0.1
+MASKED = "?"
 ROUNDS, MOST_ROUNDS = 8, 60
 #: The shortest token that links with others that are almost equal; shorter addresses link with equal ones only.
 NEAR_LEAST = 7
@@ -209,20 +217,62 @@ def _groups(n: int, links: list[tuple[int, int]]) -> list[int]:
     return [top(i) for i in range(n)]
 
 
+def _fit(shape: np.ndarray, near: np.ndarray, linked: np.ndarray, label: np.ndarray, counts: np.ndarray, shapes: int) -> list:
+    """Weights of the label, of (shape, label), (label before, label), (label after, label), and of a linked equal label.
+
+    The most probable ones under the prior, by gradient steps of a length that adapts to each weight. Without cases
+    they are those of the prior.
+    """
+    m = len(LABELS)
+    weights = [np.zeros(m), np.zeros((shapes, m)), np.zeros((m + 1, m)), np.zeros((m + 1, m)), np.array(COUPLING)]
+    weights[0][0] = 1.0  # what isn't known is more likely none
+    centre = [w.copy() for w in weights]
+    if not len(label):
+        return weights
+    share, target = counts / counts.sum(), np.eye(m)[label]
+    mean, square = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    for step in range(1, STEPS + 1):
+        score = weights[0] + weights[1][shape] + weights[2][near[:, 0]] + weights[3][near[:, 1]] + weights[4] * linked
+        odds = np.exp(score - score.max(1, keepdims=True))
+        error = share[:, None] * (odds / odds.sum(1, keepdims=True) - target)
+        slopes = [PRIOR * (w - c) for w, c in zip(weights, centre)]
+        slopes[0] = slopes[0] + error.sum(0)
+        np.add.at(slopes[1], shape, error)
+        np.add.at(slopes[2], near[:, 0], error)
+        np.add.at(slopes[3], near[:, 1], error)
+        slopes[4] = slopes[4] + (error * linked).sum()
+        for k, slope in enumerate(slopes):
+            mean[k] = 0.9 * mean[k] + 0.1 * slope
+            square[k] = 0.999 * square[k] + 0.001 * slope * slope
+            weights[k] = weights[k] - RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-9)
+    return weights
+
+
 class Field:
-    """Log potentials: of labels by shape, and of a label after another."""
+    """Log potentials: of labels by shape, of a label after another, and of linked labels that agree.
+
+    ``counts``: how often each (case, label) was seen; a case is a shape, ``after`` and the label before, or a shape,
+    the labels before and after (or -) and those of linked matches (joined by +), with tabs between.
+    """
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
-        self.shapes: dict[str, np.ndarray] = {}
-        follows = np.ones((len(LABELS), len(LABELS)))
-        for (what, label), n in counts.items():
-            if what.startswith("after "):
-                follows[LABELS.index(what[6:]), LABELS.index(label)] += n
-            else:
-                self.shapes.setdefault(what, np.ones(len(LABELS)))[LABELS.index(label)] += n
-        self.shapes = {k: np.log(v / v.sum()) for k, v in self.shapes.items()}
-        self.follows = np.log(follows / follows.sum(1, keepdims=True))
-        self.unknown = np.log(np.array([0.6, 0.1, 0.1, 0.1, 0.1]))
+        cases = []
+        for what, label in counts:
+            shaped = what.split("\t") if "\t" in what else [MASKED, what[6:], "-", ""] if what.startswith("after ") else [what, "-", "-", ""]
+            cases.append((*shaped, label))
+        shapes = sorted({c[0] for c in cases} | {MASKED})
+        near = [*LABELS, "-"]
+        self.weights = _fit(
+            np.array([shapes.index(c[0]) for c in cases], np.int64), np.array([[near.index(c[1]), near.index(c[2])] for c in cases], np.int64).reshape(-1, 2),
+            np.array([[k in c[3].split("+") for k in LABELS] for c in cases], float).reshape(-1, len(LABELS)), np.array([LABELS.index(c[4]) for c in cases], np.int64),
+            np.array(list(counts.values()), float), len(shapes),
+        )
+        label, shape, before, after, self.coupling = self.weights
+        self.shapes = {s: label + shape[i] - (label + shape[i]).max() for i, s in enumerate(shapes) if s != MASKED}
+        self.unknown = label - label.max()
+        follows = 0.5 * (before[: len(LABELS)] + after[: len(LABELS)].T)
+        self.follows = follows - follows.max(1, keepdims=True)
+        self.coupling = max(float(self.coupling), COUPLING_LEAST)
 
     def infer(self, found: list[tuple[int, int, int, str]], links: list[tuple[int, int]]) -> np.ndarray:
         """Beliefs (node by label) after some rounds of passing along neighbours and skip links."""
@@ -237,7 +287,7 @@ class Field:
         weight = np.minimum(share[:-1], share[1:])[:, None, None]
         chain = [(i, i + 1) for i in range(len(found) - 1)]
         ends = np.array(chain + links, np.int64).reshape(-1, 2)
-        tables = np.concatenate([weight * (0.25 * self.follows).clip(-CHAIN_MOST, 0)[None], np.repeat((COUPLING * np.eye(len(LABELS)))[None], len(links), 0)])
+        tables = np.concatenate([weight * self.follows.clip(-CHAIN_MOST, 0)[None], np.repeat((self.coupling * np.eye(len(LABELS)))[None], len(links), 0)])
         source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
@@ -275,10 +325,10 @@ def find_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 
 
 def learn(documents: DataFrame, text: str = "text") -> Field:
-    """The field's potentials, counted over all documents.
+    """A field trained on all documents.
 
-    What comes to the driver is a count for each shape and label: shapes have some thousand values at most,
-    whatever the texts.
+    What comes to the driver is a count for each case: shapes have some thousand values at most, whatever the texts,
+    and each has a few labels before, after and linked.
     """
     schema = T.StructType([T.StructField("what", T.StringType()), T.StructField("label", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -289,12 +339,23 @@ def learn(documents: DataFrame, text: str = "text") -> Field:
                 value = value.as_py()
                 if value and may_hold(value):
                     found = nodes(value, base_spans(value))
-                    group = _groups(len(found), _links(found))
+                    links = _links(found)
+                    group = _groups(len(found), links)
+                    linked: dict[int, set[str]] = {}
+                    for a, b in links:
+                        for i, j in ((a, b), (b, a)):
+                            if found[j][2] >= 0:
+                                linked.setdefault(i, set()).add(LABELS[found[j][2]])
                     held = {g for g, f in zip(group, found) if f[2] >= 0}
                     open_runs = {i for i, f in enumerate(found) if f[2] < 0 and group[i] in held}
                     labels = [None if i in open_runs else LABELS[max(f[2], 0)] for i, f in enumerate(found)]
-                    seen.update((shape(f[3]), label) for f, label in zip(found, labels) if label)
-                    seen.update((f"after {a}", b) for a, b in zip(labels, labels[1:]) if a and b)
+                    around = ["-", *(label or "-" for label in labels), "-"]
+                    for i, label in enumerate(labels):
+                        if label:
+                            rest = f"\t{around[i]}\t{around[i + 2]}\t{'+'.join(sorted(linked.get(i, ())))}"
+                            seen[shape(found[i][3]) + rest, label] += 1
+                            if found[i][2] >= 0:
+                                seen[MASKED + rest, label] += 1
         yield pa.RecordBatch.from_pydict({"what": [k[0] for k in seen], "label": [k[1] for k in seen], "n": list(seen.values())}, schema=pa.schema([("what", pa.string()), ("label", pa.string()), ("n", pa.int64())]))
 
     bound_batches(documents.sparkSession)
