@@ -1,14 +1,10 @@
-"""Text functions as column expressions: they stay in the JVM and in generated code.
-
-The few that replace text by a rule that depends on the match are Arrow UDFs, marked so.
-"""
+"""Text functions as column expressions: they stay in the JVM and in generated code."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,31 +45,35 @@ def bleep(text: Text, mode: str = "default", custom: Iterable[str] = ()) -> Colu
     return out
 
 
+def _whole(word: str) -> str:
+    """A pattern of a word between word boundaries of any script."""
+    sides = (("(?<!", "(?<=", word[0]), ("(?!", "(?=", word[-1]))
+    first, last = ((no if re.match(r"\w", sign) else yes) + WORD_SIGN + ")" for no, yes, sign in sides)
+    return first + re.escape(word) + last
+
+
+def _in_case_of(found: Column, value: Column) -> Column:
+    upper, lower = F.upper(found), F.lower(found)
+    rest = F.substr(found, F.lit(2))
+    title = (F.left(found, F.lit(1)) != F.left(lower, F.lit(1))) & (rest == F.lower(rest)) & (rest != F.upper(rest))
+    titled = F.concat(F.upper(F.left(value, F.lit(1))), F.lower(F.substr(value, F.lit(2))))
+    return F.when((found == upper) & (found != lower), F.upper(value)).when(title, titled).when((found == lower) & (found != upper), F.lower(value)).otherwise(value)
+
+
 def replace_vocabulary(text: Text, vocabulary: Mapping[str, str]) -> Column:
-    """Keys, longest first and whole words only, by their values in the case of what they replace (Arrow UDF).
+    """Keys, longest first and whole words only, by their values in the case of what they replace.
 
     Upper, title and lower case carry over; other words get the value as written. One pass: a value isn't
-    looked up again.
+    looked up again, since the text is cut at the keys and put together with their values between.
     """
     keys = sorted((k for k in vocabulary if k), key=len, reverse=True)
     if not keys:
         return _col(text)
-    pattern = re.compile(r"\b(" + "|".join(map(re.escape, keys)) + r")\b", re.IGNORECASE)
-    values = {k.lower(): v for k, v in vocabulary.items()}
-
-    def one(match: re.Match) -> str:
-        found, value = match[0], values[match[0].lower()]
-        if found.isupper():
-            return value.upper()
-        if found[0].isupper() and found[1:].islower():
-            return value[:1].upper() + value[1:].lower()
-        return value.lower() if found.islower() else value
-
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pattern.sub(one, t), na_action="ignore")
-
-    return replaced(_col(text))
+    pattern = F.lit("(?iu)(?:" + "|".join(map(_whole, keys)) + ")")
+    values = F.create_map(*(F.lit(x) for k, v in {k.lower(): v for k, v in vocabulary.items() if k}.items() for x in (k, v)))
+    found = F.transform(F.regexp_extract_all(_col(text), pattern, F.lit(0)), lambda m: _in_case_of(m, F.coalesce(F.try_element_at(values, F.lower(m)), m)))
+    pieces = F.split(_col(text), pattern, -1)
+    return F.array_join(F.zip_with(pieces, found, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
 
 
 def slug(text: Text, fallback: str = "video") -> Column:

@@ -27,7 +27,16 @@ def bleep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.bleep("text", "custom", ["the", "idiot"]).alias("text"))
 
 
-@query("f2_vocabulary")
+def _cased(found: str, value: str) -> str:
+    return f"""CASE WHEN {found} = upper({found}) THEN upper('{value}') WHEN {found} = upper(left({found}, 1)) || lower(substr({found}, 2)) THEN upper(left('{value}', 1)) || lower(substr('{value}', 2)) WHEN {found} = lower({found}) THEN lower('{value}') ELSE '{value}' END"""
+
+
+_PAIR = "lower(coalesce(ps[{0}], '')) = 'of' AND ps[{0} + 1] = ' ' AND lower(coalesce(ps[{0} + 2], '')) = 'the'"
+
+
+@query("f2_vocabulary", rf"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS ps FROM documents)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_transform(ps, lambda x, i: CASE WHEN {_PAIR.format('i')} THEN {_cased("(x || ' ' || ps[i + 2])", 'from a')}
+  WHEN i > 1 AND {_PAIR.format('(i - 1)')} OR i > 2 AND {_PAIR.format('(i - 2)')} THEN '' WHEN lower(x) = 'the' THEN {_cased('x', 'a certain')} WHEN lower(x) = 'de' THEN {_cased('x', 'of')} ELSE x END), '') END AS text FROM p""")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.replace_vocabulary("text", {"the": "a certain", "of the": "from a", "de": "of"}).alias("text"))
 
