@@ -68,7 +68,7 @@ def vtt_blocks(captions: DataFrame) -> DataFrame:
 
 
 def caption_file(captions: DataFrame, kind: str = "srt") -> DataFrame:
-    """(vid, content): one caption file a video."""
+    """(vid, content): one caption file a video, as a row, which is as long as the file."""
     if kind not in ("srt", "vtt"):
         raise ValueError(f"Unsupported format: {kind}")
     blocks = srt_blocks(captions) if kind == "srt" else vtt_blocks(captions)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from lumenfold.functions import constants as C
 from lumenfold.functions import text as T
 
 #: Milliseconds of the stretches by which windows meet words and frames.
-BUCKET = 60_000
+BUCKET = 600_000
 
 
 def chapter_candidates(chapters: DataFrame, least: float, most: float) -> DataFrame:
@@ -37,16 +37,20 @@ def candidates(chapters: DataFrame, videos: DataFrame, least: int, most: int) ->
     return own.unionByName(tumbling_candidates(rest, least, most).select("vid", "idx", "start", "end"))
 
 
-def _within(windows: DataFrame, rows: DataFrame, at: str, before_end: Column) -> DataFrame:
-    """Windows (vid, start, end) with the rows whose time lies in them; a window without any has nulls.
+def _stretched(windows: DataFrame) -> DataFrame:
+    """Windows (vid, start, end) once for each stretch of BUCKET milliseconds that they touch, in ``_stretch``."""
+    return windows.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
 
-    Both sides carry the stretch of BUCKET milliseconds they fall in, so that the join is by (vid, stretch) and the
-    range is checked within it: a window meets the rows of two or three stretches and not those of its whole video.
+
+def _within(windows: DataFrame, rows: DataFrame, at: str, inside: Callable[[Column], Column]) -> DataFrame:
+    """Windows with ``found``: the rows of their video, as structs, whose time ``at`` is inside; all of a window's columns stay.
+
+    Rows are listed by (vid, stretch) once, and a window meets the lists of the one or two stretches that it touches. So
+    rows are moved once, a list is as long as a stretch, and a window never meets the rows of its whole video.
     """
-    spans = windows.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
-    placed = rows.withColumnRenamed("vid", "_vid").withColumn("_at", F.floor(F.col(at) / BUCKET))
-    on = (F.col("vid") == F.col("_vid")) & (F.col("_stretch") == F.col("_at")) & (F.col(at) >= F.col("start")) & before_end
-    return spans.join(placed, on, "left").drop("_vid", "_at", "_stretch")
+    lists = rows.groupBy("vid", F.floor(F.col(at) / BUCKET).alias("_stretch")).agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "vid"))).alias("_rows"))
+    met = _stretched(windows).join(lists, ["vid", "_stretch"], "left").withColumn("_found", F.filter("_rows", lambda r: inside(r[at])))
+    return met.groupBy(*windows.columns).agg(F.sort_array(F.flatten(F.collect_list("_found"))).alias("found"))
 
 
 def words_in(windows: DataFrame, words: DataFrame, start: str = "start") -> DataFrame:
@@ -54,14 +58,14 @@ def words_in(windows: DataFrame, words: DataFrame, start: str = "start") -> Data
 
     Windows without words keep an empty text.
     """
-    joined = _within(windows, words.select("vid", "pos", "word", F.col(start).alias("ws")), "ws", F.col("ws") < F.col("end"))
-    first = F.when(F.col("ws") - F.col("start") <= 3000, F.struct("pos", "word"))
-    every = F.when(F.col("pos").isNotNull(), F.struct("pos", "word"))
+    rows = words.select("vid", "pos", "word", F.col(start).alias("ws"))
+    listed = _within(windows.select("vid", "idx", "start", "end"), rows, "ws", lambda t: (t >= F.col("start")) & (t < F.col("end")))
 
-    def text(c: Column) -> Column:
-        return F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["word"]), " ")
+    def text(words: Column) -> Column:
+        return F.array_join(F.transform(words, lambda x: x["word"]), " ")
 
-    return joined.groupBy("vid", "idx", "start", "end").agg(text(every).alias("text"), text(first).alias("first_text"), F.count("pos").alias("n_words"))
+    early = F.filter("found", lambda x: x["ws"] - F.col("start") <= 3000)
+    return listed.select("vid", "idx", "start", "end", text(F.col("found")).alias("text"), text(early).alias("first_text"), F.size("found").cast("bigint").alias("n_words"))
 
 
 def rms_frames(samples: DataFrame, rate: int, hop: int = 512, length: int = 2048) -> DataFrame:
@@ -82,8 +86,14 @@ def rms_frames(samples: DataFrame, rate: int, hop: int = 512, length: int = 2048
 def audio_features(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """Engagement and opening loudness of each window from (vid, t, rms) frames; both ends belong to a window."""
     overall = frames.groupBy("vid").agg(F.avg("rms").alias("mean_all"), F.max("rms").alias("max_all"))
-    joined = _within(windows, frames.select("vid", "t", "rms"), "t", F.col("t") <= F.col("end"))
-    per = joined.groupBy("vid", "idx", "start", "end").agg(F.avg("rms").alias("mean"), F.avg(F.when(F.col("t") <= F.col("start") + 3000, F.col("rms"))).alias("opening"))
+    met = _within(windows.select("vid", "idx", "start", "end"), frames.select("vid", "t", "rms"), "t", lambda t: (t >= F.col("start")) & (t <= F.col("end")))
+
+    def mean(listed: Column) -> Column:
+        total = F.aggregate(listed, F.lit(0.0), lambda s, x: s + x["rms"])
+        return F.when(F.size(listed) > 0, total / F.size(listed))
+
+    opening = F.filter("found", lambda x: x["t"] <= F.col("start") + 3000)
+    per = met.select("vid", "idx", mean(F.col("found")).alias("mean"), mean(opening).alias("opening"))
     out = per.join(overall, "vid", "left")
     audio = F.least(F.lit(1.0), F.coalesce(F.col("mean") / (F.col("mean_all") + 1e-9), F.lit(0.0)))
     return out.select("vid", "idx", audio.alias("audio"), (F.col("opening") / (F.col("max_all") + 1e-9)).alias("opening"))

@@ -79,7 +79,7 @@ def total_kept(intervals: DataFrame) -> DataFrame:
 
 
 def full_text(words: DataFrame) -> DataFrame:
-    """All words of a video in order, joined by blanks."""
+    """All words of a video in order, joined by blanks: one row a video, as long as its transcript."""
     listed = F.sort_array(F.collect_list(F.struct("pos", "word")))
     return words.groupBy("vid").agg(F.array_join(F.transform(listed, lambda w: w["word"]), " ").alias("text"))
 
