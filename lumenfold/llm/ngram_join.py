@@ -125,7 +125,7 @@ def join_keys(shingles: np.ndarray, join: Join) -> list[dict]:
     for band in range(n.bit_length() - 1, most.bit_length()):
         low, top = 1 << band, (2 << band) - 1
         widest = join.apart(top, top)
-        need = 1 + join.apart(low, 100 * low // join.percent) // 2
+        need = 1 + join.apart(low, 100 * low // join.percent) // 4
         words = lane_words(shingles, band, widest + widest // 16 + need + 2)
         size = join.apart(n, min(most, top)) + need
         if len(words) >= size:
@@ -179,9 +179,11 @@ def _sides(signed: DataFrame) -> DataFrame:
 def _live_words(signed: DataFrame, work: Workspace) -> DataFrame:
     """(key, cls) of the lane words that can show a link."""
     rows = signed.where("cls is not null").select("cls", F.inline("bands")).select("cls", "band", "need", F.explode("keys").alias("key"))
-    counts = rows.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("times"))
-    counts = work.save(counts.where("least < most").select("key", "times"), "counts")
+    # Words that only a class's own copies share count too; they are left with one class and go with the lists.
+    counts = work.save(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "counts")
+    work.release()
     shared = work.save(rows.join(counts, "key").distinct(), "shared")
+    work.release()
     by_set = Window.partitionBy("cls", "band")
     common_first = F.row_number().over(by_set.orderBy(F.desc("times"), "key"))
     kept = shared.withColumn("place", common_first).withColumn("words", F.count("*").over(by_set))
@@ -230,7 +232,7 @@ def _forest(rows: pa.Table, join: Join, exact: bool) -> pa.RecordBatch:
     that; only what is then joined across the two is told. The edges of a joined part are a star.
     """
     both, same, own, cls, n = (rows.column(c).to_numpy() for c in ("both", "same", "own", "cls", "n"))
-    folded = rows.column("folded").combine_chunks().values.to_numpy().view(_U).reshape(len(cls), -1)
+    folded = rows.column("folded").combine_chunks().flatten().to_numpy().view(_U).reshape(len(cls), -1)
     sets = [np.frombuffer(s.as_buffer(), _U) for s in rows.column("set")] if exact else []
     part, whole, root = 100 - join.percent, 100 + join.percent, np.arange(len(cls))
 
@@ -330,9 +332,11 @@ def classes(documents: DataFrame, join: Join, work: Workspace) -> tuple[DataFram
         signed = work.save(told.drop("twice"), "told-apart")
         side = work.save(_sides(signed), "sides-apart")
     words = work.save(_live_words(signed, work), "words")
+    work.drop("counts", "shared")
     links = _links(documents, _near(words, side, join, work), side, join, work)
     labels = components(links, work, "components")
-    work.drop("counts", "shared", "words", "lists", "near", "members", "links")
+    work.drop("words", "lists", "near", "members", "links")
+    work.release()
     return signed.select("doc_id", "row", "cls", "n"), labels
 
 
