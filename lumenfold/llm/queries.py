@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import avi, bpe, compression, langid, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts
+from lumenfold.llm import avi, bpe, compression, impact_search, langid, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts, vector_codes, whitening
+from lumenfold.llm.common import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,3 +207,61 @@ def trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = token_counts.count(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_tokens", F.round("log_prob", 3).alias("log_prob"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def _codes_sql() -> str:
+    """Product codes of 16 parts, 64 entries and two rounds: each round assigns all parts and takes means."""
+    steps = []
+    for r in range(3):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, label, p, v, min_by(e, (dist, e)) AS e, min(dist) AS dist FROM (
+  SELECT parts.vec_id, parts.label, parts.p, parts.v, e, list_sum(list_transform(list_zip(parts.v, b{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist
+  FROM parts JOIN b{r} USING (p)) GROUP BY ALL)""")
+        if r < 2:
+            steps.append(f"""
+m{r} AS (SELECT p, e, list(mean ORDER BY place) AS v FROM (SELECT p, e, place, CAST(floor(sum(c) / count(*)) AS BIGINT) AS mean
+  FROM (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS place FROM a{r}) GROUP BY p, e, place) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b{r}.p, b{r}.e, coalesce(m{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN m{r} USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+parts AS MATERIALIZED (SELECT vec_id, label, p, list_slice(x, p * len(x) // 16 + 1, (p + 1) * len(x) // 16) AS v FROM kept, range(16) t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+b0 AS MATERIALIZED (SELECT p, e, v FROM parts JOIN firsts USING (vec_id)),{",".join(steps)},
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS sha FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, book.sha AS codebooks_sha256 FROM coded, book"""
+
+
+@query("op11_va_file_codes", _codes_sql())
+def va_file_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = embeddings(spark, sf_dir)
+    books = vector_codes.fit(vectors)
+    coded = vector_codes.with_label_errors(vector_codes.encode(vectors, books, keep=["vec_id", "label"]))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op12_jacobi_whitening")
+def jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = embeddings(spark, sf_dir)
+    return whitening.whiten(vectors, whitening.fit(vectors), keep=["vec_id"])
+
+
+SEARCH_SQL = """
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+scored AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.x, r.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM kept q JOIN kept r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op13_impact_ordered_search", SEARCH_SQL)
+def impact_ordered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = embeddings(spark, sf_dir)
+    index = impact_search.build(vectors, Workspace(spark, "search"))
+    return impact_search.search(index, vectors.where("vec_id % 50 = 0"), k=5)
