@@ -1,11 +1,11 @@
 """Exact top-k search by inner product over an impact-ordered index, score at a time.
 
 The index holds vectors of integers floor(256 * x) in blocks of about 32,000. In a block every dimension has posting
-segments: the rows whose component has one sign and one quantised size (its impact). A query weighs each
-segment by its own component and takes segments of all dimensions in descending order of weighted impact,
-adding one number to the accumulators of a segment's rows. What rows can still gain or lose is known at every point:
-in each dimension at most the largest impact not yet taken, or the width of a quantised size already taken. The query
-stops only where that proves that few rows can be among the k best (or after the last segment), and those possible members are
+segments: the rows whose component has one sign and one quantised size (its impact). Queries take the segments
+of all dimensions in descending order of impact, each adding one number - its own component times the impact - to its
+accumulators of a segment's rows. What a row can still gain or lose is known at every point: in each dimension the query's
+component times the largest size not yet taken, or times half the width of a quantised size. A query
+stops only where that proves that few rows can be among its k best (or after the last segment), and those possible members are
 rescored exactly. So no result depends on quantisation, on order or on when it stops.
 
 Spark deals queries in lanes of 512 and meets every block with every lane by an equality join on (block, lane):
@@ -36,17 +36,19 @@ SCALE = 256
 #: Rows a block and queries a lane, about: both are dealt by hash. A row's place in its block fits in 16 bits up to 65,536.
 BLOCK, LANE = 32_000, 512
 #: Steps of impact up to the 99th percentile of a block's components; larger ones go on in the same steps.
-STEPS = 14
-#: Shares of a query's segments after which it looks whether the rest can be proven needless.
-LOOKS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+STEPS = 10
+#: The share of a block's postings after which queries look, impact by impact, whether the rest can be proven needless.
+LOOK_FROM = 0.3
+#: Queries that go through a block's segments together.
+AT_ONCE = 128
 #: A query stops once at most this share of a block, beside 8 k rows, can be members.
-FEW = 1 / 16
+FEW = 1 / 8
 _BYTES = {"ids": np.int64, "x": np.int32, "places": np.uint16, "segments": np.int64}
 
 
 @dataclass
 class Segments:
-    """One block's index. ``segments`` has a row for each: dimension, sign, first place, end, least and largest size."""
+    """One block's index. ``segments`` has a row for each, in falling order of impact: impact, dimension, sign, first place, end, least and largest size."""
 
     ids: np.ndarray
     x: np.ndarray
@@ -63,69 +65,89 @@ class Segments:
         for d in range(x.shape[1]):
             column = x[:, d]
             size = np.abs(column)
-            level = (size // step + 1) * np.sign(column)
-            by_level = np.argsort(level, kind="stable")
-            cuts = np.flatnonzero(np.diff(level[by_level], prepend=level[by_level[0]] - 1))
-            ends = np.append(cuts[1:], len(column))
-            sizes = size[by_level]
-            for first, end in zip(cuts, ends):
-                if column[by_level[first]]:  # a component of 0 adds nothing
+            impact = size // step
+            signed = (impact + 1) * np.sign(column)
+            by_impact = np.argsort(signed, kind="stable")
+            cuts = np.flatnonzero(np.diff(signed[by_impact], prepend=signed[by_impact[0]] - 1))
+            sizes = size[by_impact]
+            for first, end in zip(cuts, np.append(cuts[1:], len(column))):
+                row = by_impact[first]
+                if column[row]:  # a component of 0 adds nothing
                     part = sizes[first:end]
-                    segments.append((d, np.sign(column[by_level[first]]), at + first, at + end, part.min(), part.max()))
-            places.append(by_level)
+                    segments.append((impact[row], d, np.sign(column[row]), at + first, at + end, part.min(), part.max()))
+            places.append(by_impact)
             at += len(column)
-        return Segments(ids, x, np.concatenate(places), np.array(segments, np.int64).reshape(-1, 6))
-
-    def prepare(self) -> None:
-        """Puts each dimension's segments in falling order of size, and finds what it still holds once a segment is taken."""
-        self.segments = self.segments[np.lexsort((-self.segments[:, 5], self.segments[:, 0]))]
-        d, least, size = self.segments[:, 0], self.segments[:, 4], self.segments[:, 5]
-        self.middle = (least + size) // 2
-        self.widest = np.zeros(self.x.shape[1], np.int64)
-        np.maximum.at(self.widest, d, size - self.middle)
-        self.top = np.zeros(self.x.shape[1], np.int64)
-        np.maximum.at(self.top, d, size)
-        self.after = np.where(np.append(d[1:], -1) == d, np.append(size[1:], 0), 0)
-        self.lists = [self.places[a:b] for a, b in self.segments[:, 2:4]]
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Ids and scores of the k best rows but the query's own, and how many postings and exact scores that took."""
-        d, size = self.segments[:, 0], self.segments[:, 5]
-        weight, widest = np.abs(query)[d], self.widest[d]
-        order = np.argsort(-(weight * size), kind="stable")  # within a dimension that is falling size
-        order = order[weight[order] > 0]
-        adds = (query[d] * self.segments[:, 1] * self.middle)[order]
-        # In each dimension a total is wrong by the largest size not taken yet at most, or by half the width of those taken.
-        gained = weight * (np.maximum(size, widest) - np.maximum(self.after, widest))
-        doubt = int((np.abs(query) * np.maximum(self.top, self.widest)).sum()) - np.cumsum(gained[order])
-        own = slice(*np.searchsorted(self.ids, [query_id, query_id + 1]))
-        totals = np.zeros(len(self.ids), np.int64)
-        looks = {int(len(order) * share) for share in LOOKS} | {len(order)}
-        taken, members = 0, None
-        for done, (segment, add) in enumerate(zip(order.tolist(), adds.tolist()), 1):
-            places = self.lists[segment]
-            totals[places] += add
-            taken += len(places)
-            if done in looks:
-                members = self._members(totals, own, k, int(doubt[done - 1]))
-                if len(members) <= 8 * k + FEW * len(self.ids):
-                    break
-        if members is None:  # a query of zeros
-            members = self._members(totals, own, k, 0)
-        scores = self.x[members] @ query
-        best = np.argsort(-scores, kind="stable")[:k]  # members are in order of id
-        return self.ids[members[best]], scores[best], taken, len(members)
-
-    @staticmethod
-    def _members(totals: np.ndarray, own: slice, k: int, doubt: int) -> np.ndarray:
-        """Rows that can be among the k best when each total is right to within ``doubt``."""
-        open_ = np.ones(len(totals), bool)
-        open_[own] = False
-        if len(totals) - (own.stop - own.start) <= k:
-            return np.flatnonzero(open_)
-        masked = np.where(open_, totals, np.iinfo(np.int64).min)
-        kth = np.partition(masked, len(masked) - k)[len(masked) - k]
-        return np.flatnonzero(open_ & (totals >= kth - 2 * doubt))
+        table = np.array(segments, np.int64).reshape(-1, 7)
+        return Segments(ids, x, np.concatenate(places), table[np.lexsort((table[:, 1], -table[:, 0]))])
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+        """For each query ids and scores of the k best rows but its own; how many additions and how many exact scores that took.
+
+        Queries go through the segments together, and each leaves when its own proof holds.
+        """
+        dims = self.x.shape[1]
+        impact, d, sign, first, end, least, size = self.segments.T
+        middle = (least + size) // 2
+        weight = np.abs(queries)
+        widest, left = np.zeros(dims, np.int64), np.zeros((len(np.unique(impact)) + 1, dims), np.int64)
+        np.maximum.at(widest, d, size - middle)
+        starts = np.flatnonzero(np.diff(impact, prepend=-1))
+        stops = np.append(starts[1:], len(d))
+        for level, (a, b) in reversed(list(enumerate(zip(starts, stops)))):  # the largest size in each dimension from this impact down
+            left[level] = left[level + 1]
+            np.maximum.at(left[level], d[a:b], size[a:b])
+        most = int((weight.max(axis=0, initial=0) * left[0]).sum())
+        totals = np.zeros((len(self.ids), len(queries)), np.int32 if most < 1 << 30 else np.int64)
+        own = np.searchsorted(self.ids, query_ids), np.searchsorted(self.ids, query_ids, side="right")
+        found: list[tuple[np.ndarray, np.ndarray]] = [None] * len(queries)
+        asking, adds, rescored, seen = np.arange(len(queries)), 0, 0, 0
+        postings = int((end - first).sum())
+        for level, (a, b) in enumerate(zip(starts, stops), 1):
+            for s in range(a, b):
+                places = self.places[first[s] : end[s]]
+                rows = totals.take(places, axis=0)
+                rows += (queries[asking, d[s]] * (sign[s] * middle[s])).astype(totals.dtype)
+                totals[places] = rows
+                seen += len(places)
+                adds += rows.size
+            last = level == len(starts)
+            if seen < LOOK_FROM * postings and not last:
+                continue
+            # In each dimension a total is wrong by the largest size not taken yet at most, or by half the width of those taken.
+            doubt = weight[asking] @ np.maximum(left[level], widest)
+            stay = []
+            for column, q in enumerate(asking):
+                members = self._members(totals[:, column], slice(own[0][q], own[1][q]), queries[q], k, int(doubt[column]))
+                if last or len(members) <= 8 * k + FEW * len(self.ids):
+                    scores = self.x[members] @ queries[q]
+                    best = np.argsort(-scores, kind="stable")[:k]  # members are in order of id
+                    found[q] = self.ids[members[best]], scores[best]
+                    rescored += len(members)
+                else:
+                    stay.append(column)
+            if len(stay) < len(asking):
+                asking, totals = asking[stay], np.ascontiguousarray(totals[:, stay])
+            if not len(asking):
+                break
+        for q in asking:  # a block of zeros has no segments
+            members = self._members(totals[:, 0], slice(own[0][q], own[1][q]), queries[q], k, 0)
+            found[q] = self.ids[members[:k]], np.zeros(min(k, len(members)), np.int64)
+        return found, adds, rescored
+
+    def _members(self, totals: np.ndarray, own: slice, query: np.ndarray, k: int, doubt: int) -> np.ndarray:
+        """Rows that can be among the k best when each total is right to within ``doubt``.
+
+        k rows that reach a score bound the k-th best from below; those with the highest totals, scored exactly, bound it well.
+        """
+        masked = totals.astype(np.int64)
+        masked[own] = np.iinfo(np.int64).min
+        others = len(totals) - (own.stop - own.start)
+        if others <= k:
+            return np.flatnonzero(masked > np.iinfo(np.int64).min)
+        tried = min(2 * k, others)
+        high = np.argpartition(masked, len(masked) - tried)[len(masked) - tried :]
+        reached = np.sort(self.x[high] @ query)[-k]
+        return np.flatnonzero(masked >= reached - doubt)
 
 
 @dataclass
@@ -177,10 +199,10 @@ def search(index: Index, queries: DataFrame, k: int = 5, lane: int = LANE) -> Da
         for batch in batches:
             for r in range(batch.num_rows):
                 held = {c: np.frombuffer(batch.column(2 + i)[r].as_buffer(), kind) for i, (c, kind) in enumerate(_BYTES.items())}
-                block = Segments(held["ids"], held["x"].astype(np.int64).reshape(-1, length), held["places"].astype(np.int64), held["segments"].reshape(-1, 6))
-                block.prepare()
+                block = Segments(held["ids"], held["x"].astype(np.int64).reshape(-1, length), held["places"].astype(np.int64), held["segments"].reshape(-1, 7))
                 ids, flat = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in (0, 1))
-                found = [block.search(int(i), q, k) for i, q in zip(ids, flat.astype(np.int64).reshape(len(ids), length))]
+                asked = flat.astype(np.int64).reshape(len(ids), length)
+                found = [f for at in range(0, len(ids), AT_ONCE) for f in block.search(ids[at : at + AT_ONCE], asked[at : at + AT_ONCE], k)[0]]
                 n = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids, n)), pa.array(np.repeat(_keys(flat.reshape(len(ids), length)), n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
