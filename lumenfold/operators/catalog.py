@@ -97,6 +97,32 @@ def apply_edits(edits: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.select("clip_id", F.when(clash, "conflict").otherwise("accepted").alias("outcome"), F.when(clash, F.col("stored")).otherwise(F.coalesce(F.col("stored") + 1, F.lit(1))).alias("version"))
 
 
+def fold_edits(edits: DataFrame, requests: DataFrame) -> DataFrame:
+    """(clip_id, version, body, outcomes) of edits(clip_id, version, ...) after requests(clip_id, seq, version, ...), one after the other.
+
+    A request whose version is null or the stored one is accepted and adds 1; another one is a conflict and changes nothing; the first
+    edit of a clip gets version 1 whatever it asks for. ``body`` are the columns beside clip_id and version; ``outcomes``
+    holds (seq, outcome, version) in order, and is null for clips without requests.
+    """
+    names = [c for c in edits.columns if c not in ("clip_id", "version")]
+    body = F.struct(*(F.col(c).cast(edits.schema[c].dataType).alias(c) for c in names))
+    asked = requests.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("version").cast("bigint").alias("asked"), body.alias("body")))).alias("asked"))
+    now = edits.select("clip_id", F.col("version").cast("bigint").alias("version"), F.struct(*names).alias("body"))
+    both = now.join(asked, "clip_id", "full")
+    outcome = f"struct<seq: {requests.schema['seq'].dataType.simpleString()}, outcome: string, version: bigint>"
+
+    def step(at: Column, r: Column) -> Column:
+        clash = at["version"].isNotNull() & r["asked"].isNotNull() & (r["asked"] != at["version"])
+        version = F.when(clash, at["version"]).otherwise(F.coalesce(at["version"] + 1, F.lit(1).cast("bigint")))
+        said = F.struct(r["seq"].alias("seq"), F.when(clash, "conflict").otherwise("accepted").alias("outcome"), version.alias("version")).cast(outcome)
+        return F.struct(version.alias("version"), F.when(clash, at["body"]).otherwise(r["body"]).alias("body"), F.concat(at["outcomes"], F.array(said)).alias("outcomes"))
+
+    start = F.struct(F.col("version").alias("version"), F.col("body").alias("body"), F.array().cast(f"array<{outcome}>").alias("outcomes"))
+    folded = F.aggregate("asked", start, step)
+    done = both.withColumn("f", F.when(F.col("asked").isNotNull(), folded).otherwise(F.struct("version", "body", F.lit(None).cast(f"array<{outcome}>").alias("outcomes"))))
+    return done.select("clip_id", "f.version", "f.body", "f.outcomes")
+
+
 def retire(clips: DataFrame, now: datetime, days: int = 30) -> DataFrame:
     """Clips older than ``days`` that aren't retired yet become so; ``newly`` marks those whose files may go."""
     due = (F.col("created_at") < F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days")) & ~F.col("retired")

@@ -92,50 +92,70 @@ def artifact_counts(chapters: str) -> dict[str, Column]:
     return {k: F.greatest(v, F.lit(0)) for k, v in out.items()}
 
 
-def stage_states(jobs: DataFrame, events: DataFrame) -> DataFrame:
-    """(job_id, position, stage, state, done, total, error): every stage of every job.
+#: What stages are derived from, beside the counts and types of ``event_counts``.
+JOB_FIELDS = ("status", "current_step", "destination_folder", "video_path", "n_outputs", "error", "skipped", "chapters")
+
 
-    ``jobs``: job_id, status, current_step, destination_folder, video_path, n_outputs, error, skipped (stages),
-    chapters (array of structs). Counts are the larger of state and events, so progress never goes back.
+def with_stages(rows: DataFrame, fold: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: an array of (position, stage, state, done, total, error) derived from the struct ``fold``.
+
+    ``fold`` holds JOB_FIELDS and the columns of ``event_counts``; a null one gives null.
     """
-    j = jobs.join(event_counts(events), "job_id", "left")
-    total = F.greatest(F.size("chapters"), F.lit(0))
-    artifacts = artifact_counts("chapters")
+
+    def f(name: str) -> Column:
+        return F.col(f"{fold}.{name}")
+
+    total = F.greatest(F.size(f("chapters")), F.lit(0))
+    artifacts = artifact_counts(f"{fold}.chapters")
+    step = f"{fold}.current_step"
     outer = {
-        "folder": (F.coalesce("destination_folder", F.lit("")) != "") | step_past("current_step", "folder"),
-        "download": (F.coalesce("video_path", F.lit("")) != "") | step_past("current_step", "download"),
-        "chapters": (total > 0) | step_past("current_step", "chapters"),
-        "export": (F.coalesce("n_outputs", F.lit(0)) >= total) & (total > 0),
-        "complete": F.col("status") == "completed",
+        "folder": (F.coalesce(f("destination_folder"), F.lit("")) != "") | step_past(step, "folder"),
+        "download": (F.coalesce(f("video_path"), F.lit("")) != "") | step_past(step, "download"),
+        "chapters": (total > 0) | step_past(step, "chapters"),
+        "export": (F.coalesce(f("n_outputs"), F.lit(0)) >= total) & (total > 0),
+        "complete": F.coalesce(f("status") == "completed", F.lit(False)),
     }
     stages = []
     for i, (name, types, _) in enumerate(C.STAGES):
-        skip = F.coalesce(F.array_contains("skipped", name), F.lit(False))
+        skip = F.coalesce(F.array_contains(f("skipped"), name), F.lit(False))
         if name in C.CHAPTER_STAGES:
-            count = F.greatest(artifacts[name], F.coalesce(F.col(f"n_{name}"), F.lit(0))).cast("int")
+            count = F.greatest(artifacts[name], F.coalesce(f(f"n_{name}"), F.lit(0))).cast("int")
             done, of = (total > 0) & (count >= total), F.when(total > 0, total)
         else:
             count, of = F.lit(0), F.lit(None).cast("int")
             done = outer[name]
             for t in types:
-                done = done | F.coalesce(F.col(t), F.lit(False))
+                done = done | F.coalesce(f(t), F.lit(False))
         stages.append(
             F.struct(F.lit(i).alias("position"), F.lit(name).alias("stage"), F.lit(name in C.CHAPTER_STAGES).alias("per"), skip.alias("skip"), (done & ~skip).alias("ok"), F.when(skip, 0).otherwise(count).alias("done"), of.alias("total"))
         )
-    rows = j.select("job_id", "status", "current_step", "error", F.get(F.filter("chapters", lambda c: c["status"] == "failed"), 0).alias("bad"), F.array(*stages).alias("all"))
-    first = F.array_min(F.transform(F.filter("all", lambda s: ~s["ok"] & ~s["skip"]), lambda s: s["position"]))
-    s = rows.withColumn("first", first).select("*", F.inline("all"))
-    broken = (F.col("stage") == F.coalesce("current_step", F.lit(""))) | (F.col("per") & F.col("bad").isNotNull() & ~F.col("ok"))
-    state = (
-        F.when(F.col("skip"), "skipped")
-        .when((F.col("status") == "failed") & broken, "failed")
-        .when(F.col("ok") | (F.col("status") == "completed"), "done")
-        .when((F.col("status") != "failed") & (F.col("position") == F.col("first")), "active")
-        .otherwise("pending")
-    )
-    s = s.withColumn("state", state)
-    message = F.when(F.col("state") == "failed", F.coalesce("bad.error", "error"))
-    return s.select("job_id", "position", "stage", "state", "done", "total", message.alias("error"))
+    found = rows.withColumn("_all", F.array(*stages)).withColumn("_bad", F.get(F.filter(f("chapters"), lambda c: c["status"] == "failed"), 0))
+    found = found.withColumn("_first", F.array_min(F.transform(F.filter("_all", lambda s: ~s["ok"] & ~s["skip"]), lambda s: s["position"])))
+    message = F.coalesce(F.col("_bad.error"), f("error"))
+
+    def derived(s: Column) -> Column:
+        broken = (s["stage"] == F.coalesce(f("current_step"), F.lit(""))) | (s["per"] & F.col("_bad").isNotNull() & ~s["ok"])
+        state = (
+            F.when(s["skip"], "skipped")
+            .when((f("status") == "failed") & broken, "failed")
+            .when(s["ok"] | (f("status") == "completed"), "done")
+            .when(~f("status").eqNullSafe(F.lit("failed")) & (s["position"] == F.col("_first")), "active")
+            .otherwise("pending")
+        )
+        return F.struct(s["position"].alias("position"), s["stage"].alias("stage"), state.alias("state"), s["done"].alias("done"), s["total"].alias("total"), F.when(state == "failed", message).alias("error"))
+
+    return found.withColumn(out, F.when(F.col(fold).isNotNull(), F.transform("_all", derived))).drop("_all", "_bad", "_first")
+
+
+def stage_states(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """(job_id, position, stage, state, done, total, error): every stage of every job.
+
+    ``jobs``: job_id and JOB_FIELDS, skipped as stages and chapters as an array of structs. Counts are the larger
+    of state and events, so progress never goes back.
+    """
+    j = jobs.join(event_counts(events), "job_id", "left")
+    folded = j.select("job_id", F.struct(*(c for c in j.columns if c != "job_id")).alias("fold"))
+    return with_stages(folded, "fold", "stages").select("job_id", F.inline("stages"))
 
 
 def announcements(states: DataFrame) -> DataFrame:

@@ -5,4 +5,4 @@ from __future__ import annotations
 
 def load() -> None:
     """Registers every query of the library."""
-    from lumenfold.plans import catalog_queries, event_queries, media_queries, metric_queries, text_queries, word_queries  # noqa: F401
+    from lumenfold.plans import catalog_queries, event_queries, media_queries, metric_queries, stored_queries, text_queries, word_queries  # noqa: F401

@@ -88,11 +88,15 @@ def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 turns AS (SELECT clip_id, title, score, 0 AS new, CAST(NULL AS BIGINT) AS bytes FROM clips UNION ALL SELECT clip_id, title, score, 1, bytes FROM changes)
 SELECT clip_id, title, score FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY new DESC, bytes DESC NULLS LAST, title DESC) AS rn FROM turns) WHERE rn = 1""")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.upsert(*clip_changes(spark, sf_dir), ["clip_id"], "turn")
+
+
+def clip_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clips, and new rows for some of them and for some that aren't there yet."""
     c = V.clips(spark, sf_dir)
     changed = c.where("clip_id % 3 = 0").select("clip_id", F.concat(F.lit("new "), F.col("clip_id").cast("string")).alias("title"), F.lit(99).alias("score"), "bytes")
     added = c.where("clip_id % 50 = 1").select((F.col("clip_id") + 5).alias("clip_id"), F.lit("added").alias("title"), F.lit(1).alias("score"), "bytes")
-    changes = changed.union(added).withColumn("turn", F.struct("bytes", "title"))
-    return catalog.upsert(c.select("clip_id", "title", "score"), changes, ["clip_id"], "turn")
+    return c.select("clip_id", "title", "score"), changed.union(added).withColumn("turn", F.struct("bytes", "title"))
 
 
 @query("u3_versioned_edits", f"""WITH {V.CLIPS} SELECT clip_id, CASE WHEN clip_id % 3 <> 0 AND clip_id % 2 = 0 AND job_id % 4 <> clip_id % 5 THEN 'conflict' ELSE 'accepted' END AS outcome,

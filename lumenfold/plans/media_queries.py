@@ -81,8 +81,13 @@ def smallest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u8_snapshot_append", f"""WITH {V.SNAPSHOTS} SELECT clip_id, platform, captured_at, seq, views, likes FROM snapshots
 UNION ALL SELECT c_custkey, 'new', {_NOW}, c_custkey, CAST(c_custkey % 7 AS BIGINT), 0 FROM customer""")
 def snapshot_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = snapshot_parts(spark, sf_dir)
+    return metrics.append_snapshots(old, new, NOW, ["views", "likes"])
+
+
+def snapshot_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     new = table(spark, sf_dir, "customer").selectExpr("c_custkey AS clip_id", "'new' AS platform", "c_custkey AS seq", "nullif(c_custkey % 7, 0) AS views")
-    return metrics.append_snapshots(V.snapshots(spark, sf_dir), new, NOW, ["views", "likes"])
+    return V.snapshots(spark, sf_dir), new
 
 
 @query("s9_rms_frames", """WITH s AS (SELECT vec_id AS vid, unnest(embedding)::DOUBLE AS sample, unnest(range(len(embedding))) AS pos FROM embeddings),

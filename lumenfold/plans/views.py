@@ -119,7 +119,12 @@ EVENTS = f"""job_events AS (
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return of_events(table(spark, sf_dir, "events"))
+
+
+def of_events(log: DataFrame) -> DataFrame:
+    """Job events from rows of ``events``, also as a stream."""
+    e = log.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     return e.selectExpr(
         "user_id AS job_id", "event_id AS seq", f"element_at(array({_LIST}), cast(k % 20 AS int) + 1) AS type", "cast(k div 20 AS int) AS chapter_index", "ts", "value",
         """concat('{"chapter_index":', k div 20, ',"url":"u', k, '","title":"t","duration":', cast(k * 1.25 AS decimal(10,2)), ',"text":"a b  c","error":"e', k, '"}') AS payload""",
