@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import constants as C
 from lumenfold.functions import text as T
+from lumenfold.operators import sentiment
 
 #: Milliseconds of the stretches by which windows meet words and frames.
 BUCKET = 600_000
@@ -140,17 +141,14 @@ def value_of(text: str, entities: str | None = None, numbers: str | None = None,
 
 
 def emotional_flows(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, emotion): the emotional flow of each text by a lexicon(word, valence).
+    """(keys, emotion): the emotional flow of each text by its sentences' ``sentiment.compounds`` under a lexicon(word, valence).
 
-    A sentence's words add up their valences to s, and s / sqrt(s^2 + 15) is its compound. Texts without a sentence
-    have no row; words that aren't listed count 0.
+    Texts without a sentence have no row.
     """
     rows = texts.select(*keys, F.posexplode(sentences(text)).alias("at", "sentence"))
-    words = rows.select(*keys, "at", F.explode(F.split(F.lower("sentence"), r"[^\p{L}\p{N}']+")).alias("word"))
-    sums = words.join(lexicon.select("word", "valence"), "word", "left").groupBy(*keys, "at").agg(F.coalesce(F.sum("valence"), F.lit(0.0)).alias("s"))
-    strength = sums.withColumn("c", F.abs(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)))
+    found = sentiment.compounds(rows, lexicon, [*keys, "at"], "sentence").withColumn("c", F.abs("compound"))
     ends = F.abs(F.max_by("c", "at") - F.min_by("c", "at"))
-    return strength.groupBy(*keys).agg(F.least(F.lit(1.0), (F.var_pop("c") + ends) / 2).alias("emotion"))
+    return found.groupBy(*keys).agg(F.least(F.lit(1.0), (F.var_pop("c") + ends) / 2).alias("emotion"))
 
 
 def weighted_score(features: Mapping[str, Column], weights: Mapping[str, float] = C.WEIGHTS) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
 from lumenfold.functions import transitions
-from lumenfold.operators import captions, catalog, events, exports, library, metrics, segments, timeline, words
+from lumenfold.operators import captions, catalog, events, exports, library, metrics, segments, sentiment, timeline, words
 from lumenfold.plans import views as V
 from lumenfold.plans.word_queries import CHUNKS, seconds
 from lumenfold.registry import query
@@ -192,9 +192,9 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLOWS = f"""{V.LEXICON},
-sentences AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS nth FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 3) AS ss FROM documents)),
-tokens AS (SELECT doc_id, nth, unnest(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}'']+')) AS word FROM sentences),
-strength AS (SELECT doc_id, nth, abs(s / sqrt(s * s + 15)) AS c FROM (SELECT doc_id, nth, coalesce(sum(valence), 0.0) AS s FROM tokens LEFT JOIN lexicon USING (word) GROUP BY ALL))"""
+sentences AS (SELECT doc_id, unnest(ss) AS text, generate_subscripts(ss, 1) AS nth FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 3) AS ss FROM documents)),
+{sentiment.compounds_sql("sentences", "doc_id, nth")},
+strength AS (SELECT doc_id, nth, abs(compound) AS c FROM compounds)"""
 
 
 @query("f10_sentiment_flow", f"WITH {FLOWS} SELECT doc_id, round(least(1.0, (var_pop(c) + abs(max_by(c, nth) - min_by(c, nth))) / 2), 9) AS emotion FROM strength GROUP BY doc_id")

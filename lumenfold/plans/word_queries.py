@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import constants as C
 from lumenfold.functions import text as T
-from lumenfold.operators import exports, segments, words
+from lumenfold.operators import exports, segments, sentiment, words
 from lumenfold.plans import views as V
 from lumenfold.plans.text_queries import VALUE
 from lumenfold.registry import query
@@ -158,9 +158,9 @@ def audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TREND = ", ".join(f"'{t}'" for t in (*C.TRENDS, "th", "en"))
 SCORED = f"""{WINDOWED}, {AUDIO}, {V.LEXICON},
-sentences AS (SELECT vid, idx, unnest(ss) AS s, generate_subscripts(ss, 1) AS nth FROM (SELECT vid, idx, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 3) AS ss FROM windowed)),
-tokens AS (SELECT vid, idx, nth, unnest(regexp_split_to_array(lower(s), '[^\\p{{L}}\\p{{N}}'']+')) AS word FROM sentences),
-strength AS (SELECT vid, idx, nth, abs(s / sqrt(s * s + 15)) AS c FROM (SELECT vid, idx, nth, coalesce(sum(valence), 0.0) AS s FROM tokens LEFT JOIN lexicon USING (word) GROUP BY ALL)),
+sentences AS (SELECT vid, idx, unnest(ss) AS text, generate_subscripts(ss, 1) AS nth FROM (SELECT vid, idx, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 3) AS ss FROM windowed)),
+{sentiment.compounds_sql("sentences", "vid, idx, nth")},
+strength AS (SELECT vid, idx, nth, abs(compound) AS c FROM compounds),
 emotions AS (SELECT vid, idx, least(1.0, (var_pop(c) + abs(max_by(c, nth) - min_by(c, nth))) / 2) AS emotion FROM strength GROUP BY ALL),
 parts AS (SELECT w.* EXCLUDE (emotion), coalesce(emotion, 0.0) AS emotion, {VALUE} AS value, least(1.0, CASE WHEN opening IS NOT NULL THEN (h + opening) / 2 ELSE h END) AS hook, audio, least(1.0, len(list_filter([{_TREND}], lambda t: contains(lower(text), t))) / {max(len(C.TRENDS) + 2, 1) * 0.1}) AS trend
   FROM (SELECT *, CASE WHEN contains(first_text, '?') THEN 0.33::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(first_text), '^(how|why|what|when|who|never|always|stop|start|you need)') THEN 0.33::DOUBLE ELSE 0 END
