@@ -73,6 +73,11 @@ CHAPTER_STAGES = ("extract", "transcribe", "caption", "render", "finalise_chapte
 STEPS = ("folder", "download", "chapters", "completed")
 STATUS_RANK = {"pending": 0, "extracting": 1, "transcribing": 2, "captioning": 3, "rendering": 4, "completed": 5, "failed": 5}
 
+# How far a job is after each of its own events (none known: the least), and a chapter after each step.
+JOB_PROGRESS = {"VideoRequested": 0.02, "FolderCreated": 0.08, "VideoDownloaded": 0.20, "ChaptersDetected": 0.25, "JobCompleted": 1.00, "JobFailed": None}
+LEAST_PROGRESS = 0.02
+STEP_PROGRESS = {"ChapterClipExtracted": 0.20, "ChapterTranscribed": 0.40, "CaptionsGenerated": 0.60, "SubtitleImageRendered": 0.80, "ClipRendered": 1.00}
+
 # Options, and the stages each switches.
 OPTION_STAGES = {
     "transcription": ("transcribe", "caption"),

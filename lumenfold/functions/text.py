@@ -275,6 +275,21 @@ def transcript_text(transcript: Text, summary: Text, title: Text) -> Column:
     return first_filled(plain, F.get_json_object(t, "$.text"), *joined, summary, title)
 
 
+def preset(style: Text) -> Column:
+    """A caption style as struct(font_size, color, highlight, error); an unknown one has an error only."""
+    fields = ("font_size", "color", "highlight")
+
+    def value(i: int) -> Column:
+        out = None
+        for name, values in C.PRESETS.items():
+            out = F.when(_col(style) == name, F.lit(values[i])) if out is None else out.when(_col(style) == name, F.lit(values[i]))
+        return out
+
+    listed = ", ".join(sorted(C.PRESETS))
+    error = F.when(~F.coalesce(_col(style).isin(*C.PRESETS), F.lit(False)), F.concat(F.lit("unknown caption style: "), F.coalesce(_col(style), F.lit("null")), F.lit(f"; must be one of {listed}")))
+    return F.struct(*(value(i).alias(f) for i, f in enumerate(fields)), error.alias("error"))
+
+
 def length_range(name: Text) -> Column:
     """A named length range as struct(low, high) in seconds; null for other names."""
     out = None

@@ -7,6 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions import constants as C
+from lumenfold.functions import text
+
 
 def by_key(rows: DataFrame, key: str, value) -> DataFrame:
     """One row by key; the filter reaches the Parquet scan."""
@@ -142,6 +145,35 @@ def partial_update(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return joined.select(key, *(F.coalesce(f"_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in fields))
 
 
+def reprompt(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """jobs(job_id, status, prompt, options) after requests(job_id, length_range, low, high, prompt), with ``error``; one row a request.
+
+    A named range gives both limits, else they are the request's own; each known one is an option. Only segments are proposed
+    anew, so that option goes on and all others of the mode off; other entries of ``options`` (a map of texts) stay. A request
+    with an unknown job or range, a limit outside 0 to 3,600, low above high, or a prompt over 2,000 characters changes nothing.
+    """
+    asked = requests.select("job_id", "length_range", F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("prompt").alias("_prompt"))
+    r = asked.join(jobs.withColumn("_known", F.lit(True)), "job_id", "left")
+    named = text.length_range("length_range")
+    low, high = (F.when(F.nullif("length_range", F.lit("")).isNotNull(), named[k]).otherwise(F.col(f"_{k}")) for k in ("low", "high"))
+    error = F.when(F.nullif("length_range", F.lit("")).isNotNull() & named.isNull(), F.concat(F.lit("unknown length range: "), F.col("length_range")))
+    for column, name in (("_low", "min"), ("_high", "max")):
+        error = error.when(~F.col(column).between(0, 3600), f"length_{name}_seconds must be between 0 and 3600")
+    error = error.when(F.length("_prompt") > 2000, "prompt must have at most 2000 characters").when(F.col("_known").isNull(), "job not found")
+    error = error.when(low > high, "length_min_seconds must be <= length_max_seconds")
+    fixed = F.create_map(*(F.lit(x) for o in C.OPTIONS for x in (o, "true" if o == "segment_proposer" else "false")))
+    limits = F.create_map(F.lit("target_length_min_seconds"), low.cast("string"), F.lit("target_length_max_seconds"), high.cast("string"))
+    limits = F.map_filter(limits, lambda _, v: v.isNotNull())
+    old = F.map_filter("options", lambda k, _: ~k.isin(*C.OPTIONS) & ~F.array_contains(F.map_keys(limits), k))
+    r = r.withColumn("error", error)
+    ok = F.col("error").isNull()
+    made = F.map_concat(F.coalesce(old, F.expr("cast(map() as map<string, string>)")), limits, fixed)
+    return r.select(
+        "job_id", F.when(ok, "pending").otherwise(F.col("status")).alias("status"), F.when(ok, F.coalesce("_prompt", "prompt")).otherwise(F.col("prompt")).alias("prompt"),
+        F.when(ok, made).otherwise(F.col("options")).alias("options"), "error",
+    )
+
+
 def toggles(clicks: DataFrame) -> DataFrame:
     """The like and dislike state after all clicks(clip_id, seq, kind): the two exclude each other.
 

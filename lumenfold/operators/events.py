@@ -166,15 +166,31 @@ def announcements(states: DataFrame) -> DataFrame:
     )
 
 
-def progress(chapters: DataFrame) -> DataFrame:
-    """Overall progress of jobs from chapter updates(job_id, chapter_index, seq, frac): 0.25 + 0.70 x mean, 0.95 at most."""
-    latest = chapters.groupBy("job_id", "chapter_index").agg(F.max_by("frac", "seq").alias("frac"))
-    mean = F.sum("frac") / F.count("*")
-    return latest.groupBy("job_id").agg(F.least(F.lit(0.95), 0.25 + 0.70 * mean).alias("progress"))
+def progress(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """(job_id, progress) of each of jobs(job_id, n_chapters) from its events(job_id, seq, type, chapter_index).
+
+    While chapters are worked on: 0.25 + 0.70 x the sum of their newest steps' shares over the job's number of chapters, 0.95 at
+    most, so chapters that haven't begun count as 0. A job without chapters, or whose newest event of its own ended it, stands at
+    that event's value, and where that is unknown or there is none at the least.
+    """
+    steps, own = (F.create_map(*(F.lit(x) for k, v in table.items() if v is not None for x in (k, v))) for table in (C.STEP_PROGRESS, C.JOB_PROGRESS))
+    chapters = events.where(F.col("type").isin(*C.STEP_PROGRESS)).groupBy("job_id", F.coalesce("chapter_index", F.lit(0)).alias("chapter"))
+    shares = chapters.agg(F.element_at(steps, F.max_by("type", "seq")).alias("share")).groupBy("job_id").agg(F.sum("share").alias("shares"))
+    last = events.where(F.col("type").isin(*C.JOB_PROGRESS)).groupBy("job_id").agg(F.max_by("type", "seq").alias("last"))
+    found = jobs.select("job_id", F.coalesce("n_chapters", F.lit(0)).alias("n")).join(shares, "job_id", "left").join(last, "job_id", "left")
+    base = F.coalesce(F.try_element_at(own, F.col("last")), F.lit(C.LEAST_PROGRESS))
+    stands = (F.col("n") == 0) | F.coalesce(F.col("last").isin(*C.TERMINAL_TYPES), F.lit(False))
+    worked = F.least(F.lit(0.95), 0.25 + 0.70 * (F.coalesce("shares", F.lit(0.0)) / F.greatest("n", F.lit(1))))
+    return found.select("job_id", F.when(stands, base).otherwise(worked).alias("progress"))
+
+
+def compact_json(text: str) -> Column:
+    """A JSON text without blanks outside of its strings; names, order and numbers stay as they are written."""
+    return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|[ \t\n\r]+', "$1")
 
 
 def log_line(kind: str, payload: str, stamp: str) -> Column:
-    """An event as a line of the job log; unknown types show their payload as it is."""
+    """An event as a line of the job log; unknown types show their payload as JSON without blanks between its parts."""
 
     def p(name: str) -> Column:
         return F.get_json_object(payload, f"$.{name}")
@@ -206,7 +222,7 @@ def log_line(kind: str, payload: str, stamp: str) -> Column:
     for name, parts in lines.items():
         line = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
         out = F.when(F.col(kind) == name, line) if out is None else out.when(F.col(kind) == name, line)
-    out = out.otherwise(F.concat(F.coalesce(F.col(kind), F.lit("Unknown")), F.lit(" — "), F.coalesce(F.col(payload), F.lit("{}"))))
+    out = out.otherwise(F.concat(F.coalesce(F.col(kind), F.lit("Unknown")), F.lit(" — "), F.coalesce(compact_json(payload), F.lit("{}"))))
     return F.concat(F.lit("["), F.col(stamp), F.lit("] "), out)
 
 

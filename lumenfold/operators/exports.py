@@ -88,8 +88,32 @@ def frame_count(start: str, end: str, fps: int = 30) -> Column:
     return F.bround(F.greatest(F.lit(0.0), F.col(end) - F.col(start)) * fps).cast("bigint")
 
 
+def _without_file(clips: DataFrame, xml: Column) -> DataFrame:
+    """(clip_id, xml, error): a clip that hasn't been rendered has an error and no xml."""
+    none = F.nullif("output_path", F.lit("")).isNull()
+    error = F.when(none, F.concat(F.lit("clip "), F.col("clip_id").cast("string"), F.lit(" has no output_path; render first")))
+    return clips.select("clip_id", F.when(~none, xml).alias("xml"), error.alias("error"))
+
+
+def timeline_xml(clips: DataFrame, fps: int = 30, event: str = "Clip Export", project: str = "Clip") -> DataFrame:
+    """(clip_id, xml, error): a one-clip project in version 1.10 of the XML of the other family of editors, in seconds."""
+    # The wording of the format.
+    seconds = F.concat(F.greatest(F.lit(0.0), F.coalesce("end", F.lit(0.0)) - F.coalesce("start", F.lit(0.0))).cast("string"), F.lit("s"))
+    title = F.nullif("title", F.lit(""))
+    name, heading = (_escape(F.coalesce(title, F.lit(x))) for x in ("clip", project))
+    xml = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE fcpxml><fcpxml version="1.10"><resources>'),
+        F.lit(f'<format id="r1" name="FFVideoFormat1080p{fps}" frameDuration="1/{fps}s" width="1080" height="1920"/><asset id="r2" name="'), name, F.lit('" duration="'), seconds,
+        F.lit('" hasVideo="1" hasAudio="1" format="r1"><media-rep kind="original-media" src="file://'), _escape(F.col("output_path")),
+        F.lit(f'"/></asset></resources><library><event name="{event}"><project name="'), heading, F.lit('"><sequence format="r1" duration="'), seconds,
+        F.lit('"><spine><asset-clip ref="r2" offset="0s" name="'), name, F.lit('" duration="'), seconds, F.lit('"/></spine></sequence></project></event></library></fcpxml>'),
+    )
+    return _without_file(clips, xml)
+
+
 def sequence_xml(clips: DataFrame, fps: int = 30) -> DataFrame:
-    """(clip_id, xml): a one-clip sequence in the XML that video editors import."""
+    """(clip_id, xml, error): a one-clip sequence in the XML that video editors import, in frames."""
+    # The wording of the format.
     n = frame_count("start", "end", fps).cast("string")
     name = _escape(F.coalesce(F.nullif("title", F.lit("")), F.lit("clip")))
     file = F.regexp_extract(F.coalesce("output_path", F.lit("")), r"([^/]*)$", 1)
@@ -101,7 +125,7 @@ def sequence_xml(clips: DataFrame, fps: int = 30) -> DataFrame:
         F.lit("</name><pathurl>file://"), _escape(F.coalesce("output_path", F.lit(""))),
         F.lit("</pathurl></file></clipitem></track></video></media></sequence></xmeml>"),
     )
-    return clips.select("clip_id", xml.alias("xml"))
+    return _without_file(clips, xml)
 
 
 def publish_descriptor(jobs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.functions import constants as C
 from lumenfold.functions import text as T
 from lumenfold.operators import catalog, exports, queue, timeline
 from lumenfold.plans import views as V
@@ -46,10 +47,14 @@ def list_clips_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.list_clips_lenient(V.clips(spark, sf_dir), min_score=0, search="Clip N").select("clip_id", "score", "title")
 
 
-@query("p4_dashboard_filter", f"""WITH {V.CLIPS} SELECT clip_id, title FROM clips WHERE contains(lower(title), 'clip r') AND liked AND "end" - "start" BETWEEN 60 AND 90""")
+@query("p4_dashboard_filter", f"""WITH {V.CLIPS}, spoken AS (SELECT clips.*, text AS transcript FROM clips LEFT JOIN documents ON doc_id = clip_id % 400)
+SELECT clip_id, title, 'liked' AS kind FROM spoken WHERE (contains(lower(title), 'rf') OR contains(lower(coalesce(transcript, '')), 'rf')) AND liked AND "end" - "start" BETWEEN 60 AND 90
+UNION ALL SELECT clip_id, title, 'disliked' FROM spoken WHERE (contains(lower(title), 'rf') OR contains(lower(coalesce(transcript, '')), 'rf')) AND disliked""")
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = V.clips(spark, sf_dir).withColumn("transcript", F.lit(None).cast("string"))
-    return catalog.dashboard(c, "clip R", liked=True, short=True).select("clip_id", "title")
+    spoken = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("of"), F.col("text").alias("transcript"))
+    c = V.clips(spark, sf_dir).withColumn("of", F.col("clip_id") % 400).join(spoken, "of", "left")
+    liked, disliked = catalog.dashboard(c, "RF", liked=True, short=True), catalog.dashboard(c, "RF", disliked=True)
+    return liked.select("clip_id", "title", F.lit("liked").alias("kind")).union(disliked.select("clip_id", "title", F.lit("disliked")))
 
 
 @query("p5_reusable_job", f"""WITH {V.JOBS}, newest AS (SELECT * FROM jobs ORDER BY created_at DESC, job_id LIMIT 200)
@@ -130,11 +135,24 @@ def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.partial_update(j, j.selectExpr("job_id", "CASE WHEN job_id % 2 = 0 THEN 'patched' END AS status"), "job_id")
 
 
-@query("u9_reprompt_options", f"""WITH {V.JOBS} SELECT job_id, CASE job_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 60 ELSE 180 END AS min_seconds, CASE job_id % 3 WHEN 0 THEN 60 WHEN 1 THEN 180 ELSE 300 END AS max_seconds FROM jobs""")
+_ASKED = f"""asked AS (SELECT job_id, CASE job_id % 7 WHEN 0 THEN '0-1m' WHEN 1 THEN '3-5m' WHEN 2 THEN 'long' END AS length_range, CASE job_id % 7 WHEN 3 THEN 90 WHEN 4 THEN 50 WHEN 6 THEN 4000 END AS low, CASE job_id % 7 WHEN 3 THEN 30 WHEN 4 THEN 70 END AS high,
+  CASE WHEN job_id % 3 = 0 THEN 'again ' || job_id END AS prompt FROM jobs)"""
+_FIXED = ",".join(f"{k}={'true' if k == 'segment_proposer' else 'false'}" for k in sorted(C.OPTIONS))
+
+
+@query("u9_reprompt_options", f"""WITH {V.JOBS}, {_ASKED} SELECT job_id, CASE job_id % 7 WHEN 2 THEN 'unknown length range: long' WHEN 3 THEN 'length_min_seconds must be <= length_max_seconds' WHEN 6 THEN 'length_min_seconds must be between 0 and 3600' END AS error,
+  CASE WHEN job_id % 7 NOT IN (2, 3, 6) THEN coalesce(prompt, 'first') ELSE 'first' END AS prompt, CASE WHEN job_id % 7 NOT IN (2, 3, 6) THEN 'pending' ELSE jobs.status END AS status,
+  CASE WHEN job_id % 7 IN (2, 3, 6) THEN 'captions=true,theme=dark' ELSE replace('{_FIXED}', ',thumbnail', CASE job_id % 7 WHEN 0 THEN ',target_length_max_seconds=60,target_length_min_seconds=0' WHEN 1 THEN ',target_length_max_seconds=300,target_length_min_seconds=180' WHEN 4 THEN ',target_length_max_seconds=70,target_length_min_seconds=50' ELSE '' END || ',theme=dark,thumbnail') END AS options
+  FROM jobs JOIN asked USING (job_id)""")
 def reprompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.element_at(F.array(*map(F.lit, ("0-1m", "1-3m", "3-5m"))), (F.col("job_id") % 3 + 1).cast("int"))
-    seconds = T.length_range(name)
-    return V.jobs(spark, sf_dir).select("job_id", seconds["low"].alias("min_seconds"), seconds["high"].alias("max_seconds"))
+    jobs = V.jobs(spark, sf_dir).select("job_id", "status", F.lit("first").alias("prompt"), F.create_map(F.lit("captions"), F.lit("true"), F.lit("theme"), F.lit("dark")).alias("options"))
+    asked = jobs.selectExpr(
+        "job_id", "CASE job_id % 7 WHEN 0 THEN '0-1m' WHEN 1 THEN '3-5m' WHEN 2 THEN 'long' END AS length_range", "CASE job_id % 7 WHEN 3 THEN 90 WHEN 4 THEN 50 WHEN 6 THEN 4000 END AS low",
+        "CASE job_id % 7 WHEN 3 THEN 30 WHEN 4 THEN 70 END AS high", "CASE WHEN job_id % 3 = 0 THEN concat('again ', job_id) END AS prompt",
+    )
+    found = catalog.reprompt(jobs, asked)
+    entries = F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("job_id", "error", "prompt", "status", F.array_join(entries, ",").alias("options"))
 
 
 @query("a18_like_toggles", f"""WITH RECURSIVE {V.SNAPSHOTS}, c AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY seq) AS n, likes % 2 = 0 AS is_like FROM snapshots),
@@ -249,11 +267,20 @@ def sequence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k9_sequence_xml", f"""WITH {V.CLIPS}, n AS (SELECT clip_id, CAST(CAST(round_even(greatest(0.0, "end" - "start") * 30, 0) AS BIGINT) AS VARCHAR) AS n, title, coalesce(output_path, '') AS p, CASE WHEN output_path IS NULL THEN '' ELSE clip_id || '.mp4' END AS f FROM clips)
 SELECT clip_id, '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE xmeml><xmeml version="5"><sequence id="' || clip_id || '"><name>' || title || '</name><duration>' || n || '</duration><rate><timebase>30</timebase><ntsc>FALSE</ntsc></rate><media><video><track><clipitem><name>' || title
-  || '</name><start>0</start><end>' || n || '</end><in>0</in><out>' || n || '</out><file><name>' || f || '</name><pathurl>file://' || p || '</pathurl></file></clipitem></track></video></media></sequence></xmeml>' AS xml FROM n""")
+  || '</name><start>0</start><end>' || n || '</end><in>0</in><out>' || n || '</out><file><name>' || f || '</name><pathurl>file://' || p || '</pathurl></file></clipitem></track></video></media></sequence></xmeml>' AS xml, NULL AS error FROM n WHERE p <> '' UNION ALL SELECT clip_id, NULL, 'clip ' || clip_id || ' has no output_path; render first' FROM n WHERE p = ''""")
 def sequence_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.sequence_xml(V.clips(spark, sf_dir))
 
 
+@query("k9_timeline_xml", f"""WITH {V.CLIPS}, n AS (SELECT clip_id, CAST(greatest(0.0, "end" - "start") AS VARCHAR) || 's' AS d, title AS t, output_path AS p FROM clips)
+SELECT clip_id, '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE fcpxml><fcpxml version="1.10"><resources><format id="r1" name="FFVideoFormat1080p30" frameDuration="1/30s" width="1080" height="1920"/><asset id="r2" name="' || t || '" duration="' || d
+  || '" hasVideo="1" hasAudio="1" format="r1"><media-rep kind="original-media" src="file://' || p || '"/></asset></resources><library><event name="Clip Export"><project name="' || t || '"><sequence format="r1" duration="' || d
+  || '"><spine><asset-clip ref="r2" offset="0s" name="' || t || '" duration="' || d || '"/></spine></sequence></project></event></library></fcpxml>' AS xml,
+  CASE WHEN p IS NULL THEN 'clip ' || clip_id || ' has no output_path; render first' END AS error FROM n""")
+def timeline_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.timeline_xml(V.clips(spark, sf_dir))
+
+
 @query("k10_publish_descriptor", f"""WITH {V.CLIPS} SELECT clip_id AS id, '{{"id":' || clip_id || ',"platform":"youtube","title":"' || title || '","hashtags":["a"]}}' AS value FROM clips""")
 def publish_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.publish_descriptor(V.clips(spark, sf_dir).selectExpr("clip_id AS id", "'youtube' AS platform", "title", "array('a') AS hashtags"))

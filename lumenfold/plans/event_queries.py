@@ -109,20 +109,28 @@ def artifact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_states(spark, sf_dir).select("job_id", found["extract"].alias("extracted"), found["finalise_chapters"].alias("finalised"))
 
 
-@query("a16_overall_progress", f"""WITH {V.EVENTS}, latest AS (SELECT job_id, chapter_index, arg_max(value - floor(value), seq) AS frac FROM job_events GROUP BY ALL)
-SELECT job_id, round(least(0.95, 0.25 + 0.70 * sum(frac) / count(*)), 6) AS progress FROM latest GROUP BY job_id""")
+_STEP = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.STEP_PROGRESS.items())
+_OWN = " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.JOB_PROGRESS.items() if v is not None)
+_OWN_TYPES = ", ".join(f"'{k}'" for k in C.JOB_PROGRESS)
+
+
+@query("a16_overall_progress", f"""WITH {V.EVENTS}, n AS (SELECT c_custkey AS job_id, c_custkey % 6 AS n FROM customer),
+steps AS (SELECT job_id, sum(share) AS shares FROM (SELECT job_id, chapter_index, arg_max(CAST(CASE type {_STEP} END AS DOUBLE), seq) AS share FROM job_events WHERE (CASE type {_STEP} END) IS NOT NULL GROUP BY ALL) GROUP BY job_id),
+own AS (SELECT job_id, arg_max(type, seq) AS last FROM job_events WHERE type IN ({_OWN_TYPES}) GROUP BY job_id)
+SELECT job_id, round(CASE WHEN n = 0 OR coalesce(last IN ('JobCompleted', 'JobFailed'), false) THEN CAST(coalesce(CASE last {_OWN} END, 0.02) AS DOUBLE) ELSE least(0.95, 0.25 + 0.70 * coalesce(shares, 0) / n) END, 6) AS progress
+FROM n LEFT JOIN steps USING (job_id) LEFT JOIN own USING (job_id)""")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = V.job_events(spark, sf_dir).withColumn("frac", F.col("value") - F.floor("value"))
-    return events.progress(updates).select("job_id", F.round("progress", 6).alias("progress"))
+    jobs = table(spark, sf_dir, "customer").selectExpr("c_custkey AS job_id", "cast(c_custkey % 6 AS int) AS n_chapters")
+    return events.progress(jobs, V.job_events(spark, sf_dir)).select("job_id", F.round("progress", 6).alias("progress"))
 
 
 @query("k12_log_lines", f"""WITH {V.EVENTS}, p AS (SELECT *, strftime(ts, '%H:%M:%S') AS s, json_extract_string(payload, '$.url') AS u, CAST(chapter_index + 1 AS VARCHAR) AS c, json_extract_string(payload, '$.error') AS e, CAST(json_extract(payload, '$.duration') AS DOUBLE) AS d FROM job_events)
 SELECT seq, '[' || s || '] ' || CASE type WHEN 'VideoRequested' THEN '📥  Job accepted — ' || u WHEN 'FolderCreated' THEN '📁  Folder created — ' WHEN 'VideoDownloaded' THEN '⬇️  Video downloaded — "t" (' || CAST(round_even(d, 0) AS BIGINT) || 's)'
   WHEN 'ChaptersDetected' THEN '📋  Chapters detected — 0 chapter(s)' WHEN 'ChapterClipExtracted' THEN '✂️  Chapter ' || c || ' clip extracted — ' WHEN 'ChapterTranscribed' THEN '🎙️  Chapter ' || c || ' transcribed — 3 words'
   WHEN 'CaptionsGenerated' THEN '💬  Chapter ' || c || ' captions generated (srt)' WHEN 'SubtitleImageRendered' THEN '🖼️  Chapter ' || c || ' subtitles rendered — 0 image(s)' WHEN 'ClipRendered' THEN '✅  Chapter ' || c || ' clip rendered — '
-  WHEN 'JobCompleted' THEN '🎉  Job completed — 0 clip(s) saved' WHEN 'JobFailed' THEN '❌  Job failed — ' || e ELSE type || ' — ' || payload END AS line FROM p WHERE type <> 'Mystery'""")
+  WHEN 'JobCompleted' THEN '🎉  Job completed — 0 clip(s) saved' WHEN 'JobFailed' THEN '❌  Job failed — ' || e ELSE type || ' — ' || payload END AS line FROM p""")
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.job_events(spark, sf_dir).where("type <> 'Mystery'").withColumn("stamp", F.date_format("ts", "HH:mm:ss"))
+    e = V.job_events(spark, sf_dir).withColumn("stamp", F.date_format("ts", "HH:mm:ss"))
     return e.select("seq", events.log_line("type", "payload", "stamp").alias("line"))
 
 

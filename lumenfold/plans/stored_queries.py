@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.operators import metrics
+from lumenfold.operators import metrics, words
 from lumenfold.plans import catalog_queries, media_queries
 from lumenfold.plans import event_queries as E
 from lumenfold.plans import views as V
 from lumenfold.registry import ORACLES, query
-from lumenfold.sources import table
+from lumenfold.plans.word_queries import CHUNKS, seconds
+from lumenfold.sources import captions, table
 from lumenfold.storage import Deliveries, VersionedTable, new_folder
 from lumenfold.streaming import delivery, jobs, stateful
 
@@ -102,3 +103,12 @@ def stage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rest = F.struct("state", "done", "total", "error")
     return out.read().groupBy("job_id", "position", "stage").agg(F.max_by(rest, "batch").alias("s")).select("job_id", "position", "stage", "s.*")
+
+
+@query("s8_k6_caption_files", f"""SELECT vid, CAST("index" AS INTEGER) AS "index", CAST("start" AS DOUBLE) / 1000 AS "start", CAST("end" AS DOUBLE) / 1000 AS "end", text FROM ({CHUNKS})""")
+def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions to one file a video, and read again."""
+    made, path = words.caption_chunks(seconds(spark, sf_dir), 3), new_folder(spark, "captions")
+    captions.save_captions(made, path, "vtt")
+    found = captions.read_files(spark, path)
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.vtt$", 1).cast("bigint").alias("vid"), "index", "start", "end", "text")

@@ -144,9 +144,16 @@ def range_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("l_orderkey", "l_linenumber", T.valid_range("s", "e").alias("valid"))
 
 
-@query("f22_presets", "SELECT * FROM (VALUES ('static', 42, '#ffffff', NULL), ('hormozi', 56, '#ffffff', '#fff200'), ('mrbeast', 64, '#ffffff', '#ff0066'), ('karaoke', 48, '#ffffff', '#22d3ee'), ('boldpop', 60, '#ffffff', '#7c3aed'), ('subtle', 36, '#ffffff', NULL)) t(name, font_size, color, highlight)")
+_STYLES = [*C.PRESETS, "neon"]
+_PICKED = f"[{', '.join(repr(x) for x in _STYLES)}][c_custkey % {len(_STYLES)} + 1]"
+
+
+@query("f22_presets", "SELECT c_custkey AS clip_id, style, " + ", ".join(f"CASE style {' '.join(f'WHEN {k!r} THEN {v[i]!r}' for k, v in C.PRESETS.items() if v[i] is not None)} END AS {c}" for i, c in enumerate(("font_size", "color", "highlight")))
+  + f""", CASE WHEN style = 'neon' THEN 'unknown caption style: neon; must be one of {', '.join(sorted(C.PRESETS))}' END AS error FROM (SELECT c_custkey, {_PICKED} AS style FROM customer)""")
 def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in C.PRESETS.items()], "name string, font_size int, color string, highlight string")
+    style = F.element_at(F.array(*map(F.lit, _STYLES)), (F.col("c_custkey") % len(_STYLES) + 1).cast("int"))
+    clips = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip_id"), style.alias("style"))
+    return clips.select("clip_id", "style", F.inline(F.array(T.preset("style"))))
 
 
 @query("s14_defaults_on_read", f"WITH {V.JOBS} SELECT job_id, coalesce(nullif(language, ''), 'en-US') AS language FROM jobs")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import constants as C
 from lumenfold.functions import text as T
-from lumenfold.operators import exports, segments, sentiment, words
+from lumenfold.operators import exports, layout, segments, sentiment, words
 from lumenfold.plans import views as V
 from lumenfold.plans.text_queries import VALUE
 from lumenfold.registry import query
@@ -213,3 +213,20 @@ def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN length(text) > 80 THEN rtrim(left(text, 79)) || '…' ELSE text END AS short FROM documents""")
 def title_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.title_of("text").alias("title"), T.summary_of("text").alias("summary"), T.truncate("text").alias("short"))
+
+
+_GLYPHS = "glyphs AS (SELECT sign, CAST(unicode(sign) % 7 + 3 AS DOUBLE) AS width FROM (SELECT DISTINCT unnest(string_split(text || ' ', '')) AS sign FROM benchmark))"
+
+
+@query("m4_caption_layout", f"""WITH {_GLYPHS}, captions AS (SELECT vid, "index", text, "index" % 4 AS lit, CASE WHEN vid % 2 = 0 THEN 1000.5 + "index" % 3 END AS anchor FROM ({CHUNKS})),
+ws AS (SELECT vid, "index", lit, anchor, unnest(l) AS word, unnest(range(len(l))) AS nth FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS l FROM captions)),
+forms AS (SELECT word, CAST(sum(coalesce(width, 5.0)) AS DOUBLE) AS width FROM (SELECT word, unnest(string_split(word, '')) AS sign FROM (SELECT DISTINCT word FROM ws)) LEFT JOIN glyphs USING (sign) GROUP BY word),
+sized AS (SELECT ws.*, width, (1080 - sum(width) OVER l - 7 * (count(*) OVER l - 1)) / 2 AS x0, coalesce(sum(width + 7) OVER (PARTITION BY vid, "index" ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ws JOIN forms USING (word) WINDOW l AS (PARTITION BY vid, "index"))
+SELECT vid, "index", CAST(nth AS INTEGER) AS at, word, x0 + before AS x, CAST(CASE WHEN anchor IS NULL THEN 1784.0 ELSE trunc(anchor - 48) END AS DOUBLE) AS y, width, nth = lit AS active FROM sized""")
+def caption_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all captions in a made font, whose glyphs are those of ``benchmark`` and whose blank is 7 wide."""
+    signs = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.concat("text", F.lit(" ")), "")).alias("sign")).where("sign != ''").distinct()
+    widths = layout.glyph_widths(signs.select("sign", (F.ascii("sign") % 7 + 3).alias("width")))
+    c = words.caption_chunks(V.words(spark, sf_dir), 3)
+    c = c.select("vid", "index", "text", (F.col("index") % 4).alias("active"), F.when(F.col("vid") % 2 == 0, 1000.5 + F.col("index") % 3).alias("anchor"))
+    return layout.caption_layout(c, widths, (1080, 1920), 96.0, missing=5.0)
