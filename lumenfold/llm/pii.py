@@ -60,10 +60,13 @@ LOOSE = re.compile(
     r"|(?<![0-9])[0-9]{1,3}(?:\s?(?:[.,:_-]|\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\{dot\})\s?[0-9]{1,3}){3}(?![ ().,/_:-]{0,2}[0-9])"
     r"|(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().,/_:-]{0,2}[0-9]){6,}(?![A-Za-z])"
 )
-#: The most that a node's own potential, and each neighbour's, says against a label (log odds), however large the counts.
+#: The most that a node's own potential, and each neighbour's, says against a label (log odds), however large the counts: almost all
+#: runs are none, and that mustn't drown what a link says about one.
 OWN_MOST, CHAIN_MOST = 4.0, 1.0
-#: Weight of a skip link before training, and the least after it: log odds that linked tokens share their label.
-COUPLING, COUPLING_LEAST = 8.0, OWN_MOST + 2 * CHAIN_MOST + 0.5
+#: Weight of a skip link before training: log odds that linked tokens share their label.
+COUPLING = 8.0
+#: Skip links join equal tokens or almost equal ones.
+LINKS = ("equal", "near")
 #: Of the fit: strength of the prior against one case's share, steps, and their length.
 PRIOR, STEPS, RATE = 1e-3, 400, 0.1
 MASKED = "?"
@@ -176,6 +179,34 @@ def _links(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
     return sorted(links)
 
 
+def link_type(a: str, b: str) -> str:
+    """Whether two linked runs are equal in one of their normal forms, or almost."""
+    return LINKS[not set(tokens(a)) & set(tokens(b))]
+
+
+def decided(text: str, kind: str) -> bool | None:
+    """What a run's own numbers say about being of the kind that a link claims: its check sum, its parts; None where they say nothing."""
+    digits, parts = re.sub("[^0-9]", "", text), re.split("[^0-9]+", text)
+    if kind == "card" and 13 <= len(digits) <= 19:
+        return luhn(digits)
+    if kind == "ip" and len(parts) == 4 and all(parts):
+        return all(int(p[-4:]) <= 255 and len(p.lstrip("0")) <= 3 for p in parts)
+    return None
+
+
+def link_cases(found: list[tuple[int, int, int, str]], links: list[tuple[int, int]]) -> list[tuple[str, str]]:
+    """What links show by themselves: for each that leads from a known mention to one that is known or decided, its type and kind, and whether the two agree."""
+    out = []
+    for pair in links:
+        for i, j in (pair, pair[::-1]):
+            if found[i][2] > 0:
+                kind = LABELS[found[i][2]]
+                same = LABELS[found[j][2]] == kind if found[j][2] >= 0 else decided(found[j][3], kind)
+                if same is not None and (found[j][2] < 0 or i < j):
+                    out.append((f"link\t{link_type(found[i][3], found[j][3])}\t{kind}", "agree" if same else "apart"))
+    return out
+
+
 def _variants(key: str) -> tuple[list[tuple], list[tuple]]:
     """(where this token waits, where it finds others that are almost equal), by hashes, so in time linear in its length.
 
@@ -252,10 +283,13 @@ class Field:
     """Log potentials: of labels by shape, of a label after another, and of linked labels that agree.
 
     ``counts``: how often each (case, label) was seen; a case is a shape, ``after`` and the label before, or a shape,
-    the labels before and after (or -) and those of linked matches (joined by +), with tabs between.
+    the labels before and after (or -) and those of linked matches (joined by +), with tabs between; or a link's type
+    and kind, of which agree and apart are counted (``link_cases``).
     """
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
+        links = {k: n for k, n in counts.items() if k[0].startswith("link\t")}
+        counts = {k: n for k, n in counts.items() if k not in links}
         cases = []
         for what, label in counts:
             shaped = what.split("\t") if "\t" in what else [MASKED, what[6:], "-", ""] if what.startswith("after ") else [what, "-", "-", ""]
@@ -272,7 +306,13 @@ class Field:
         self.unknown = label - label.max()
         follows = 0.5 * (before[: len(LABELS)] + after[: len(LABELS)].T)
         self.follows = follows - follows.max(1, keepdims=True)
-        self.coupling = max(float(self.coupling), COUPLING_LEAST)
+        self.coupling = float(self.coupling)
+        # A link pulls by how much more often such links agree than not, and repels where they mostly don't.
+        self.links = np.zeros((len(LINKS), len(LABELS)))
+        for t, kind in enumerate(LINKS):
+            for k, label in enumerate(LABELS[1:], 1):
+                agree, apart = (links.get((f"link\t{kind}\t{label}", x), 0) for x in ("agree", "apart"))
+                self.links[t, k] = self.coupling * (2 * (agree + 1) / (agree + apart + 1) - 1)
 
     def infer(self, found: list[tuple[int, int, int, str]], links: list[tuple[int, int]]) -> np.ndarray:
         """Beliefs (node by label) after some rounds of passing along neighbours and skip links."""
@@ -287,7 +327,9 @@ class Field:
         weight = np.minimum(share[:-1], share[1:])[:, None, None]
         chain = [(i, i + 1) for i in range(len(found) - 1)]
         ends = np.array(chain + links, np.int64).reshape(-1, 2)
-        tables = np.concatenate([weight * self.follows.clip(-CHAIN_MOST, 0)[None], np.repeat((self.coupling * np.eye(len(LABELS)))[None], len(links), 0)])
+        types = np.array([LINKS.index(link_type(found[a][3], found[b][3])) for a, b in links], np.int64)
+        skips = self.links[types][:, :, None] * np.eye(len(LABELS))[None]
+        tables = np.concatenate([weight * self.follows.clip(-CHAIN_MOST, 0)[None], skips.reshape(-1, len(LABELS), len(LABELS))])
         source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
         tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
@@ -340,6 +382,7 @@ def learn(documents: DataFrame, text: str = "text") -> Field:
                 if value and may_hold(value):
                     found = nodes(value, base_spans(value))
                     links = _links(found)
+                    seen.update(link_cases(found, links))
                     group = _groups(len(found), links)
                     linked: dict[int, set[str]] = {}
                     for a, b in links:
