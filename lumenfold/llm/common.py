@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,21 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, value)
 
 
+#: Deletes an execution's shuffle files when it ends, and not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside the block only."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage; every one outlives the executor that wrote it."""
 
@@ -57,15 +72,12 @@ class Workspace:
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
+        """Writes ``frame`` and reads it again; the shuffle files of its making are gone once it is written."""
         path = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(path)
+        with setting(self.spark, CLEANUP, "true"):
+            frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of steps whose tables are written: it does so when the driver collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

@@ -154,6 +154,10 @@ def _place(column: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(17), column), 11) / F.lit(float(1 << 53))
 
 
+#: The most languages of a model.
+MOST_LANGUAGES = 500
+
+
 def _cut(times: dict[int, int], most: int) -> tuple[int, float]:
     """(count, share): with all words above the count, and this share of those at it, there are about ``most``."""
     taken = 0
@@ -167,15 +171,16 @@ def _cut(times: dict[int, int], most: int) -> tuple[int, float]:
 def fit(labelled: DataFrame, sample: Sample | None = None) -> Model:
     """A model from ``labelled(doc_id, text, lang)``.
 
-    The sample's ids are about ``Sample.rows`` a language, of those with a text, and broadcast.
-    No step sorts or collects a language in one task: shares are taken by hash.
+    The sample's ids are about ``Sample.rows`` a language, of those with a text, taken by hash and a table of at most MOST_LANGUAGES sizes. Of more than
+    MOST_LANGUAGES values of lang (labels that are typed by hand, say) those with the most documents are learned, equal ones by
+    name, so that the model on the driver is bounded. No step sorts or collects a language in one task: shares are taken by hash.
     """
     sample = sample or Sample()
     usable = labelled.where("doc_id is not null and lang is not null")
     sizes = usable.where("text is not null").groupBy("lang").agg(F.countDistinct("doc_id").alias("ids"))
-    ids = usable.where("text is not null").select("lang", "doc_id").join(F.broadcast(sizes), "lang")
-    ids = ids.where(_place("doc_id") * F.col("ids") < sample.rows).select("lang", "doc_id").distinct()
-    rows = usable.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["lang", "doc_id"])
+    sizes = sizes.orderBy(F.desc("ids"), "lang").limit(MOST_LANGUAGES)
+    rows = usable.where("text is not null").select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang")
+    rows = rows.where(_place("doc_id") * F.col("ids") < sample.rows)
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counted = words.groupBy("word", "lang").count().persist()
     times = defaultdict(dict)
@@ -185,7 +190,7 @@ def fit(labelled: DataFrame, sample: Sample | None = None) -> Model:
     most = sample.each(sample.words, len(languages))
     cuts = labelled.sparkSession.createDataFrame([(lang, *_cut(times[lang], most)) for lang in languages], "lang string, least long, share double")
     wanted = (F.col("count") > F.col("least")) | ((F.col("count") == F.col("least")) & (_place("word") < F.col("share")))
-    counts = counted.join(F.broadcast(cuts), "lang").where(wanted).select("word", "lang", "count").toArrow()
+    counts = counted.join(cuts, "lang").where(wanted).select("word", "lang", "count").toArrow()
     counted.unpersist()
     table: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
     for word, lang, n in sorted(zip(*(counts.column(k).to_pylist() for k in range(3)))):

@@ -20,8 +20,8 @@ into blocks, and the folded sketches of each two blocks are compared in numpy, w
 and not all pairs. The components of that graph are clusters. Every link lies inside one, and there each two
 classes are compared once, block by block, by exact intersection where their sketches are near and nothing has
 joined them yet; what leaves is again a spanning forest. So rows grow with the classes of a dense group, times its
-blocks, and not with its pairs. A block holds about 256 classes, or more where a list would be dealt into more than
-64 blocks, and, in clusters, about 4 MB of shingles at most beside its longest set.
+blocks, and not with its pairs. A block holds about 1,024 classes, or more where a list would be dealt into more than
+64 blocks, and, in clusters, about 8 MB of shingles at most beside its longest set.
 
 Equal sets meet as one class, known by two 64-bit hashes. Of classes that agree in the first alone, each gets a
 name of its own.
@@ -51,11 +51,9 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _U = np.uint64
 FOLDED = 1024
 #: About how many classes make a block, and the most blocks; a group with more classes has larger blocks.
-BLOCK, MOST_BLOCKS = 256, 64
-#: About the most shingles of a cluster's block (4 MB).
-BLOCK_SHINGLES = 1 << 19
-#: The most rows of a list of documents that is broadcast (some 24 MB); longer lists are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BLOCK, MOST_BLOCKS = 1024, 64
+#: About the most shingles of a cluster's block (8 MB).
+BLOCK_SHINGLES = 1 << 20
 SIGNATURE = T.StructType(
     [
         T.StructField("cls", T.LongType()),
@@ -163,11 +161,6 @@ def _hamming(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _bounded(frame: DataFrame) -> DataFrame:
-    """Broadcast where a count shows it to be small."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
-
-
 def _sides(signed: DataFrame) -> DataFrame:
     """Each class once: size, folded sketch, the least and greatest of its second hashes, and one of its rows."""
     found = signed.where("cls is not null").groupBy("cls")
@@ -181,9 +174,7 @@ def _live_words(signed: DataFrame, work: Workspace) -> DataFrame:
     rows = signed.where("cls is not null").select("cls", F.inline("bands")).select("cls", "band", "need", F.explode("keys").alias("key"))
     # Words that only a class's own copies share count too; they are left with one class and go with the lists.
     counts = work.save(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "counts")
-    work.release()
     shared = work.save(rows.join(counts, "key").distinct(), "shared")
-    work.release()
     by_set = Window.partitionBy("cls", "band")
     common_first = F.row_number().over(by_set.orderBy(F.desc("times"), "key"))
     kept = shared.withColumn("place", common_first).withColumn("words", F.count("*").over(by_set))
@@ -305,7 +296,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
         return [pa.array([s.tobytes() for s in found], pa.binary())]
 
     rows = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), "text")
-    rows = rows.join(_bounded(wanted), (F.col("_row") == F.col("row")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    rows = rows.join(wanted, (F.col("_row") == F.col("row")) & F.col("_id").eqNullSafe(F.col("doc_id")))
     made = add_columns(rows.select("cls", "text"), ["text"], T.StructType([T.StructField("set", T.BinaryType())]), compute, ["cls"])
     return made.groupBy("cls").agg(F.first("set").alias("set"))
 
@@ -336,7 +327,6 @@ def classes(documents: DataFrame, join: Join, work: Workspace) -> tuple[DataFram
     links = _links(documents, _near(words, side, join, work), side, join, work)
     labels = components(links, work, "components")
     work.drop("words", "lists", "near", "members", "links")
-    work.release()
     return signed.select("doc_id", "row", "cls", "n"), labels
 
 
@@ -372,7 +362,7 @@ def keep_one(documents: DataFrame, join: Join | None = None) -> DataFrame:
     losers = work.save(grouped.where(F.struct("doc_id", "row") != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), "losers")
     rows = documents.select(F.struct("*").alias("own"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
     on = (F.col("hash") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))
-    left = rows.join(_bounded(losers), on, "left_anti")
+    left = rows.join(losers, on, "left_anti")
     # A winner may itself be repeated row for row; only then are rows told apart by a shuffle.
     again = grouped.where(F.struct("doc_id", "row") == F.col("best")).groupBy("doc_id", "row").count().where("count > 1")
     again = work.save(again.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), "again")

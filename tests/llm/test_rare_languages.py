@@ -26,3 +26,12 @@ def test_limits_by_language():
     assert langid._cut({3: 2, 1: 10}, 12) == (0, 0.0)
     assert langid._cut({3: 2, 1: 10}, 7) == (1, 0.5)
     assert langid.Sample().each(60_000, 4) == 60_000 and langid.Sample().each(60_000, 200) == 200
+
+
+def test_more_languages_than_a_model_holds(spark, monkeypatch):
+    """Labels typed by hand: those with the most documents are learned, equal ones by name, and others' rows don't count."""
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(i, f"word{chr(97 + i % 20)} in en", "en") for i in range(40)] + [(100 + i, f"sana{chr(97 + i % 20)} on fi", "fi") for i in range(30)]
+    rows += [(200 + i, "typo once", f"x{i:02}") for i in range(25)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "fi", "x00"] and model.predict(["sanaa on", "worda in"])[0] == ["fi", "en"]
