@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import constants as C
-from lumenfold.operators import events
+from lumenfold.operators import events, history
 from lumenfold.plans import views as V
 from lumenfold.registry import query
 from lumenfold.sources import table
@@ -147,3 +147,14 @@ def option_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c5_step_past", """SELECT c_custkey AS job_id, coalesce(list_position(['folder', 'download', 'chapters', 'completed'], CASE c_custkey % 4 WHEN 0 THEN 'folder' WHEN 1 THEN 'download' WHEN 2 THEN 'chapters' END) > 1, false) AS past_folder FROM customer""")
 def step_past(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_states(spark, sf_dir).select("job_id", events.step_past("current_step", "folder").alias("past_folder"))
+
+
+@query("w16_undo_history", f"""WITH RECURSIVE {V.EVENTS}, log AS (SELECT job_id AS clip_id, seq, CASE seq % 5 WHEN 0 THEN 'undo' WHEN 1 THEN 'redo' WHEN 2 THEN 'undo' ELSE 'edit' END AS kind, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM job_events),
+r AS (SELECT clip_id, 0::BIGINT AS n, [0::BIGINT] AS h, 1::BIGINT AS i FROM log GROUP BY clip_id
+  UNION ALL SELECT r.clip_id, log.n, CASE kind WHEN 'edit' THEN list_slice(list_append(list_slice(h, 1, i), seq), greatest(1, i - 48), i + 1) ELSE h END,
+    CASE kind WHEN 'edit' THEN least(i + 1, 50) WHEN 'undo' THEN greatest(1, i - 1) ELSE least(len(h), i + 1) END FROM r JOIN log ON log.clip_id = r.clip_id AND log.n = r.n + 1)
+SELECT clip_id, array_to_string(arg_max(h, n), ',') AS states, CAST(arg_max(i, n) - 1 AS INTEGER) AS cursor, arg_max(h[i], n) AS current FROM r GROUP BY clip_id""")
+def undo_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("undo", "redo", "undo", "edit", "edit"))), (F.col("seq") % 5 + 1).cast("int"))
+    log = V.job_events(spark, sf_dir).select(F.col("job_id").alias("clip_id"), "seq", kind.alias("kind"), F.col("seq").alias("state"))
+    return history.replay(log, block=2_000).withColumn("states", F.array_join(F.col("states").cast("array<string>"), ","))
