@@ -33,7 +33,7 @@ judged by their own texts. Empty tables give empty tables. Further columns don't
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +52,8 @@ _U = np.uint64
 FOLDED = 1024
 #: About how many classes make a block, and the most blocks; a group with more classes has larger blocks.
 BLOCK, MOST_BLOCKS = 1024, 64
+#: A group's pivots are its classes whose hash is least after each of these flips.
+PIVOTS = tuple(int(v) for v in mix(np.arange(1, 9, dtype=np.uint64)).view(np.int64))
 #: About the most shingles of a cluster's block (8 MB).
 BLOCK_SHINGLES = 1 << 20
 SIGNATURE = T.StructType(
@@ -194,9 +196,10 @@ def _dealt(rows: DataFrame, group: str, blocks: Column, keep: list[str]) -> Data
     return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "own").drop(group, "i", "j")
 
 
-def _blocks() -> Column:
-    """So many blocks for a group of ``m`` classes."""
-    return F.least(F.ceil(F.col("m") / BLOCK), F.lit(MOST_BLOCKS))
+def _blocks(m: Column, shingles: Column | None = None) -> Column:
+    """So many blocks for a group of ``m`` classes, which hold so many shingles together where their sets go along."""
+    by_classes = F.least(F.ceil(m / BLOCK), F.lit(MOST_BLOCKS))
+    return by_classes if shingles is None else F.greatest(by_classes, F.ceil(shingles / BLOCK_SHINGLES))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -215,6 +218,101 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(waiting)
 
 
+def _near_sketches(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, join: Join) -> np.ndarray:
+    """Whether sets of these sizes and sketches can be linked."""
+    near = (100 + join.percent) * np.bitwise_count(a ^ b).sum(-1) <= (100 - join.percent) * (n_a + n_b)
+    return near & (100 * np.minimum(n_a, n_b) >= join.percent * np.maximum(n_a, n_b))
+
+
+def _comparer(rows: pa.Table, join: Join, exact: bool) -> Callable[[int, int], bool]:
+    """Whether two near rows are joined: always, or with ``exact`` if their sets are linked."""
+    sets = [np.frombuffer(s.as_buffer(), _U) for s in rows.column("set")] if exact else []
+
+    def joins(p: int, q: int) -> bool:
+        if not exact:
+            return True
+        shared = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        return 100 * shared >= join.percent * (len(sets[p]) + len(sets[q]) - shared)
+
+    return joins
+
+
+def _round(rows: pa.Table, join: Join, exact: bool) -> pa.RecordBatch:
+    """(of, cls, rep, member): each row of a block of members, and of the pivots before them, with the least pivot that it is joined with."""
+    both, of, turn, cls, n = (rows.column(c).to_numpy() for c in ("both", "of", "turn", "cls", "n"))
+    folded = rows.column("folded").combine_chunks().flatten().to_numpy().view(_U).reshape(len(cls), -1)
+    joins, root = _comparer(rows, join, exact), np.arange(len(cls))
+    none = np.iinfo(np.int64).max
+    begins = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    for begin, end in zip(begins, np.append(begins[1:], len(cls))):
+        for p in range(begin, begin + int((turn[begin:end] == 0).sum())):
+            later = np.arange(p + 1, end)
+            for q in later[_near_sketches(folded[p], folded[later], n[p], n[later], join)].tolist():
+                if root[p] != root[q] and joins(p, q):
+                    root[begin:end][root[begin:end] == root[q]] = root[p]
+    rep = np.full(len(cls), none)
+    np.minimum.at(rep, root[turn == 0], cls[turn == 0])
+    rep = rep[root]
+    return pa.RecordBatch.from_arrays([pa.array(of), pa.array(cls), pa.array(rep, mask=rep == none), pa.array(turn == 1)], names=["of", "cls", "rep", "member"])
+
+
+def _settled(rows: DataFrame, group: str, keep: list[str], join: Join, exact: bool, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """Edges that join the rows of each group with its pivots, and for rows(group, blocks, ``keep``) whether they are ``settled``: all those are one component.
+
+    PIVOTS of a group's classes, by hash, go to each of its blocks, where every row is compared with them: rows move once, and
+    pivots as often as there are blocks. Settled are the rows of the pivot that joins the most.
+    """
+    bound_batches(rows.sparkSession)
+    chosen = rows.groupBy(group).agg(F.max("blocks").alias("blocks"), *(F.min(F.col("cls").bitwiseXOR(F.lit(x))).alias(f"p{k}") for k, x in enumerate(PIVOTS)))
+    chosen = chosen.select(group, "blocks", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(PIVOTS))))).alias("cls"))
+    data = [c for c in keep if c != "cls"]
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    pivots = chosen.join(rows.select(group, *keep), [group, "cls"]).select(group, every, F.lit(0).alias("turn"), "cls", *data)
+    members = rows.select(group, F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block"), F.lit(1).alias("turn"), "cls", *data)
+    dealt = members.union(pivots).repartition(group, "block").sortWithinPartitions(group, "block", "turn")
+    dealt = dealt.select(F.xxhash64(group, "block").alias("both"), F.col(group).alias("of"), "turn", "cls", *data)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            yield _round(table, join, exact)
+
+    found = work.save(dealt.mapInArrow(compare, "of long, cls long, rep long, member boolean"), f"{name}-pivots")
+    counts = found.where("member and rep is not null").groupBy("of", "rep").agg(F.count("*").alias("n"))
+    main = counts.groupBy("of").agg(F.max_by("rep", F.struct("n", "rep")).alias("main"))
+    told = found.where("member").join(main, "of", "left").select(F.col("of").alias(group), "cls", F.coalesce(F.col("rep") == F.col("main"), F.lit(False)).alias("settled"))
+    edges = found.where("rep is not null and rep != cls").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
+    return edges, work.save(told, f"{name}-settled")
+
+
+def _grouped(rows: DataFrame, group: str, keep: list[str], join: Join, exact: bool, work: Workspace, name: str) -> DataFrame:
+    """(a, b): edges that span the near (or with ``exact`` the linked) classes of each group of rows(group, blocks, ``keep``).
+
+    A group of one block is compared as it is. A larger one first meets its pivots; what they settle is one component, so only
+    the rest is compared, with itself and with the settled, block by block. In a dense group that rest is small or nothing.
+    """
+    few = _spanning(_dealt(rows.where("blocks = 1"), group, F.col("blocks"), keep), join, exact)
+    many = work.save(rows.where("blocks > 1"), f"{name}-many")
+    edges, told = _settled(many, group, keep, join, exact, work, name)
+    sizes = told.join(many.select(group, "cls", "n"), [group, "cls"]).groupBy(group).agg(
+        F.count_if("settled").alias("s"), F.count_if(~F.col("settled")).alias("l"), F.sum(F.when(F.col("settled"), F.col("n"))).alias("n_s"), F.sum(F.when(~F.col("settled"), F.col("n"))).alias("n_l")
+    )
+    s, rest = (_blocks(F.col(c), F.col(f"n_{c}") if exact else None).cast("bigint") for c in "sl")
+    sizes = sizes.where("l > 0").select(group, F.when(F.col("s") > 0, s).otherwise(0).alias("with_s"), rest.alias("with_l"))
+    open_ = many.drop("blocks").join(told, [group, "cls"]).join(sizes, group)
+    open_ = work.save(open_, f"{name}-open")
+    own = {c: F.pmod(F.xxhash64("cls"), F.col(f"with_{c}")) for c in "sl"}
+
+    def every(c: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"with_{c}") - 1))
+
+    settled = open_.where("settled").withColumn("i", own["s"]).withColumn("j", every("l")).withColumn("own", F.lit(-1).cast("bigint"))
+    loose = open_.where("not settled and with_s > 0").withColumn("j", own["l"]).withColumn("i", every("s")).withColumn("own", F.col("j"))
+    both = settled.unionByName(loose).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "own")
+    both = both.select(F.xxhash64(F.lit("settled"), group, "i", "j").alias("both"), F.lit(False).alias("same"), "own", *keep, "settled")
+    left = _spanning(_dealt(open_.where("not settled"), group, F.col("with_l"), keep), join, exact)
+    return few.union(edges).union(_spanning(both, join, exact)).union(left)
+
+
 def _forest(rows: pa.Table, join: Join, exact: bool) -> pa.RecordBatch:
     """(a, b): edges that span the near classes of each group; with ``exact``, the linked ones by their ``set``.
 
@@ -224,14 +322,11 @@ def _forest(rows: pa.Table, join: Join, exact: bool) -> pa.RecordBatch:
     """
     both, same, own, cls, n = (rows.column(c).to_numpy() for c in ("both", "same", "own", "cls", "n"))
     folded = rows.column("folded").combine_chunks().flatten().to_numpy().view(_U).reshape(len(cls), -1)
-    sets = [np.frombuffer(s.as_buffer(), _U) for s in rows.column("set")] if exact else []
-    part, whole, root = 100 - join.percent, 100 + join.percent, np.arange(len(cls))
-
-    def joins(p: int, q: int) -> bool:
-        if not exact:
-            return True
-        shared = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-        return 100 * shared >= join.percent * (len(sets[p]) + len(sets[q]) - shared)
+    joins, root = _comparer(rows, join, exact), np.arange(len(cls))
+    if "settled" in rows.column_names:  # those are joined already, and come first in their group
+        settled = np.flatnonzero(rows.column("settled").to_numpy())
+        begins = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        root[settled] = begins[np.searchsorted(begins, settled, side="right") - 1]
 
     def merge(across: bool) -> None:
         at, step = np.flatnonzero(~same) if across else np.arange(len(cls)), 0
@@ -242,8 +337,7 @@ def _forest(rows: pa.Table, join: Join, exact: bool) -> pa.RecordBatch:
             x = at[(root[at] != root[at + step]) & ((own[at] != own[at + step]) == across)]
             for k in range(0, len(x), 1 << 16):
                 a, b = x[k : k + (1 << 16)], x[k : k + (1 << 16)] + step
-                near = whole * np.bitwise_count(folded[a] ^ folded[b]).sum(1) <= part * (n[a] + n[b])
-                near &= 100 * np.minimum(n[a], n[b]) >= join.percent * np.maximum(n[a], n[b])
+                near = _near_sketches(folded[a], folded[b], n[a], n[b], join)
                 for p, q in zip(a[near].tolist(), b[near].tolist()):
                     if root[p] != root[q] and joins(p, q):
                         root[root == root[q]] = root[p]
@@ -283,8 +377,8 @@ def _near(words: DataFrame, side: DataFrame, join: Join, work: Workspace) -> Dat
     two = lists.where("m = 2").select("a", "b").distinct().join(a, "a").join(b, "b")
     two = two.where(f"100 * least(n_a, n_b) >= {join.percent} * greatest(n_a, n_b)")
     two = two.where(_hamming("f_a", "f_b") <= F.expr(join.apart_sql("n_a", "n_b"))).select("a", "b")
-    more = words.join(lists.where("m > 2").select("key", "m"), "key").join(sketches, "cls")
-    return work.save(two.union(_spanning(_dealt(more, "key", _blocks(), ["cls", "n", "folded"]), join)).distinct(), "near")
+    more = words.join(lists.where("m > 2").select("key", _blocks(F.col("m")).cast("bigint").alias("blocks")), "key").join(sketches, "cls")
+    return work.save(two.union(_grouped(more, "key", ["cls", "n", "folded"], join, False, work, "words")).distinct(), "near")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
@@ -307,9 +401,9 @@ def _links(documents: DataFrame, near: DataFrame, side: DataFrame, join: Join, w
     members = work.save(side.join(clusters, "cls").select("cls", "label", "n", "folded", "at.*"), "members")
     sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     sets = _sets(documents, members.select("cls", "doc_id", "row"), join)
-    rows = members.select("cls", "label", "n", "folded").join(sets, "cls").join(sizes, "label")
-    blocks = F.greatest(_blocks(), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    return work.save(_spanning(_dealt(rows, "label", blocks, ["cls", "n", "folded", "set"]), join, exact=True), "links")
+    blocks = _blocks(F.col("m"), F.col("shingles")).cast("bigint").alias("blocks")
+    rows = work.save(members.select("cls", "label", "n", "folded").join(sets, "cls").join(sizes.select("label", blocks), "label"), "sets")
+    return work.save(_grouped(rows, "label", ["cls", "n", "folded", "set"], join, True, work, "sets"), "links")
 
 
 def classes(documents: DataFrame, join: Join, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +420,8 @@ def classes(documents: DataFrame, join: Join, work: Workspace) -> tuple[DataFram
     work.drop("counts", "shared")
     links = _links(documents, _near(words, side, join, work), side, join, work)
     labels = components(links, work, "components")
-    work.drop("words", "lists", "near", "members", "links")
+    made = (f"{of}-{what}" for of in ("words", "sets") for what in ("pivots", "settled", "many", "open"))
+    work.drop("words", "lists", "near", "members", "sets", "links", *made)
     return signed.select("doc_id", "row", "cls", "n"), labels
 
 
