@@ -95,3 +95,30 @@ def test_components(spark, shape):
     work = common.Workspace(spark, "test-components")
     found = components.components(spark.createDataFrame(edges, "a long, b long"), work, "c")
     assert sorted((r.node, r.label) for r in found.collect()) == sorted(best.items())
+
+
+def test_rows_moved_double_with_a_dense_group(spark, monkeypatch):
+    """What is dealt to be compared - rows, pivots and what these don't settle - grows with the group and not with its blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    moved, spanning, save = {}, ngram_join._spanning, common.Workspace.save
+    for size in (150, 300):
+        counts = []
+
+        def counted_dealt(dealt, join, exact=False, counts=counts):
+            counts.append(dealt.count())
+            return spanning(dealt, join, exact)
+
+        def spy(self, frame, name, counts=counts):
+            table = save(self, frame, name)
+            if name.endswith("-pivots"):
+                counts.append(table.count())
+            return table
+
+        monkeypatch.setattr(ngram_join, "_spanning", counted_dealt)
+        monkeypatch.setattr(common.Workspace, "save", spy)
+        rows = near_copies(size, (2, 4))
+        found = {r.doc_id: r.component_id for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        group = brute.near_groups(rows, 5, 80)
+        assert found == {i: group[i] for i in range(size)} and len(set(found.values())) == 1
+        moved[size] = sum(counts)
+    assert moved[300] <= 2.3 * moved[150], moved
