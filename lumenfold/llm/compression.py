@@ -1,22 +1,24 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 Text like the good examples compresses better with the dictionary built from them. Each text is cut into
-blocks, all of it, and each block compressed with both dictionaries and with none; the difference of the two
-sizes over the plain size is the evidence, and the plain size over the text's own tells of repetition. A
-logistic curve fitted on labelled texts that no dictionary has seen turns them into a probability.
+blocks, all of it, and each block compressed with both dictionaries; the difference of the two sizes over the
+text's own is the evidence. A logistic curve fitted on labelled texts that no dictionary has seen turns it into a
+probability, by length: a difference says more of a long text than of a short one, so both the curve's place and its
+slope go with the logarithm of the length.
 
 The model is fitted on a bounded sample of labelled rows: at most ``Sample.rows`` of each label, those with
 the least hash, and of each id its least text of at most ``Sample.chars``; so what the driver holds doesn't grow with
 the input, and two fits are equal. The
 dictionaries (2 x 64 KB) are broadcast. Scoring is one map without a shuffle, whole texts in blocks.
 
-Defined cases: null and empty texts have no evidence and get the score at zero evidence. Rows with a null id
+Defined cases: null and empty texts have no evidence and get the score of no difference at the least length. Rows with a null id
 or a null label aren't learned from. Rows that repeat an id are scored one by one. With no usable label of
 either kind every score is 0.5. Further columns are carried along; one with the name of a result is replaced.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,14 +48,14 @@ class Scorer:
 
     def __init__(self, good: bytes, bad: bytes) -> None:
         self.good, self.bad = good, bad
-        self.weights = np.zeros(3)
+        self.weights = np.zeros(4)
         self._tools: list | None = None
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_tools": None}
 
     def evidence(self, text: str) -> tuple[float, float]:
-        """(size with the bad less size with the good dictionary, over the plain size; plain over raw size)."""
+        """(size with the bad less size with the good dictionary, over the raw size; log of the raw size)."""
         if not text:
             return 0.0, 0.0
         if self._tools is None:
@@ -61,29 +63,29 @@ class Scorer:
             for d in used:
                 if d is not None:
                     d.precompute_compress(level=LEVEL)
-            made = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in used]
-            plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-            self._tools = [c.compress for c in (*made, plain)]
-        good, bad, plain = self._tools
+            self._tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in used]
+        good, bad = self._tools
         data = text.encode("utf-8", "surrogatepass")
-        sizes = [0, 0, 0]
+        less = 0
         for at in range(0, len(data), BLOCK):
             block = data[at : at + BLOCK]
-            sizes[0] += len(good(block))
-            sizes[1] += len(bad(block))
-            sizes[2] += len(plain(block))
-        return (sizes[1] - sizes[0]) / sizes[2], sizes[2] / len(data)
+            less += len(bad(block)) - len(good(block))
+        return less / len(data), math.log(len(data))
+
+    @staticmethod
+    def _terms(evidence: np.ndarray) -> np.ndarray:
+        difference, length = evidence.T
+        return np.column_stack([np.ones(len(evidence)), difference, length, difference * length])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        """Probabilities for rows of evidence; no text (0, 0) is no evidence."""
-        x = np.column_stack([np.ones(len(evidence)), evidence[:, 0], np.where(evidence[:, 1] > 0, np.log(np.maximum(evidence[:, 1], 1e-6)), 0.0)])
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        """Probabilities for rows of evidence."""
+        return 1 / (1 + np.exp(-np.clip(self._terms(evidence) @ self.weights, -30, 30)))
 
     def calibrate(self, evidence: np.ndarray, labels: np.ndarray) -> None:
         """Logistic regression by Newton's method with a small ridge."""
-        x = np.column_stack([np.ones(len(evidence)), evidence[:, 0], np.log(np.maximum(evidence[:, 1], 1e-6))])
+        x = self._terms(evidence)
         scale = np.append(1.0, np.maximum(x[:, 1:].std(0), 1e-9))
-        x, w, ridge = x / scale, np.zeros(3), np.diag([1e-9, 1e-3, 1e-3]) * len(x)
+        x, w, ridge = x / scale, np.zeros(4), np.diag([1e-9, 1e-3, 1e-3, 1e-3]) * len(x)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (labels - p) - ridge @ w)

@@ -83,14 +83,14 @@ def test_compression_scores():
 
     for text in [*good[:3], *bad[:3], "x" * 5000, "é" * 10, ""]:
         data = text.encode()
-        pair = ((size(data, scorer.bad) - size(data, scorer.good)) / size(data), size(data) / len(data)) if data else (0.0, 0.0)
+        pair = ((size(data, scorer.bad) - size(data, scorer.good)) / len(data), math.log(len(data))) if data else (0.0, 0.0)
         assert scorer.evidence(text) == pytest.approx(pair)
-        x = scorer.weights[0] + scorer.weights[1] * pair[0] + scorer.weights[2] * (math.log(max(pair[1], 1e-6)) if pair[1] > 0 else 0.0)
+        x = scorer.weights[0] + scorer.weights[1] * pair[0] + scorer.weights[2] * pair[1] + scorer.weights[3] * pair[0] * pair[1]
         assert scorer.score(np.array([pair]))[0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, x)))))
     # At the fitted weights the ridge and the log loss balance, in every direction.
-    x = np.column_stack([np.ones(80), evidence[:, 0], np.log(np.maximum(evidence[:, 1], 1e-6))])
+    x = np.column_stack([np.ones(80), evidence[:, 0], evidence[:, 1], evidence[:, 0] * evidence[:, 1]])
     scale = np.append(1.0, np.maximum(x[:, 1:].std(0), 1e-9))
-    slope = (x / scale).T @ (labels - 1 / (1 + np.exp(-np.clip(x @ scorer.weights, -30, 30)))) - np.array([1e-9, 1e-3, 1e-3]) * 80 * scorer.weights * scale
+    slope = (x / scale).T @ (labels - 1 / (1 + np.exp(-np.clip(x @ scorer.weights, -30, 30)))) - np.array([1e-9, 1e-3, 1e-3, 1e-3]) * 80 * scorer.weights * scale
     assert np.abs(slope).max() < 1e-4
 
 
