@@ -10,11 +10,36 @@ def confident(faces: DataFrame, least: float = 0.3) -> DataFrame:
     return faces.where(F.col("conf") >= least)
 
 
-def smooth(faces: DataFrame, window: int = 5) -> DataFrame:
-    """Centred moving mean of cx and cy over window // 2 rows to either side, confident faces only."""
+#: Times of a stretch; the rows of one are sorted together.
+STRETCH = 10_000
+
+
+def smooth(faces: DataFrame, window: int = 5, stretch: float = STRETCH) -> DataFrame:
+    """Centred moving mean of cx and cy over window // 2 rows to either side, confident faces only.
+
+    A video is cut into stretches of time, and each gets the rows next to it on either side: the last of the stretches
+    before and the first of those after, however empty some are. Only ends of stretches, one row each, are ordered by video.
+    """
     half = window // 2
-    w = Window.partitionBy("vid").orderBy("t").rowsBetween(-half, half)
-    return confident(faces).select("vid", "t", F.avg("cx").over(w).alias("cx"), F.avg("cy").over(w).alias("cy"))
+    rows = confident(faces).select("vid", "t", "cx", "cy", F.floor(F.col("t") / stretch).alias("part"))
+    point = F.struct("t", "cx", "cy")
+    inside = Window.partitionBy("vid", "part").orderBy("t")
+    placed = rows.withColumn("first", F.row_number().over(inside)).withColumn("last", F.count("*").over(Window.partitionBy("vid", "part")) - F.col("first") + 1)
+    ends = placed.where(F.least("first", "last") <= half).groupBy("vid", "part").agg(
+        *(F.sort_array(F.collect_list(F.when(F.col(side) <= half, point))).alias(side) for side in ("first", "last"))
+    )
+    chain = Window.partitionBy("vid").orderBy("part")
+
+    def beside(side: str, low: int, high: int) -> Column:
+        return F.flatten(F.collect_list(side).over(chain.rowsBetween(low, high)))
+
+    near = ends.select("vid", "part", F.slice(F.reverse(beside("last", -half, -1)), 1, half).alias("before"), F.slice(beside("first", 1, half), 1, half).alias("after")) if half else None
+    rows = rows.withColumn("own", F.lit(True))
+    if near is not None:
+        halo = near.select("vid", "part", F.explode(F.concat("before", "after")).alias("p"))
+        rows = rows.unionByName(halo.select("vid", "p.t", "p.cx", "p.cy", "part", F.lit(False).alias("own")))
+    w = inside.rowsBetween(-half, half)
+    return rows.select("vid", "t", F.avg("cx").over(w).alias("cx"), F.avg("cy").over(w).alias("cy"), "own").where("own").drop("own")
 
 
 def largest_face(faces: DataFrame) -> DataFrame:
@@ -78,19 +103,28 @@ def split_screen(faces: DataFrame, apart: float = 0.4, share: float = 0.5) -> Da
     return frames.groupBy("vid").agg(F.count("*").alias("frames"), F.count_if("split").alias("split_frames"), (F.count_if("split") > share * F.count("*")).alias("is_split"))
 
 
-def nearest(times: DataFrame, track: DataFrame) -> DataFrame:
+def nearest(times: DataFrame, track: DataFrame, stretch: float = STRETCH) -> DataFrame:
     """For each (vid, t) the track point nearest in time, the earlier of two equally near.
 
-    Both sides are merged and sorted once by video and time; the last point before and the first after are
-    window values, so there is no join by range.
+    Both sides are merged and sorted by video and stretch of time; the last point before and the first after are window
+    values of the stretch, or else the last and first points of the stretches around it. So there is no join by range, and only
+    stretches, one row each, are ordered by video.
     """
     point = F.struct(F.col("t").alias("t"), "cx", "cy")
     marks = track.select("vid", "t", F.lit(0).alias("side"), point.alias("p"))
     both = marks.unionByName(times.select("vid", "t", F.lit(1).alias("side"), F.lit(None).cast(marks.schema["p"].dataType).alias("p")))
-    order = Window.partitionBy("vid").orderBy("t", "side")
+    both = both.withColumn("part", F.floor(F.col("t") / stretch))
+    chain = Window.partitionBy("vid").orderBy("part")
+    ends = both.groupBy("vid", "part").agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("t"))).alias("first"), F.max_by("p", F.when(F.col("p").isNotNull(), F.col("t"))).alias("last"))
+    ends = ends.select(
+        "vid", "part", F.last("last", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("first", ignorenulls=True).over(chain.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    order = Window.partitionBy("vid", "part").orderBy("t", "side")
     back = F.last("p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("b", back).withColumn("a", after).where("side = 1")
+    found = both.withColumn("b", back).withColumn("a", after).where("side = 1").join(ends, ["vid", "part"])
+    found = found.withColumn("b", F.coalesce("b", "earlier")).withColumn("a", F.coalesce("a", "later"))
     use_back = F.col("a").isNull() | (F.col("b").isNotNull() & (F.col("t") - F.col("b.t") <= F.col("a.t") - F.col("t")))
     return found.select("vid", "t", F.when(use_back, F.col("b")).otherwise(F.col("a")).alias("p")).select("vid", "t", F.col("p.t").alias("at"), "p.cx", "p.cy")
 

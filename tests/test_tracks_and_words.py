@@ -72,3 +72,34 @@ def test_caption_frames(spark, fps):
     got = sorted((r.vid, r.frame, r.t, r.text, r.highlighted) for r in found.collect())
     assert [(*r[:2], *r[3:]) for r in got] == [(*r[:2], *r[3:]) for r in wanted]
     assert [r[2] for r in got] == pytest.approx([r[2] for r in wanted], abs=1e-4)
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 10_000])
+@pytest.mark.parametrize("window", [1, 4, 5])
+def test_moving_means_by_stretches(spark, stretch, window):
+    rng, made, wanted = random.Random(3), [], []
+    for vid in range(4):
+        rows, t = [], 0
+        for _ in range(rng.choice([1, 3, 60])):
+            t += rng.choice([1, 1, 2, 40])
+            rows.append((t, rng.random(), rng.random(), rng.choice([0.1, 0.5, 0.9])))
+        made += [(vid, *r) for r in rows]
+        kept = [r for r in rows if r[3] >= 0.3]
+        for i, r in enumerate(kept):
+            near = kept[max(0, i - window // 2) : i + window // 2 + 1]
+            wanted.append((vid, r[0], sum(x[1] for x in near) / len(near), sum(x[2] for x in near) / len(near)))
+    found = tracks.smooth(spark.createDataFrame(made, "vid int, t int, cx double, cy double, conf double").repartition(3), window, stretch)
+    assert sorted(tuple(r) for r in found.collect()) == [pytest.approx(w) for w in wanted]
+
+
+@pytest.mark.parametrize("stretch", [1, 9, 10_000])
+def test_nearest_by_stretches(spark, stretch):
+    rng = random.Random(5)
+    track = [(v, t, float(t), -float(t)) for v in range(3) for t in sorted(rng.sample(range(200), 25))] + [(7, 50, 1.0, 2.0)]
+    times = [(v, t) for v in (0, 1, 2, 7, 9) for t in rng.sample(range(-30, 260), 40)]
+    wanted = []
+    for v, t in times:
+        best = min((abs(p[1] - t), p[1]) for p in track if p[0] == v) if any(p[0] == v for p in track) else (None, None)
+        wanted.append((v, t, best[1]))
+    found = tracks.nearest(spark.createDataFrame(times, "vid int, t int").repartition(3), spark.createDataFrame(track, "vid int, t int, cx double, cy double"), stretch)
+    assert sorted((r.vid, r.t, r.at) for r in found.collect()) == sorted(wanted, key=lambda r: r[:2])
