@@ -58,3 +58,10 @@ def test_replay(spark, block):
 
 def test_replay_of_nothing(spark):
     assert history.replay(spark.createDataFrame([], "clip_id string, seq long, kind string, state long")).collect() == []
+
+
+def test_pieces_are_as_many_as_clips_and_tasks(spark):
+    log = spark.range(30_000).selectExpr("id % 40 AS clip_id", "id * 1000 AS seq", "if(id % 3 = 0, 'undo', 'edit') AS kind", "id AS state").repartition(4)
+    found = history.pieces(log, block=2_000)
+    assert found.count() <= 40 + found.rdd.getNumPartitions()
+    assert history.replay(log, block=2_000).count() == 40
