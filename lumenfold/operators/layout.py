@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The most glyphs of a font's table; they become part of the plan.
 MOST_GLYPHS = 65_536
+#: Words whose widths a task keeps at hand.
+MOST_FORMS = 65_536
+BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 #: What is left below a caption without an anchor, in pixels.
 MARGIN = 40
 
@@ -24,23 +34,39 @@ def caption_layout(captions: DataFrame, glyphs: dict[str, float], size: tuple[in
 
     A line is centred in ``size`` (width, height), with a blank between words; signs without a glyph are ``missing`` wide. Its middle
     stands at ``anchor``, down to whole pixels; without one it keeps MARGIN from the bottom. ``active`` is the place of the lit
-    word, or null. Captions without words have no rows. A caption's words are one array, so nothing is shuffled.
+    word, or null. Captions without words have no rows. A word's width is added up once a task while it is among its MOST_FORMS
+    latest words; nothing is shuffled.
     """
-    widths = F.create_map(*(F.lit(x) for pair in glyphs.items() for x in pair)) if glyphs else F.create_map(F.lit(""), F.lit(missing))
-
-    def width(text: Column) -> Column:
-        signs = F.filter(F.split(text, ""), lambda c: c != "")
-        return F.aggregate(signs, F.lit(0.0), lambda total, c: total + F.coalesce(F.try_element_at(widths, c), F.lit(float(missing))))
-
-    blank = F.lit(glyphs.get(" ", float(missing)))
-    words = F.filter(F.split("text", r"[ \t\n\r\f\u000b]+"), lambda w: w != "")
-    rows = captions.withColumn("_w", F.transform(words, lambda w: F.struct(w.alias("word"), width(w).alias("width")))).where(F.size("_w") > 0)
-    total = F.aggregate("_w", F.lit(0.0), lambda s, w: s + w["width"]) + blank * (F.size("_w") - 1)
-    rows = rows.withColumn("_x", (F.lit(size[0]) - total) / 2)
-    start = F.struct(F.col("_x").alias("next"), F.expr("cast(array() as array<double>)").alias("xs"))
-    placed = F.aggregate("_w", start, lambda s, w: F.struct((s["next"] + w["width"] + blank).alias("next"), F.concat(s["xs"], F.array(s["next"])).alias("xs")), lambda s: s["xs"])
+    schema = captions.schema
+    out = StructType([schema["vid"], schema["index"], *StructType.fromDDL("at int, word string, x double, y double, width double, active boolean")])
+    arrow = to_arrow_schema(out)
+    blank, unknown = glyphs.get(" ", float(missing)), float(missing)
+
+    def added(word: str) -> float:
+        total = 0.0
+        for sign in word:
+            total += glyphs.get(sign, unknown)
+        return total
+
+    def placed(text: str, width: Callable[[str], float]) -> Iterator[tuple[str, float, float]]:
+        words = [(w, width(w)) for w in BLANKS.split(text) if w]
+        total = 0.0
+        for _, wide in words:
+            total += wide
+        x = (size[0] - (total + blank * (len(words) - 1))) / 2
+        for w, wide in words:
+            yield w, x, wide
+            x = x + wide + blank
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = lru_cache(MOST_FORMS)(added)
+        for batch in batches:
+            rows, nth, word, xs, wide, lit = [], [], [], [], [], []
+            for i, (text, active) in enumerate(zip(batch.column("text").to_pylist(), batch.column("active").to_pylist())):
+                for at, (w, x, width_) in enumerate(placed(text or "", width)):
+                    rows.append(i), nth.append(at), word.append(w), xs.append(x), wide.append(width_), lit.append(at == active)
+            vid, index, y = (batch.column(c).take(pa.array(rows, pa.int64())) for c in ("vid", "index", "y"))
+            yield pa.RecordBatch.from_arrays([vid, index, pa.array(nth, pa.int32()), pa.array(word, pa.string()), pa.array(xs, pa.float64()), y, pa.array(wide, pa.float64()), pa.array(lit, pa.bool_())], schema=arrow)
+
     y = F.when(F.col("anchor").isNull(), F.lit(float(size[1] - height - MARGIN))).otherwise((F.col("anchor") - height / 2).cast("int").cast("double"))
-    rows = rows.withColumn("_xs", placed).withColumn("y", y)
-    rows = rows.select("vid", "index", "active", "y", "_xs", F.posexplode("_w").alias("at", "w"))
-    x = F.element_at("_xs", F.col("at") + 1)
-    return rows.select("vid", "index", "at", "w.word", x.alias("x"), "y", "w.width", F.coalesce(F.col("at") == F.col("active"), F.lit(False)).alias("active"))
+    return captions.select("vid", "index", "text", F.col("active").cast("bigint").alias("active"), y.alias("y")).mapInArrow(drawn, out)

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lumenfold.operators import tracks, words
+from lumenfold.operators import exports, segments, tracks, words
 
 
 def loop_ema(rows, alpha=0.3, hold=2.0):
@@ -131,3 +132,31 @@ def test_frames_of_listed_words_move_nothing(spark):
 def test_times_are_rounded_half_up():
     times = np.array([1 / 32, 3 / 32, 0.00005, 2.00015, 1.23456789, 0.0])
     assert list(words._rounded(times)) == [0.0313, 0.0938, 0.0001, 2.0002, 1.2346, 0.0]
+
+
+def test_listed_captions_are_those_of_rows_and_move_nothing(spark):
+    listed = transcripts(spark, ["a", "b", "c", "d"], ["x"], [f"w{i}" for i in range(9)])
+    for made in (words.caption_chunks, words.karaoke_spans, words.full_text):
+        found = made(listed)
+        assert not shuffled(found)
+        assert sorted(found.collect()) == sorted(made(as_rows(listed)).collect())
+    listed = listed.withColumn("words", F.transform("words", lambda w: w.withField("start", w["start"] / 1000.0).withField("end", w["end"] / 1000.0)))
+    for kind in ("srt", "vtt"):
+        found = exports.caption_file(listed.select("vid", words.listed_chunks(3).alias("captions")), kind)
+        assert not shuffled(found)
+        assert sorted(found.collect()) == sorted(exports.caption_file(words.caption_chunks(as_rows(listed)), kind).collect())
+
+
+def test_listed_windows_are_those_of_rows_and_move_nothing(spark):
+    listed = transcripts(spark, ["a", "bb?", "ccc", "d"], ["x"])
+    made = [(0, 0, 0, 1000), (0, 1, 500, 1500), (0, 2, 90_000, 91_000), (1, 0, 0, 60_000)]
+    windows = spark.createDataFrame(made, "vid long, idx long, start long, end long")
+    lists = windows.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("idx", "start", "end"))).alias("windows"))
+    videos = listed.join(lists, "vid").withColumn("rms", F.transform("words", lambda w: F.length(w["word"]).cast("double"))).localCheckpoint()
+    found = segments.listed_windows(videos)
+    assert not shuffled(found)
+    rows = as_rows(listed)
+    wanted = segments.words_in(windows, rows)
+    assert sorted(found.select(*wanted.columns).collect()) == sorted(wanted.collect())
+    loud = segments.audio_features(windows, rows.select("vid", F.col("start").alias("t"), F.length("word").cast("double").alias("rms")))
+    assert sorted(segments.engagement(found).select(*loud.columns).collect()) == sorted(loud.collect())
