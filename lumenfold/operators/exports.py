@@ -57,23 +57,38 @@ def copies(clips: DataFrame, folder: str) -> DataFrame:
     return c.select(F.col("output_path").alias("source"), F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_extract("output_path", r"([^/]*)$", 1)).alias("target"))
 
 
+def _srt_block(index: Column, start: Column, end: Column, text: Column) -> Column:
+    return F.concat(index.cast("string"), F.lit("\n"), srt_time(start), F.lit(" --> "), srt_time(end), F.lit("\n"), text, F.lit("\n"))
+
+
+def _vtt_block(index: Column, start: Column, end: Column, text: Column) -> Column:
+    return F.concat(vtt_time(start), F.lit(" --> "), vtt_time(end), F.lit("\n"), text, F.lit("\n"))
+
+
+_FIELDS = ("index", "start", "end", "text")
+
+
 def srt_blocks(captions: DataFrame) -> DataFrame:
-    block = F.concat(F.col("index").cast("string"), F.lit("\n"), srt_time("start"), F.lit(" --> "), srt_time("end"), F.lit("\n"), F.col("text"), F.lit("\n"))
-    return captions.select("vid", "index", block.alias("value"))
+    return captions.select("vid", "index", _srt_block(*map(F.col, _FIELDS)).alias("value"))
 
 
 def vtt_blocks(captions: DataFrame) -> DataFrame:
-    block = F.concat(vtt_time("start"), F.lit(" --> "), vtt_time("end"), F.lit("\n"), F.col("text"), F.lit("\n"))
-    return captions.select("vid", "index", block.alias("value"))
+    return captions.select("vid", "index", _vtt_block(*map(F.col, _FIELDS)).alias("value"))
 
 
 def caption_file(captions: DataFrame, kind: str = "srt") -> DataFrame:
-    """(vid, content): one caption file a video, as a row, which is as long as the file."""
+    """(vid, content): one caption file a video, as a row, which is as long as the file.
+
+    Captions are rows, or listed in order: ``captions``, an array of structs of the same fields, which is written where it lies.
+    """
     if kind not in ("srt", "vtt"):
         raise ValueError(f"Unsupported format: {kind}")
+    head = F.lit("WEBVTT\n\n" if kind == "vtt" else "")
+    if "captions" in captions.columns:
+        block = _srt_block if kind == "srt" else _vtt_block
+        return captions.select("vid", F.concat(head, F.array_join(F.transform("captions", lambda c: block(*(c[f] for f in _FIELDS))), "\n")).alias("content"))
     blocks = srt_blocks(captions) if kind == "srt" else vtt_blocks(captions)
     listed = F.transform(F.sort_array(F.collect_list(F.struct("index", "value"))), lambda b: b["value"])
-    head = F.lit("WEBVTT\n\n" if kind == "vtt" else "")
     return blocks.groupBy("vid").agg(F.concat(head, F.array_join(listed, "\n")).alias("content"))
 
 

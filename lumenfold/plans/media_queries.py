@@ -11,7 +11,7 @@ from lumenfold.functions import text as T
 from lumenfold.functions import transitions
 from lumenfold.operators import captions, catalog, events, exports, library, metrics, segments, sentiment, timeline, words
 from lumenfold.plans import views as V
-from lumenfold.plans.word_queries import CHUNKS, seconds
+from lumenfold.plans.word_queries import CHUNKS, captions_of
 from lumenfold.registry import query
 from lumenfold.sources import table
 
@@ -44,12 +44,12 @@ _READ = f"""SELECT vid, CAST("index" AS INTEGER) AS "index", CAST("start" AS DOU
 
 @query("s8_k7_read_srt", _READ)
 def read_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captions.parse_captions(exports.caption_file(words.caption_chunks(seconds(spark, sf_dir), 3), "srt"))
+    return captions.parse_captions(exports.caption_file(captions_of(spark, sf_dir), "srt"))
 
 
 @query("s8_k7_read_vtt", _READ)
 def read_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captions.parse_captions(exports.caption_file(words.caption_chunks(seconds(spark, sf_dir), 3), "vtt"))
+    return captions.parse_captions(exports.caption_file(captions_of(spark, sf_dir), "vtt"))
 
 
 @query("f21_upper_captions", f"""SELECT vid, "index", replace(upper(text), 'ẞ', 'SS') AS text FROM ({CHUNKS})""")
