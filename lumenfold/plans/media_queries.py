@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
@@ -21,11 +21,12 @@ _NOW = "TIMESTAMP '1997-06-01'"
 
 @query("s4_flat_transcripts", f"WITH {V.WORDS} SELECT vid, CAST(pos // 10 AS INTEGER) AS seg, CAST(pos % 10 AS INTEGER) AS at, word, \"start\", \"end\" FROM words")
 def flat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = V.words(spark, sf_dir).withColumn("seg", F.floor(F.col("pos") / 10))
-    inner = F.struct("pos", F.concat(F.lit(" "), "word", F.lit("  ")).alias("word"), "start", "end")
-    per = w.groupBy("vid", "seg").agg(F.sort_array(F.collect_list(inner)).alias("words"))
-    nested = per.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("seg", "words"))).alias("segments"))
-    return words.flatten_transcript(nested)
+    def segment(seg: Column) -> Column:
+        inner = F.transform(F.slice("words", (seg * 10 + 1).cast("int"), 10), lambda w: F.struct(w["pos"].alias("pos"), F.concat(F.lit(" "), w["word"], F.lit("  ")).alias("word"), w["start"].alias("start"), w["end"].alias("end")))
+        return F.struct(seg.alias("seg"), inner.alias("words"))
+
+    segments = F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((F.size("words") - 1) / 10)), segment)
+    return words.flatten_transcript(V.transcripts(spark, sf_dir).select("vid", segments.alias("segments")))
 
 
 _INFO = """CASE p_partkey % 4 WHEN 0 THEN '{"title":"t"}' WHEN 1 THEN '{"chapters":null}' WHEN 2 THEN '{"chapters":[]}'
