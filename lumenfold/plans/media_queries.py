@@ -55,7 +55,7 @@ def read_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f21_upper_captions", f"""SELECT vid, "index", replace(upper(text), 'ẞ', 'SS') AS text FROM ({CHUNKS})""")
 def upper_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captions.upper_captions(words.caption_chunks(V.words(spark, sf_dir), 3)).select("vid", "index", "text")
+    return captions.upper_captions(words.caption_chunks(V.transcripts(spark, sf_dir), 3)).select("vid", "index", "text")
 
 
 _FILES = "SELECT n_nationkey AS seq, '/lib/' || lower(n_name) || CASE WHEN n_nationkey % 4 = 0 THEN '.MP4' WHEN n_nationkey % 4 = 1 THEN '.mov' ELSE '.mp4' END AS path, lower(n_name) AS stem FROM nation"
