@@ -6,6 +6,7 @@ State lives in the state store of the session, which must be the one on disk
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -36,55 +37,52 @@ _FOLD = ", ".join([_nested(_JOB), f"chapters: {_CHAPTERS}", *(f"{t}: boolean" fo
 #: Messages of a job: an event (type, chapter_index) or its state as of ``seq`` (job, chapters).
 MESSAGES = f"job_id long, seq long, type string, chapter_index int, job struct<{_nested(_JOB)}>, chapters {_CHAPTERS}"
 _FIELDS = [x.split(" ")[0] for x in _JOB.split(", ")]
+#: Folds are read whole or not at all: texts of any length, and an error instead of a null.
+_READ = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
 _CHAPTER_FIELDS = [x.split(" ")[0] for x in _CHAPTER.split(", ")]
 
 
 class StageFold(StatefulProcessor):
-    """Folds a job's messages: its newest state, its chapters by index, the event types of each, and running counts of cleared stages.
+    """Folds a job's messages: its newest state, its chapters by index, and the event types of each; what goes out is the fold before and after the batch.
 
-    A message touches its own chapter only; what goes out is the fold before and after the batch.
+    States and folds are JSON texts, since the time of a job goes into calls to the state store and into fields that are
+    handed over one by one: a batch reads a job's two texts once, whatever it holds of that job, and writes those it has changed.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState("job", f"seq long, {_JOB}")
-        self.seen = handle.getValueState("seen", "bits long, " + ", ".join(f"n_{s} int" for s in C.CHAPTER_STAGES))
-        self.chapters = handle.getMapState("chapters", "chapter_index int", _CHAPTER)
-        self.sent = handle.getMapState("sent", "chapter_index int", "bits long")
+        self.job = handle.getValueState("job", "state string")
+        self.seen = handle.getValueState("seen", "sent string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = self._fold()
-        bits, *counts = self.seen.get() if self.seen.exists() else (0, *([0] * len(_NEEDS)))
+        job, seen = ((json.loads(found[0]) if found is not None else None) for found in (self.job.get(), self.seen.get()))
+        before = self._fold(job, seen)
+        seen = seen or {"bits": 0, "chapters": {}}
+        chapters, had, newer = seen["chapters"], (seen["bits"], dict(seen["chapters"])), False
         for r in rows:
-            if r.job is not None:
-                self._state(r)
+            if r.state is not None and (job is None or r.seq >= job["seq"]):
+                listed = job["chapters"] if job is not None else {}
+                job, newer = json.loads(r.state) | {"seq": r.seq}, True
+                job["chapters"] = listed | {str(c["chapter_index"]): c for c in job.get("chapters") or []}
             bit = _BIT.get(r.type, 0)
-            bits |= bit
+            seen["bits"] |= bit
             if bit and r.chapter_index is not None:
-                at = (r.chapter_index,)
-                had = self.sent.getValue(at)[0] if self.sent.containsKey(at) else 0
-                if had | bit != had:
-                    self.sent.updateValue(at, (had | bit,))
-                    counts = [n + ((had | bit) & need == need and had & need != need) for n, need in zip(counts, _NEEDS)]
-        self.seen.update((bits, *counts))
-        after = self._fold()
+                at = str(r.chapter_index)
+                chapters[at] = chapters.get(at, 0) | bit
+        if newer:
+            self.job.update((json.dumps(job),))
+        if had != (seen["bits"], chapters):
+            self.seen.update((json.dumps(seen),))
+        after = self._fold(job, seen)
         if after is not None and after != before:
-            yield Row(job_id=key[0], before=before, after=after)
+            yield Row(job_id=key[0], before=None if before is None else json.dumps(before), after=json.dumps(after))
 
-    def _state(self, r: Row) -> None:
-        if not self.job.exists() or r.seq >= self.job.get()[0]:
-            self.job.update((r.seq, *(r.job[f] for f in _FIELDS)))
-            for c in r.chapters or []:
-                self.chapters.updateValue((c["chapter_index"],), tuple(c[f] for f in _CHAPTER_FIELDS))
-
-    def _fold(self) -> Row | None:
-        if not self.job.exists():
+    def _fold(self, job: dict | None, seen: dict | None) -> dict | None:
+        if job is None:
             return None
-        bits, *counts = self.seen.get() if self.seen.exists() else (0, *([0] * len(_NEEDS)))
-        chapters = sorted(((k[0], *v) for k, v in self.chapters.iterator()), key=lambda c: c[0])
-        _, *job = self.job.get()
-        job = [list(v) if f == "skipped" and v is not None else v for f, v in zip(_FIELDS, job)]
-        listed = [Row(chapter_index=c[0], **dict(zip(_CHAPTER_FIELDS, c[1:]))) for c in chapters]
-        return Row(**dict(zip(_FIELDS, job)), chapters=listed, **{t: bool(bits & b) for t, b in _BIT.items()}, **{f"n_{s}": n for s, n in zip(C.CHAPTER_STAGES, counts)})
+        bits, sent = (seen["bits"], seen["chapters"].values()) if seen is not None else (0, ())
+        counts = {f"n_{s}": sum(b & need == need for b in sent) for s, need in zip(C.CHAPTER_STAGES, _NEEDS)}
+        listed = sorted(job["chapters"].values(), key=lambda c: c["chapter_index"])
+        return {f: job.get(f) for f in _FIELDS} | {"chapters": listed} | {t: bool(bits & b) for t, b in _BIT.items()} | counts
 
     def close(self) -> None:
         pass
@@ -113,8 +111,10 @@ def stage_changes(stream: DataFrame) -> DataFrame:
     A job's stages all come with its first state. Folded over batches by (job_id, stage), the changes are what
     ``ops.stage_states`` gives for all states and events so far.
     """
-    out = f"job_id long, before struct<{_FOLD}>, after struct<{_FOLD}>"
-    folds = stream.groupBy("job_id").transformWithState(StageFold(), out, "Update", "None")
+    state = F.when(F.col("job").isNotNull(), F.to_json(F.struct("job.*", "chapters")))
+    told = stream.select("job_id", "seq", "type", "chapter_index", state.alias("state")).where(F.col("type").isin(*_TYPES) | F.col("state").isNotNull())
+    texts = told.groupBy("job_id").transformWithState(StageFold(), "job_id long, before string, after string", "Update", "None")
+    folds = texts.select("job_id", *(F.from_json(c, f"struct<{_FOLD}>", _READ).alias(c) for c in ("before", "after")))
     both = ops.with_stages(ops.with_stages(folds, "before", "was"), "after", "now")
     changed = F.filter("now", lambda s: F.col("was").isNull() | ~F.element_at("was", s["position"] + 1).eqNullSafe(s))
     return both.select("job_id", F.inline(changed))

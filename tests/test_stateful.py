@@ -5,6 +5,7 @@ import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lumenfold.functions import constants as C
@@ -128,3 +129,47 @@ def test_keep_alive(rocks, tmp_path):
         stream.stop()
     assert pings.count(2) >= 2 and set(pings[-6:]) == {1} and 3 not in pings
     assert stateful.keep_alive(spark.read.parquet(path), 0).count() == 0
+
+
+class Calls:
+    """Stands for the handle and for each of its states; counts what is asked of them."""
+
+    def __init__(self):
+        self.n, self.value, self.map = 0, None, {}
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def _said(self, answer=None):
+        self.n += 1
+        return answer
+
+    def exists(self):
+        return self._said(self.value is not None)
+
+    def get(self):
+        return self._said(self.value)
+
+    def update(self, value):
+        self._said()
+
+    def containsKey(self, key):
+        return self._said(key in self.map)
+
+    def getValue(self, key):
+        return self._said(self.map.get(key))
+
+    def updateValue(self, key, value):
+        self._said(self.map.update({key: value}))
+
+    def iterator(self):
+        return self._said(iter(self.map.items()))
+
+
+def test_calls_to_the_store_dont_grow_with_a_jobs_events():
+    calls, fold = Calls(), stateful.StageFold()
+    fold.init(calls)
+    rows = [Row(seq=i, type=C.EVENT_TYPES[i % len(C.EVENT_TYPES)], chapter_index=i % 50, job=None, chapters=None, state=None) for i in range(2000)]
+    assert list(fold.handleInputRows((1,), iter(rows), None)) == [] and calls.n <= 4
