@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import constants as C
 from lumenfold.functions import text
+from lumenfold.sources import dealt
 
 
 def by_key(rows: DataFrame, key: str, value) -> DataFrame:
@@ -82,12 +83,12 @@ def with_clips(jobs: DataFrame, clips: DataFrame) -> DataFrame:
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``current`` with ``changes`` over it: the row of a key that is last by ``order`` wins.
 
-    One aggregate over both, with map-side combine; write the result to a new path.
+    One aggregate over both, dealt out by key first, so that rows are sorted once, in small parts; write the result to a new path.
     """
     rest = [c for c in current.columns if c not in keys]
     now = current.select(*keys, F.struct(F.lit(0).alias("new"), F.lit(None).cast(changes.schema[order].dataType).alias("at")).alias("turn"), F.struct(*rest).alias("row"))
     new = changes.select(*keys, F.struct(F.lit(1).alias("new"), F.col(order).alias("at")).alias("turn"), F.struct(*rest).alias("row"))
-    return now.unionByName(new).groupBy(*keys).agg(F.max_by("row", "turn").alias("row")).select(*keys, "row.*")
+    return dealt(now.unionByName(new), *keys).groupBy(*keys).agg(F.max_by("row", "turn").alias("row")).select(*keys, "row.*")
 
 
 def apply_edits(edits: DataFrame, requests: DataFrame) -> DataFrame:

@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` to as many tasks as the session's shuffles have at most.
+
+    The aggregate that follows sorts or hashes nothing before the shuffle, and a task's share isn't merged with others: Spark
+    joins parts up to 64 MB, which are gigabytes where they are sorted. For keys that repeat little.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def phrases(spark: SparkSession, path: str) -> list[str]:
     """A JSON list of phrases, in order, such as trends; an error beyond MOST_PHRASES."""
     listed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("phrase"))

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import timeline
+from conftest import SF_SMALL
+
+from lumenfold.operators import catalog, timeline
+from lumenfold.plans import views as V
 
 
 def plan(frame):
@@ -15,3 +18,13 @@ def test_filled_kinds_parse_timelines_once(spark):
     before = plan(made)
     assert "Join" not in before and before.count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, made.collect())) == [(1, "caption", 0), (1, "text-overlay", 0), (1, "video", 3), (2, "caption", 0), (2, "text-overlay", 0), (2, "video", 0)]
+
+
+def test_clips_and_upserts_are_dealt_out_before_they_are_sorted(spark):
+    """Nothing is sorted before a shuffle, whatever a file holds, and small parts aren't merged."""
+    changes = spark.createDataFrame([(1, "b", 2), (1, "c", 3), (2, "a", 1)], "k long, t string, at long")
+    for made in (V.lines(spark, SF_SMALL), catalog.upsert(spark.createDataFrame([(1, "a"), (3, "d")], "k long, t string"), changes, ["k"], "at")):
+        text = plan(made)
+        assert "REPARTITION_BY_NUM" in text and text.count("Exchange") == 1
+        assert "Sort" not in text[text.index("Exchange") :]
+    assert sorted(map(tuple, made.collect())) == [(1, "c"), (2, "a"), (3, "d")]
