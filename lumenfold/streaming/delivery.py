@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import datetime
 
@@ -97,13 +98,31 @@ def save_edits(edits: VersionedTable, requests: DataFrame, expected: int | None
     """Requests(clip_id, seq, version, ...) into the stored edits(clip_id, version, ...); gives (clip_id, seq, outcome, version) of each.
 
     Requests of one clip go by seq. A version of the table that this call hasn't read is a StaleWriter: read and try again.
+    Requests are made once and folded once: the table's new parts and the outcomes are both read from the stored fold, which
+    stays beside the table, in ``outcomes``, for as long as outcomes are read.
     """
     m = edits.manifest()
     before = m.version if expected is None else expected
-    names = [f.name for f in edits.read(before).schema]
+    if before != m.version:
+        raise StaleWriter(f"version {m.version} instead of {before}")
+    name = uuid.uuid4().hex
+    asked, folded = f"requests/{name}", f"outcomes/{name}"
+    stored = edits.read(before).schema
+    requests = requests.select("clip_id", "seq", F.col("version").cast("bigint"), *(F.col(f.name).cast(f.dataType) for f in stored if f.name not in ("clip_id", "version")))
+    requests.write.parquet(f"{edits.root}/{asked}")
 
     def merged(now: DataFrame, new: DataFrame) -> DataFrame:
-        return catalog.fold_edits(now, new).select(*(F.col(c) if c in ("clip_id", "version") else F.col("body")[c].alias(c) for c in names))
-
-    edits.rewrite(requests, merged, expected=before)
-    return catalog.fold_edits(edits.read(before), requests).where("outcomes IS NOT NULL").select("clip_id", F.inline("outcomes"))
+        catalog.fold_edits(now, new).write.parquet(f"{edits.root}/{folded}")
+        done = edits.spark.read.parquet(f"{edits.root}/{folded}")
+        return done.select(*(F.col(c) if c in ("clip_id", "version") else F.col("body")[c].alias(c) for c in now.columns))
+
+    try:
+        edits.rewrite(edits.spark.read.schema(requests.schema).parquet(f"{edits.root}/{asked}"), merged, expected=before)
+    except BaseException:
+        edits.files.delete(folded)
+        raise
+    finally:
+        edits.files.delete(asked)
+    if not edits.files.names(folded):  # no requests
+        return catalog.fold_edits(edits.read(before), requests.limit(0)).where("outcomes IS NOT NULL").select("clip_id", F.inline("outcomes"))
+    return edits.spark.read.parquet(f"{edits.root}/{folded}").where("outcomes IS NOT NULL").select("clip_id", F.inline("outcomes"))

@@ -6,6 +6,8 @@ from conftest import SF_SMALL
 
 from lumenfold.operators import catalog, timeline
 from lumenfold.plans import views as V
+from lumenfold.storage import VersionedTable
+from lumenfold.streaming import delivery
 
 
 def plan(frame):
@@ -28,3 +30,22 @@ def test_clips_and_upserts_are_dealt_out_before_they_are_sorted(spark):
         assert "REPARTITION_BY_NUM" in text and text.count("Exchange") == 1
         assert "Sort" not in text[text.index("Exchange") :]
     assert sorted(map(tuple, made.collect())) == [(1, "c"), (2, "a"), (3, "d")]
+
+
+def test_requests_are_made_once(spark, tmp_path):
+    """Also where a request has no text of its own, and where there is none at all."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(seq):
+        made.add(1)
+        return None if seq % 2 else seq
+
+    rows = spark.range(40).selectExpr("id AS clip_id", "id AS version", "'old' AS timeline")
+    edits = VersionedTable.create(spark, f"file://{tmp_path}/edits", rows, ["clip_id"], buckets=4)
+    asked = spark.range(50).selectExpr("id AS clip_id", "id + 100 AS seq").withColumn("version", F.udf(count, "long")("seq")).withColumn("timeline", F.lit(None))
+    found = delivery.save_edits(edits, asked)
+    wanted = [(i, i + 100, *(("accepted", 1) if i >= 40 else ("conflict", i) if i % 2 == 0 else ("accepted", i + 1))) for i in range(50)]
+    assert sorted(map(tuple, found.collect())) == wanted and made.value == 50
+    assert sorted((r.clip_id, r.version) for r in edits.read().collect()) == [(w[0], w[3]) for w in wanted]
+    assert delivery.save_edits(edits, asked.limit(0)).collect() == [] and edits.read().count() == 50
+    assert not edits.files.names("requests")
