@@ -1,7 +1,7 @@
 """Streams that keep state of their own for each job: stage states as they change, and keep-alives of idle jobs.
 
 State lives in the state store of the session, which must be the one on disk
-(``ROCKS``): a job's state is a few rows, and a task holds one job's rows at a time.
+(``ROCKS``): a job's state is a few rows or texts, and a task holds those of one key at a time.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ _FOLD = ", ".join([_nested(_JOB), f"chapters: {_CHAPTERS}", *(f"{t}: boolean" fo
 #: Messages of a job: an event (type, chapter_index) or its state as of ``seq`` (job, chapters).
 MESSAGES = f"job_id long, seq long, type string, chapter_index int, job struct<{_nested(_JOB)}>, chapters {_CHAPTERS}"
 _FIELDS = [x.split(" ")[0] for x in _JOB.split(", ")]
+#: Of a job's number, the last bits that differ among jobs of one key.
+BITS = 4
 #: Folds are read whole or not at all: texts of any length, and an error instead of a null.
 _READ = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
 _CHAPTER_FIELDS = [x.split(" ")[0] for x in _CHAPTER.split(", ")]
@@ -45,36 +47,44 @@ _CHAPTER_FIELDS = [x.split(" ")[0] for x in _CHAPTER.split(", ")]
 class StageFold(StatefulProcessor):
     """Folds a job's messages: its newest state, its chapters by index, and the event types of each; what goes out is the fold before and after the batch.
 
-    States and folds are JSON texts, since the time of a job goes into calls to the state store and into fields that are
-    handed over one by one: a batch reads a job's two texts once, whatever it holds of that job, and writes those it has changed.
+    Jobs whose numbers differ in the last BITS bits only share a key, and states and folds are JSON texts, since the time of a
+    job goes into calls to the state store and into what is handed over key by key: a batch reads a key's two texts once, whatever
+    it holds of those jobs, and writes those it has changed. So a key never holds more than 2 ** BITS jobs.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState("job", "state string")
+        self.jobs = handle.getValueState("jobs", "states string")
         self.seen = handle.getValueState("seen", "sent string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        job, seen = ((json.loads(found[0]) if found is not None else None) for found in (self.job.get(), self.seen.get()))
-        before = self._fold(job, seen)
-        seen = seen or {"bits": 0, "chapters": {}}
-        chapters, had, newer = seen["chapters"], (seen["bits"], dict(seen["chapters"])), False
+        jobs, seen = (json.loads(found[0]) if found is not None else {} for found in (self.jobs.get(), self.seen.get()))
+        before, newer, more = {}, False, False
         for r in rows:
-            if r.state is not None and (job is None or r.seq >= job["seq"]):
-                listed = job["chapters"] if job is not None else {}
+            of = str(r.job_id)
+            if of not in before:
+                before[of] = self._fold(jobs.get(of), seen.get(of))
+            if r.state is not None and (of not in jobs or r.seq >= jobs[of]["seq"]):
+                listed = jobs[of]["chapters"] if of in jobs else {}
                 job, newer = json.loads(r.state) | {"seq": r.seq}, True
-                job["chapters"] = listed | {str(c["chapter_index"]): c for c in job.get("chapters") or []}
+                jobs[of] = job | {"chapters": listed | {str(c["chapter_index"]): c for c in job.get("chapters") or []}}
             bit = _BIT.get(r.type, 0)
-            seen["bits"] |= bit
-            if bit and r.chapter_index is not None:
-                at = str(r.chapter_index)
-                chapters[at] = chapters.get(at, 0) | bit
+            if bit:
+                sent = seen.setdefault(of, {"bits": 0, "chapters": {}})
+                at = str(r.chapter_index) if r.chapter_index is not None else None
+                had = sent["chapters"].get(at, 0)
+                if sent["bits"] | bit != sent["bits"] or (at is not None and had | bit != had):
+                    more = True
+                    sent["bits"] |= bit
+                    if at is not None:
+                        sent["chapters"][at] = had | bit
         if newer:
-            self.job.update((json.dumps(job),))
-        if had != (seen["bits"], chapters):
+            self.jobs.update((json.dumps(jobs),))
+        if more:
             self.seen.update((json.dumps(seen),))
-        after = self._fold(job, seen)
-        if after is not None and after != before:
-            yield Row(job_id=key[0], before=None if before is None else json.dumps(before), after=json.dumps(after))
+        for of, was in before.items():
+            now = self._fold(jobs.get(of), seen.get(of))
+            if now is not None and now != was:
+                yield Row(job_id=int(of), before=None if was is None else json.dumps(was), after=json.dumps(now))
 
     def _fold(self, job: dict | None, seen: dict | None) -> dict | None:
         if job is None:
@@ -113,7 +123,7 @@ def stage_changes(stream: DataFrame) -> DataFrame:
     """
     state = F.when(F.col("job").isNotNull(), F.to_json(F.struct("job.*", "chapters")))
     told = stream.select("job_id", "seq", "type", "chapter_index", state.alias("state")).where(F.col("type").isin(*_TYPES) | F.col("state").isNotNull())
-    texts = told.groupBy("job_id").transformWithState(StageFold(), "job_id long, before string, after string", "Update", "None")
+    texts = told.withColumn("jobs", F.shiftright("job_id", BITS)).groupBy("jobs").transformWithState(StageFold(), "job_id long, before string, after string", "Update", "None")
     folds = texts.select("job_id", *(F.from_json(c, f"struct<{_FOLD}>", _READ).alias(c) for c in ("before", "after")))
     both = ops.with_stages(ops.with_stages(folds, "before", "was"), "after", "now")
     changed = F.filter("now", lambda s: F.col("was").isNull() | ~F.element_at("was", s["position"] + 1).eqNullSafe(s))

@@ -171,5 +171,5 @@ class Calls:
 def test_calls_to_the_store_dont_grow_with_a_jobs_events():
     calls, fold = Calls(), stateful.StageFold()
     fold.init(calls)
-    rows = [Row(seq=i, type=C.EVENT_TYPES[i % len(C.EVENT_TYPES)], chapter_index=i % 50, job=None, chapters=None, state=None) for i in range(2000)]
-    assert list(fold.handleInputRows((1,), iter(rows), None)) == [] and calls.n <= 4
+    rows = [Row(job_id=i % 16, seq=i, type=C.EVENT_TYPES[i % len(C.EVENT_TYPES)], chapter_index=i % 50, job=None, chapters=None, state=None) for i in range(2000)]
+    assert list(fold.handleInputRows((0,), iter(rows), None)) == [] and calls.n <= 4
