@@ -5,15 +5,23 @@ dampen (those farther off less) or negate, and by "no" and "least"; what comes b
 after half as much again; exclamation and question marks push the sum on. s / sqrt(s^2 + 15) is the compound. The weights
 are those of the published rule set (Hutto and Gilbert, ICWSM 2014); its few whole idioms aren't part of this.
 
-The rules look at neighbours, so words are one window a text, in order; nothing but counts is carried along, and the lexicon
-is joined as a table.
+The rules look at neighbours. ``of_texts`` scores texts where they lie, many at a time, by a lexicon that each task holds
+(``held``). Where a lexicon is too large for that, ``compounds`` joins it as a table: words are one window a text, in order.
 """
 
 from __future__ import annotations
 
+import string
+from collections.abc import Mapping
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.words import rounded
+
 # The weights of the rules.
 BOOST, CAPITALS, NEGATION, NEVER_SO = 0.293, 0.733, -0.74, 1.25
 FARTHER = (1.0, 0.95, 0.9)
@@ -33,6 +41,17 @@ NEGATIONS = ("cannot", "neither", "never", "none", "nope", "nor", "not", "nothin
 NEGATED_VERBS = ("ai", "are", "ca", "could", "dare", "did", "do", "does", "had", "has", "have", "is", "might", "must", "need", "ought", "sha", "should", "was", "were", "wo", "would")
 NEGATORS = (*NEGATIONS, *(f"{v}nt" for v in NEGATED_VERBS))
 
+#: The most words of a lexicon that tasks hold, and bytes of text whose words are scored at a time.
+MOST_HELD, BATCH_BYTES = 200_000, 4 << 20
+
+# What the rules ask of a word, as bits.
+PRESENT, LISTED, UPPER, BOOSTS, DAMPENS, NEGATES, NO, OR, NEVER, SO, WITHOUT, DOUBT, LEAST, AT, BUT, KIND, OF = (1 << i for i in range(17))
+_ASKED = {
+    BOOSTS: BOOSTERS, DAMPENS: DAMPENERS, NEGATES: NEGATORS, NO: ("no",), OR: ("or", "nor"), NEVER: ("never",), SO: ("so", "this"), WITHOUT: ("without",), DOUBT: ("doubt",),
+    LEAST: ("least",), AT: ("at", "very"), BUT: ("but",), KIND: ("kind",), OF: ("of",),
+}
+_SIGNS = {w: sum(sign for sign, words in _ASKED.items() if w in words) for listed in _ASKED.values() for w in listed}
+
 BLANKS = r"[ \t\n\r\f]+"
 EDGES = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 
@@ -98,6 +117,81 @@ def compounds(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str =
     return sums.select(*keys, F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("s") / F.sqrt(F.col("s") * F.col("s") + NORM))), 4).alias("compound"))
 
 
+def held(lexicon: DataFrame) -> dict[str, float] | None:
+    """A lexicon(word, valence) for ``of_texts``; None where it has more than MOST_HELD words or a word twice, and must be joined."""
+    rows = lexicon.where("word IS NOT NULL AND valence IS NOT NULL").select("word", F.col("valence").cast("double")).limit(MOST_HELD + 1).toArrow()
+    found = dict(zip(*(c.to_pylist() for c in rows.columns)))
+    return found if len(found) == rows.num_rows <= MOST_HELD else None
+
+
+def of_texts(texts: pa.Array, lexicon: Mapping[str, float]) -> np.ndarray:
+    """``compounds`` of texts in a task, by a lexicon that it holds; NaN where a text has no word."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(texts)]
+    return np.concatenate([np.empty(0), *(_of_batch(texts.slice(a, b - a), lexicon) for a, b in zip(cuts, cuts[1:]) if b > a)])
+
+
+def _of_batch(texts: pa.Array, lexicon: Mapping[str, float]) -> np.ndarray:
+    """The rules for all words of some texts at once: each form of a word is looked up once, and neighbours are the places before and after."""
+    words = pc.split_pattern_regex(texts, BLANKS)
+    of, raw = pc.list_parent_indices(words).to_numpy(), words.flatten()
+    filled = pc.not_equal(raw, "")
+    of, forms = of[filled.to_numpy(zero_copy_only=False)], raw.filter(filled).dictionary_encode()
+    n = np.bincount(of, minlength=len(texts))
+    code, first = forms.indices.to_numpy(), np.cumsum(n) - n
+    signs, valences = np.zeros(len(forms.dictionary), np.int32), np.zeros(len(forms.dictionary))
+    for i, form in enumerate(forms.dictionary.to_pylist()):
+        bare = form.strip(string.punctuation)
+        token = bare if len(bare) > 2 else form
+        low = token.lower()
+        valence = lexicon.get(low)
+        if valence is not None:
+            valences[i] = valence
+        signs[i] = PRESENT | _SIGNS.get(low, 0) | (valence is not None and LISTED) | ("n't" in low and NEGATES) | (low != token and token.upper() == token and UPPER)
+    sign = signs[code]
+    capitals = np.bincount(of[(sign & UPPER) > 0], minlength=len(texts))
+    but = np.full(len(texts), -1)
+    turns = np.flatnonzero(sign & BUT)[::-1]
+    but[of[turns]] = turns
+
+    at = np.flatnonzero((sign & (LISTED | BOOSTS | DAMPENS)) == LISTED)
+    own, low, high = sign[at], first[of[at]], (first + n)[of[at]]
+
+    def near(step: int) -> np.ndarray:
+        """The signs of the word so far off, 0 beyond the text."""
+        there = at + step
+        return np.where((there >= low) & (there < high), sign[np.clip(there, 0, len(sign) - 1)], 0)
+
+    p, after = {k: near(-k) for k in (1, 2, 3)}, near(1)
+
+    def is_(k: int, which: int) -> np.ndarray:
+        return (p[k] & which) > 0
+
+    v, mixed = valences[code[at]], ((capitals > 0) & (capitals < n))[of[at]]
+    no = is_(1, NO) | is_(2, NO) | (is_(3, NO) & is_(1, OR))
+    v = np.where(no, v * NEGATION, np.where(((own & NO) > 0) & ((after & LISTED) > 0), 0.0, v))
+    loud = np.where(((own & UPPER) > 0) & mixed, CAPITALS, 0.0)
+    v = v + np.where(v > 0, loud, -loud)
+    none = np.zeros(len(at), bool)
+    so = {1: none, 2: is_(2, NEVER) & is_(1, SO), 3: is_(3, NEVER) & (is_(2, SO) | is_(1, SO))}
+    doubt = {1: none, 2: is_(2, WITHOUT) & is_(1, DOUBT), 3: is_(3, WITHOUT) & (is_(2, DOUBT) | is_(1, DOUBT))}
+    for k in p:
+        bare = (p[k] & (PRESENT | LISTED)) == PRESENT
+        sense = np.where(bare & is_(k, BOOSTS), BOOST, np.where(bare & is_(k, DAMPENS), -BOOST, 0.0)) * FARTHER[k - 1]
+        loud = np.where(bare & is_(k, BOOSTS | DAMPENS) & is_(k, UPPER) & mixed, CAPITALS * FARTHER[k - 1], 0.0)
+        factor = np.where(bare & so[k], NEVER_SO, np.where(bare & ~doubt[k] & is_(k, NEGATES), NEGATION, 1.0))
+        v = (v + np.where(v < 0, -sense, sense) + np.where(v > 0, loud, -loud)) * factor
+    v = np.where(is_(1, LEAST) & ((p[1] & LISTED) == 0) & ~is_(2, AT), v * NEGATION, v)
+    turn = but[of[at]]
+    v = v * np.where(turn < 0, 1.0, np.where(at < turn, 0.5, np.where(at > turn, 1.5, 1.0)))
+    scored = ((own & KIND) == 0) | ((after & OF) == 0)
+    s = np.bincount(of[at], np.where(scored, v, 0.0), len(texts))
+    bangs, asks = (pc.fill_null(pc.count_substring(texts, m), 0).to_numpy(zero_copy_only=False) for m in "!?")
+    push = np.minimum(bangs, MOST_EXCLAMATIONS) * EXCLAMATION + np.where(asks > 3, MANY_QUESTIONS, np.where(asks > 1, asks * QUESTION, 0.0))
+    s = s + np.where(s > 0, push, np.where(s < 0, -push, 0.0))
+    return np.where(n > 0, rounded(np.fmax(-1.0, np.fmin(1.0, s / np.sqrt(s * s + NORM)))), np.nan)
+
+
 def compounds_sql(source: str, keys: str) -> str:
     """The same as common table expressions of DuckDB over ``source``(keys, text) and lexicon(word, valence); the last is ``compounds``."""
 

@@ -4,9 +4,12 @@ import math
 import random
 import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lumenfold.operators import sentiment
+from lumenfold.operators import segments, sentiment
 
 LEXICON = {"good": 1.9, "great": 3.1, "bad": -2.5, "awful": -2.0, "no": -1.2, "kind": 2.4, "least": -0.5, "hope": 1.9, ":)": 2.0}
 UP = {"very": 0.293, "really": 0.293, "so": 0.293, "barely": -0.293, "somewhat": -0.293}
@@ -102,3 +105,43 @@ def test_random_sentences_against_the_loop(spark):
             assert i not in found
         else:
             assert found[i] == pytest.approx(loop(t), abs=6e-5), t
+
+
+@pytest.mark.parametrize("size", [1, 300, 4 << 20])
+def test_texts_in_a_task_against_the_loop(monkeypatch, size):
+    """The same rules where a task holds the lexicon, in batches of any size."""
+    monkeypatch.setattr(sentiment, "BATCH_BYTES", size)
+    rng = random.Random(12)
+    pool = [*LEXICON, *UP, *NOT, "but", "or", "nor", "this", "doubt", "of", "plain", "at", "Kind", "GREAT", "VERY", "NOT", "NO", "good,", "(bad)", "so!", "BUT", "Ümlaut", "(:"]
+    texts = [rng.choice([" ", "\n "]).join(rng.choice(pool) for _ in range(rng.randint(0, 14))) + rng.choice(["", "", "!", "!!!!!", "???", "????"]) for _ in range(600)]
+    texts += [t for a, b, _ in RULES for t in (a, b)] + ["", " \n", "!!!", "GOOD BAD", None]
+    found = sentiment.of_texts(pa.array(texts, pa.string()), LEXICON)
+    assert len(found) == len(texts)
+    for t, c in zip(texts, found):
+        assert c == pytest.approx(loop(t), abs=6e-5) if t and t.strip() else np.isnan(c), t
+    least = sentiment.of_texts(pa.array(["good", "least good", "at least good", "very least good"]), {"good": 1.9})
+    assert least[1] < 0 < least[0] == least[2] < least[3]
+    assert len(sentiment.of_texts(pa.array([], pa.string()), LEXICON)) == 0
+
+
+def test_flows_are_scored_where_their_text_lies(spark, monkeypatch):
+    """One exchange, no join, no window; a lexicon too large for a task, or with a word twice, is joined to the same result."""
+    rng = random.Random(13)
+    pool = [*LEXICON, *UP, *NOT, "but", "plain", "words", "Great", "GOOD"]
+    texts = ["".join(" ".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) + rng.choice(".!?") for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["", "ok.", "\n\n\n\n\n", None, "one sentence is good"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
+    held = segments.emotional_flows(frame, lexicon, ["id"])
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+    all_rows = segments.with_emotion(frame.withColumn("more", F.lit(1)), lexicon, ["id"])
+    assert all_rows.columns == ["id", "text", "more", "emotion"] and all_rows.count() == len(texts)
+    found = {r.id: r.emotion for r in held.collect()}
+    assert {i for i, t in enumerate(texts) if t and any(len(s.strip(" ")) > 3 and s.strip() for s in t.replace("!", ".").replace("?", ".").split("."))} == set(found)
+    assert found[len(texts) - 1] == 0.0
+    monkeypatch.setattr(sentiment, "MOST_HELD", len(LEXICON) - 1)
+    assert sentiment.held(lexicon) is None
+    joined = {r.id: r.emotion for r in segments.emotional_flows(frame, lexicon, ["id"]).collect()}
+    assert joined.keys() == found.keys() and all(joined[i] == pytest.approx(found[i], abs=1e-12) for i in found)
+    monkeypatch.undo()
+    assert sentiment.held(lexicon) == LEXICON and sentiment.held(lexicon.union(lexicon.limit(1))) is None
