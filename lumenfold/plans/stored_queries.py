@@ -109,6 +109,6 @@ def stage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions to one file a video, and read again."""
     made, path = words.caption_chunks(V.transcripts(spark, sf_dir, 1000.0), 3), new_folder(spark, "captions")
-    captions.save_captions(made, path, "vtt")
+    captions.save_captions(made, path, "vtt", spread=True)
     found = captions.read_files(spark, path)
     return found.select(F.regexp_extract("path", r"([0-9]+)\.vtt$", 1).cast("bigint").alias("vid"), "index", "start", "end", "text")

@@ -1,7 +1,9 @@
 """The caption data source: mixed folders, the rules of the column reader, round trips, failing tasks."""
 
 import os
+import pickle
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,40 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="come together"):
         apart.coalesce(1).write.format("captions").mode("append").save(path)
     assert sorted(os.listdir(path)) == ["0.srt", "1.srt", "2.srt"]
+
+
+def test_the_driver_is_told_of_folders_and_not_of_files(tmp_path, monkeypatch):
+    """What tasks report and what is planned stay as small however many files there are."""
+    writer = captions.CaptionWriter({"path": f"{tmp_path}/out", "kind": "vtt", "spread": "true"}, False)
+    names = [f"a-long-name-of-a-video-{i}" for i in range(3000) for _ in range(2)]
+    batch = pa.RecordBatch.from_pydict({"name": names, "index": [1, 2] * 3000, "start": [0.0, 1.0] * 3000, "end": [1.0, 2.0] * 3000, "text": ["x"] * 6000})
+    told = writer.write(iter([batch.slice(0, 2501), batch.slice(2501)]))
+    assert len(told.parts) <= captions.FOLDERS and len(pickle.dumps(told)) < 10 * captions.FOLDERS
+    writer.commit([told, None])
+    assert len(os.listdir(f"{tmp_path}/out")) == len(told.parts) and all(len(n) == captions.DIGITS for n in os.listdir(f"{tmp_path}/out"))
+    reader = captions.CaptionReader({"path": f"{tmp_path}/out"}, None)
+    parts = reader.partitions()
+    assert len(parts) == 1 and not parts[0].paths and len(parts[0].spans) == len(told.parts)
+    assert len(set(reader._paths(captions.fs.LocalFileSystem(), parts[0]))) == 3000
+    small = captions.CaptionReader({"path": f"{tmp_path}/out", "partitionBytes": "1000"}, None)
+    found = [p for part in small.partitions() for p in small._paths(captions.fs.LocalFileSystem(), part)]
+    assert len(found) == len(set(found)) == 3000 and len(small.partitions()) > 100
+    monkeypatch.setattr(captions, "MOST_LISTED", 2)
+    assert sorted(p for part in small.partitions() for p in small._paths(captions.fs.LocalFileSystem(), part)) == sorted(found)
+
+
+def test_spread_files_are_read_like_others(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    made = [(f"v{v}", i, i * 1.5, i + 1.25, f"line {i}") for v in range(50) for i in range(1, 2 + v % 3)]
+    frame = spark.createDataFrame(made, "vid string, index int, start double, end double, text string").repartition(3)
+    captions.save_captions(frame.where("vid < 'v3'"), path, "srt", spread=True)
+    captions.save_captions(frame.where("vid >= 'v3'"), path, "srt", spread=True)
+    assert not [n for n in os.listdir(path) if not os.path.isdir(f"{path}/{n}")]
+    assert [(n.split(".")[0], *rest) for n, *rest in rows(captions.read_files(spark, path))] == sorted(made)
+    twice = spark.range(0, 2, 1, 2).selectExpr("'v1' AS name", "1 AS index", "0.0D AS start", "1.0D AS end", "'x' AS text")
+    for spread in (True, False):
+        with pytest.raises(Exception, match="two tasks"):
+            twice.write.format("captions").option("spread", spread).mode("append").save(path)
+    assert len(rows(captions.read_files(spark, path))) == len(made)
+    twice.limit(1).write.format("captions").mode("overwrite").save(path)
+    assert [r[:2] for r in rows(captions.read_files(spark, path))] == [("v1.srt", 1)]
