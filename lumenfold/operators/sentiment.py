@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.operators.words import rounded
+from lumenfold.operators.words import _rounded
 
 # The weights of the rules.
 BOOST, CAPITALS, NEGATION, NEVER_SO = 0.293, 0.733, -0.74, 1.25
@@ -140,7 +140,7 @@ def _of_batch(texts: pa.Array, lexicon: Mapping[str, float]) -> np.ndarray:
     n = np.bincount(of, minlength=len(texts))
     code, first = forms.indices.to_numpy(), np.cumsum(n) - n
     signs, valences = np.zeros(len(forms.dictionary), np.int32), np.zeros(len(forms.dictionary))
-    for i, form in enumerate(forms.dictionary.to_pylist()):
+    for i, form in enumerate(forms.dictionary.to_numpy(zero_copy_only=False).tolist()):
         bare = form.strip(string.punctuation)
         token = bare if len(bare) > 2 else form
         low = token.lower()
@@ -189,7 +189,7 @@ def _of_batch(texts: pa.Array, lexicon: Mapping[str, float]) -> np.ndarray:
     bangs, asks = (pc.fill_null(pc.count_substring(texts, m), 0).to_numpy(zero_copy_only=False) for m in "!?")
     push = np.minimum(bangs, MOST_EXCLAMATIONS) * EXCLAMATION + np.where(asks > 3, MANY_QUESTIONS, np.where(asks > 1, asks * QUESTION, 0.0))
     s = s + np.where(s > 0, push, np.where(s < 0, -push, 0.0))
-    return np.where(n > 0, rounded(np.fmax(-1.0, np.fmin(1.0, s / np.sqrt(s * s + NORM)))), np.nan)
+    return np.where(n > 0, _rounded(np.fmax(-1.0, np.fmin(1.0, s / np.sqrt(s * s + NORM)))), np.nan)
 
 
 def compounds_sql(source: str, keys: str) -> str:

@@ -1,9 +1,12 @@
 """Steps that large tables pass once, in parts that stay small."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
+import __spark_entry__
+from lumenfold.functions import text as T
 from lumenfold.operators import catalog, timeline
 from lumenfold.plans import views as V
 from lumenfold.storage import VersionedTable
@@ -49,3 +52,16 @@ def test_requests_are_made_once(spark, tmp_path):
     assert sorted((r.clip_id, r.version) for r in edits.read().collect()) == [(w[0], w[3]) for w in wanted]
     assert delivery.save_edits(edits, asked.limit(0)).collect() == [] and edits.read().count() == 50
     assert not edits.files.names("requests")
+
+
+@pytest.mark.parametrize("name, exchanges", [("l4_ranked_segments", 2), ("a4_segment_score", 1)])
+def test_windows_are_cut_once_and_scored_where_they_lie(spark, name, exchanges):
+    """Texts are dealt out once, and neither windows nor their words meet anything by a join; ranks need the scores by video."""
+    text = plan(__spark_entry__.queries()[name](spark, SF_SMALL))
+    assert text.count("MapInArrow") == 2 and "Join" not in text
+    assert text.count("REPARTITION") == 1 and text.count("Exchange") == exchanges
+
+
+def test_trends_are_found_in_any_case(spark):
+    texts = spark.createDataFrame([(1, "How to win: TIPS and tips"), (2, ""), (3, None)], "id int, text string")
+    assert [r.n for r in texts.select(T.trend_hits("text", ["how to", "tip", "win:", "lose"]).alias("n")).collect()] == [3, 0, 0]
