@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.operators import metrics, words
+from lumenfold.operators import metrics
 from lumenfold.plans import catalog_queries, media_queries
 from lumenfold.plans import event_queries as E
 from lumenfold.plans import views as V
 from lumenfold.registry import ORACLES, query
-from lumenfold.plans.word_queries import CHUNKS
+from lumenfold.plans.word_queries import CHUNKS, captions_of
 from lumenfold.sources import captions, table
 from lumenfold.storage import Deliveries, VersionedTable, new_folder
 from lumenfold.streaming import delivery, jobs, stateful
@@ -108,7 +108,7 @@ def stage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s8_k6_caption_files", f"""SELECT vid, CAST("index" AS INTEGER) AS "index", CAST("start" AS DOUBLE) / 1000 AS "start", CAST("end" AS DOUBLE) / 1000 AS "end", text FROM ({CHUNKS})""")
 def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions to one file a video, and read again."""
-    made, path = words.caption_chunks(V.transcripts(spark, sf_dir, 1000.0), 3), new_folder(spark, "captions")
-    captions.save_captions(made, path, "vtt", spread=True)
+    path = new_folder(spark, "captions")
+    captions.save_captions(captions_of(spark, sf_dir), path, "vtt", spread=True)
     found = captions.read_files(spark, path)
     return found.select(F.regexp_extract("path", r"([0-9]+)\.vtt$", 1).cast("bigint").alias("vid"), "index", "start", "end", "text")

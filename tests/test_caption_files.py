@@ -114,3 +114,17 @@ def test_spread_files_are_read_like_others(spark, tmp_path):
     assert len(rows(captions.read_files(spark, path))) == len(made)
     twice.limit(1).write.format("captions").mode("overwrite").save(path)
     assert [r[:2] for r in rows(captions.read_files(spark, path))] == [("v1.srt", 1)]
+
+
+@pytest.mark.parametrize("kind", ["srt", "vtt"])
+def test_listed_captions_make_the_same_files(spark, tmp_path, kind):
+    made = [(v, i, i * 61.25, i * 61.25 + 0.999, f"line {i} of {v}") for v in range(7) for i in range(1, 1 + (v % 4))]
+    frame = spark.createDataFrame(made, "vid int, index int, start double, end double, text string")
+    listed = frame.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("index", "text", "start", "end"))).alias("captions"))
+    none = spark.createDataFrame([(8, []), (9, None)], "vid int, captions array<struct<index int, text string, start double, end double>>")
+    captions.save_captions(frame, f"{tmp_path}/rows", kind)
+    captions.save_captions(listed.union(none), f"{tmp_path}/lists", kind)
+    files = [{n: open(f"{tmp_path}/{d}/{n}").read() for n in os.listdir(f"{tmp_path}/{d}")} for d in ("rows", "lists")]
+    assert files[0] == files[1] and len(files[0]) == 5
+    with pytest.raises(Exception, match="come together"):
+        captions.save_captions(listed.union(listed), f"{tmp_path}/twice", kind)
