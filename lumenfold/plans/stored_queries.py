@@ -109,6 +109,6 @@ def stage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions to one file a video, and read again."""
     path = new_folder(spark, "captions")
-    captions.save_captions(captions_of(spark, sf_dir), path, "vtt", spread=True)
+    captions.save_captions(captions_of(spark, sf_dir, captions.part_of("doc_id")), path, "vtt", spread=True, dealt=True)
     found = captions.read_files(spark, path)
     return found.select(F.regexp_extract("path", r"([0-9]+)\.vtt$", 1).cast("bigint").alias("vid"), "index", "start", "end", "text")

@@ -124,7 +124,9 @@ def test_listed_captions_make_the_same_files(spark, tmp_path, kind):
     none = spark.createDataFrame([(8, []), (9, None)], "vid int, captions array<struct<index int, text string, start double, end double>>")
     captions.save_captions(frame, f"{tmp_path}/rows", kind)
     captions.save_captions(listed.union(none), f"{tmp_path}/lists", kind)
-    files = [{n: open(f"{tmp_path}/{d}/{n}").read() for n in os.listdir(f"{tmp_path}/{d}")} for d in ("rows", "lists")]
-    assert files[0] == files[1] and len(files[0]) == 5
+    for dealt, by in (("apart", "vid"), ("dealt", captions.part_of("vid"))):
+        captions.save_captions(listed.repartition(3, by), f"{tmp_path}/{dealt}", kind, dealt=True)
+    files = [{n: open(f"{tmp_path}/{d}/{n}").read() for n in os.listdir(f"{tmp_path}/{d}")} for d in ("rows", "lists", "apart", "dealt")]
+    assert files[0] == files[1] == files[2] == files[3] and len(files[0]) == 5
     with pytest.raises(Exception, match="come together"):
         captions.save_captions(listed.union(listed), f"{tmp_path}/twice", kind)
